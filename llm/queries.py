@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import simhash
+from llm import decontaminate, simhash, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("spans")
+
+
+OP2_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+  FROM item, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM win),
+gram AS (
+  SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM doc, sizes, unnest(range(1, len(w) - k + 2)) AS u(i)),
+hit AS (SELECT doc_id, i, gram.k, item_id FROM gram JOIN win ON win.k = gram.k AND win.g = gram.g),
+place AS (SELECT doc_id, count(DISTINCT p) AS n FROM hit, unnest(range(i, i + k)) AS u(p) GROUP BY doc_id),
+name AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(place.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(name.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, place.n IS NOT NULL AS contaminated
+FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN name USING (doc_id)
+""".replace("\\\\", "\\")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_neardup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op7_token_output, op9_simhash_neardup)}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL}
