@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontaminate, simhash, tokenbin
+from llm import decontaminate, embeddings, mixing, secrets, simhash, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN name USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,5 +60,27 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op7_token_output, op9_simhash_neardup)}
-ORACLE_SQL = {"op2_decontamination": OP2_SQL}
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(c AS BIGINT) AS component_id, vec_id = c AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_decontamination, op4_secret_ledger, op5_pivotal_mixing, op7_token_output, op9_simhash_neardup, op10_embedding_neardup,
+)}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op10_embedding_neardup": OP10_SQL}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import ddl, written
-from llm.components import connected_components
+from llm.components import connected_components, forest
 
 SEED = 42
 TAU = 3
@@ -166,23 +166,6 @@ def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return nodes.mapInArrow(run, f"key bigint, own boolean, node {kind}, fp bigint")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As few edges that connect the same nodes."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        label = label[label]
-        if (label == before).all():
-            break
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
 def _pairs(key: np.ndarray, own: np.ndarray, node: np.ndarray, fp: np.ndarray, tau: int):
     """Linked pairs of rows with equal keys; keys are sorted."""
     alive, d, found_a, found_b = np.arange(len(key)), 1, [], []
@@ -194,7 +177,7 @@ def _pairs(key: np.ndarray, own: np.ndarray, node: np.ndarray, fp: np.ndarray, t
         d += 1
     if not found_a:
         return node[:0], node[:0]
-    return _forest(np.concatenate(found_a), np.concatenate(found_b))
+    return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def _verified(keys: DataFrame, tau: int, kind: str) -> DataFrame:
