@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,7 +36,8 @@ QUANTILE = 0.9
 SHARD_IDS = 4_000_000
 END = 2
 SHARD = pa.schema([(c, pa.int64()) for c in ("partition", "shard", "docs", "ids")])
-CACHE = 400_000  # chunks between spaces whose ids a worker keeps
+CACHE = 700_000  # chunks whose ids a worker keeps
+AFTER_LETTER = r"([a-z])([!-/:-@\[-`{-~])"
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -136,10 +138,13 @@ def read_block(raw: bytes, k: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids as little-endian 32-bit numbers, put together from chunks between spaces.
+    """Ids of texts, put together from chunks between white space.
 
-    The tokenizer drops white space and never joins what stands on two sides of it, so a text's ids are
-    those of its chunks in a row; each worker keeps the ids of chunks it has met.
+    The tokenizer drops white space and never joins what stands on two sides of it, nor a letter with
+    the punctuation after it; it lower-cases character by character. So a text's ids are those of its
+    lower-cased chunks in a row, also with a space set between a letter and ASCII punctuation. Texts
+    that may hold a special token go to the tokenizer as they are. Arrow finds the distinct chunks of
+    a batch; each worker keeps the ids of the first CACHE chunks that it meets.
     """
 
     def __init__(self, path: str):
@@ -147,19 +152,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*chunks) - self.known.keys()) if chunks else []
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*chunks))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        out = {}
+        one = [p for p in chunks if p.isascii() and p.isalpha()]  # each is one word, so many go into one call
+        for i in range(0, len(one), 16384):
+            part = one[i : i + 16384]
+            lines = [" ".join(part[k : k + 64]) for k in range(0, len(part), 64)]
+            got = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.array([x for e in got for x in e.ids], "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't mark where words end")
+            out.update((p, raw[s:e]) for p, s, e in zip(part, [0, *ends], ends))
+        rest = [p for p in chunks if p not in out]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                out[p] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        known = self.known
+        blobs = [known.get(c) for c in chunks]
+        new = self._encode([c for c, b in zip(chunks, blobs) if b is None])
+        if len(known) < CACHE:
+            known |= new
+        return [new[c] if b is None else b for c, b in zip(chunks, blobs)]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has; null texts have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        special = pc.match_substring(texts, "<|")
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(special, "", texts)), AFTER_LETTER, r"\1 \2")
+        lists = pc.ascii_split_whitespace(plain)
+        coded = lists.flatten().dictionary_encode()
+        blobs = self._ids(coded.dictionary.to_pylist())
+        ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs))) // 4
+        table = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), np.frombuffer(b"".join(blobs), "<u4"))
+        ids = table.take(coded.indices)
+        cuts = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
+        cuts = ids.offsets.to_numpy()[cuts] - ids.offsets[0].as_py()
+        ids, n = ids.flatten().to_numpy(), np.diff(cuts)
+        if odd := np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            parts = np.split(ids, cuts[1:-1])
+            for i in odd:
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, n
 
 
 def encoder(path: str) -> Encoder:
@@ -178,7 +223,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
     id. Any folder that pyarrow can write to will do.
     """
     n = partitions or shuffle_partitions(docs.sparkSession)
-    end = np.array([END], "<u4").tobytes()
+
+    end = np.array([END], np.uint32)
 
     def run(batches):
         place, path = fs.FileSystem.from_uri(folder)
@@ -188,7 +234,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
 
         def flush():
             nonlocal seq, before, ids, lengths, blobs, size
-            raw = shard_bytes(ids, lengths, np.frombuffer(b"".join(blobs), "<u4"), part, before)
+            raw = shard_bytes(ids, lengths, np.concatenate(blobs), part, before)
             name = f"{path}/part-{part:06d}-{seq:05d}.pfor"
             with place.open_output_stream(temporary := f"{name}.{uuid.uuid4().hex}.tmp") as f:
                 f.write(raw)
@@ -199,13 +245,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
             return row
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                x = b.slice(at, 500)
-                for d, blob in zip(x.column("doc_id").to_pylist(), encoder(tokenizer)(x.column("text").to_pylist())):
+            for at in range(0, b.num_rows, 2000):
+                x = b.slice(at, 2000)
+                got, n = encoder(tokenizer)(x.column("text"))
+                ends = np.cumsum(n)
+                for d, s, e in zip(x.column("doc_id").to_pylist(), (ends - n).tolist(), ends.tolist()):
                     ids.append(d)
-                    blobs.append(blob + end)
-                    lengths.append(len(blobs[-1]) // 4)
-                    size += lengths[-1]
+                    blobs.append(got[s:e])
+                    blobs.append(end)
+                    lengths.append(e - s + 1)
+                    size += e - s + 1
                     if size >= SHARD_IDS:
                         yield flush()
         if ids:
