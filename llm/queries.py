@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontaminate, embeddings, mixing, secrets, simhash, tokenbin
+from llm import decontaminate, embeddings, linededup, mixing, secrets, simhash, tokenbin, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN name USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,11 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_cut", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,7 +77,7 @@ OP10_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -81,6 +90,7 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op4_secret_ledger, op5_pivotal_mixing, op7_token_output, op9_simhash_neardup, op10_embedding_neardup,
+    op2_decontamination, op3_url_filter, op4_secret_ledger, op5_pivotal_mixing, op7_token_output, op8_line_dedup,
+    op9_simhash_neardup, op10_embedding_neardup,
 )}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op10_embedding_neardup": OP10_SQL}
