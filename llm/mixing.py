@@ -33,8 +33,8 @@ def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share all words; none gets
     more than ``most`` times its words, and what is over goes to the others by weight. That is one water
-    level: with sources ordered by cap over weight, those below it are capped. Windows run over the
-    table of sources, not over documents.
+    level: with sources ordered by cap over weight, those before the first whose level is within its cap
+    are capped; later levels only fall. Windows run over the table of sources, not over documents.
     """
     sums = written(units.groupBy("source").agg(F.sum("words").alias("source_size")), "sources")
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -46,7 +46,7 @@ def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     t = t.withColumn("level", level)
-    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    water = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     return t.select("source", "source_size", F.coalesce(F.least("cap", water * F.col("w")), "cap").alias("target"))
 
 

@@ -66,3 +66,11 @@ def test_mix(spark, monkeypatch):
 
 def test_empty(spark):
     assert m.taken(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_targets(spark):
+    rnd = random.Random(8)
+    for k in range(4):
+        sizes = {f"s{i}": rnd.choice([0, 1, 5, 100, 1000, 50_000]) + rnd.randint(0, 9) for i in range(k * 3 + 1)} | {None: 7}
+        got = m.targets(spark.createDataFrame(list(sizes.items()), "source string, words long")).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(plain_targets(sizes))
