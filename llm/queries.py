@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontaminate, embeddings, linededup, mixing, secrets, simhash, tokenbin, urls
+from llm import decontaminate, embeddings, linededup, mixing, quality, secrets, simhash, tokenbin, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("spans")
@@ -55,6 +59,10 @@ def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -90,7 +98,7 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_url_filter, op4_secret_ledger, op5_pivotal_mixing, op7_token_output, op8_line_dedup,
-    op9_simhash_neardup, op10_embedding_neardup,
+    op1_toxicity_chain, op2_decontamination, op3_url_filter, op4_secret_ledger, op5_pivotal_mixing,
+    op6_quality_cotraining, op7_token_output, op8_line_dedup, op9_simhash_neardup, op10_embedding_neardup,
 )}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op10_embedding_neardup": OP10_SQL}
