@@ -28,7 +28,7 @@ _KEPT = {
     "assign": lambda m: len(m[1]) >= 6,
     "access": lambda m: len(m[0]) >= 20,
 }
-LEDGER = "blob string, rule string, version int, spans array<array<bigint>>"
+LEDGER = "blob binary, rule string, version int, spans array<array<bigint>>"
 
 
 def spans(text: str, rule: str) -> list[list[int]]:
@@ -39,25 +39,26 @@ def spans(text: str, rule: str) -> list[list[int]]:
 
 def addressed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__blob``, the content address of the text; null counts as empty."""
-    return docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
 def update(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Bring a ledger up to date with ``docs(doc_id, text)``; returns ``(paths, ledger)``.
 
-    ``paths`` is ``doc_id, blob``, narrow and written. Only one document of each unseen blob has its text
+    ``paths`` is ``doc_id, blob`` (the digest's 32 bytes), narrow and written. Only one document of each unseen blob has its text
     moved and scanned. ``rules`` maps rule names to versions (default: all of RULES).
     """
     rules = rules or {k: v for k, (v, _) in RULES.items()}
     docs = addressed(docs.select("doc_id", "text"))
     paths = written(docs.select("doc_id", F.col("__blob").alias("blob")), "paths")
     have = ledger if ledger is not None else docs.sparkSession.createDataFrame([], LEDGER)
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("version")) for r, v in rules.items()]))
     # an aggregate without Python, so that copies of a blob meet as one row of each task
-    first = paths.groupBy("blob").agg(F.min("doc_id").alias("first")).withColumn("pair", pairs).select("blob", "first", "pair.*")
-    unseen = first.join(have.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
-    todo = unseen.groupBy("blob", "first").agg(F.collect_set("rule").alias("todo")).hint("shuffle_hash")
-    kind = "blob string, rule string, version int, spans array<array<bigint>>"
+    first = paths.groupBy("blob").agg(F.min("doc_id").alias("first"))
+    seen = have.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))
+    ask = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).cast("int").alias("version")) for r, v in rules.items()])
+    left = F.transform(F.array_except(ask, F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType))), lambda x: x["rule"])
+    todo = first.join(seen, "blob", "left").select("blob", "first", left.alias("todo")).where("size(todo) > 0").hint("shuffle_hash")
+    kind = "blob binary, rule string, version int, spans array<array<bigint>>"
 
     def run(batches):
         last = None
@@ -68,7 +69,7 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, in
                     rows.extend((blob, r, rules[r], spans(text or "", r)) for r in sorted(names))
                 last = blob
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.int64()))))],
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.int64()))))],
                 ["blob", "rule", "version", "spans"],
             )
 
