@@ -12,6 +12,8 @@ WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
+BATCH_BYTES = 8 << 20
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that all executors share (``spark.checkpoint.dir``).
@@ -43,3 +45,9 @@ def words(text: str | None) -> list[bytes]:
 
 def ddl(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after holding the session's Arrow batches to BATCH_BYTES, as rows may have very long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

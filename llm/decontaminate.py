@@ -7,7 +7,6 @@ holds, and the ends of documents, are separators: no phrase can match over them.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
@@ -17,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import WORD_TABLE, words
+from llm.common import WORD_TABLE, bounded, words
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE_RATE = 16
 PASS_WINDOWS = 500_000  # phrases searched in one pass over the documents; more phrases take more passes
 
@@ -200,13 +199,14 @@ _FOUND = T.StructType([
 ])
 
 
-def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: bool = False) -> DataFrame:
     """``docs`` with ``__n`` (words), ``__spans`` (merged word ranges ``[from, to)``) and ``__items``.
 
     Benchmark items without an id or without words hold no phrase; an item shorter than the window is
     one phrase. Null and empty texts have no words. No shuffle: each task indexes the shards of its
     own documents. The phrases reach the tasks in portions of about PASS_WINDOWS, whose size is
-    checked first; further portions are further passes over the documents, merged row by row.
+    checked first; further portions are further passes over the documents, merged row by row. With
+    ``remove`` the last pass cuts the spans out of the texts.
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # at least as many as windows
@@ -214,23 +214,27 @@ def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in _FOUND.fields})
     for k in range(passes):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
-        out = out.mapInArrow(_pass(part, window), out.schema)
+        out = bounded(out).mapInArrow(_pass(part, window, remove and k == passes - 1), out.schema)
     return out
 
 
-def _pass(part: list[tuple], window: int):
+def _pass(part: list[tuple], window: int, remove: bool):
     def run(batches):
         phrases = Phrases(part, window)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 x = b.slice(at, 2000)
-                got = phrases.scan(x.column("text").to_pylist())
+                texts = x.column("text").to_pylist()
+                got = phrases.scan(texts)
                 spans, names = x.column("__spans").to_pylist(), x.column("__items").to_pylist()
                 got = [
                     (n, merged(s + [tuple(y) for y in before or []]), sorted({*i, *(had or [])}))
                     for (n, s, i), before, had in zip(got, spans, names)
                 ]
                 columns = [x.column(c) for c in x.schema.names[:-3]]
+                if remove:
+                    kept = [cut(t, g[1]) if g[1] else t for t, g in zip(texts, got)]
+                    columns[x.schema.names.index("text")] = pa.array(kept, x.column("text").type)
                 for k, kind in enumerate((pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))):
                     columns.append(pa.array([g[k] for g in got], kind))
                 yield pa.RecordBatch.from_arrays(columns, x.schema.names)
@@ -249,7 +253,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def cut(text: str, spans: list[list[int]]) -> str:
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words in ``spans`` and what stands between them."""
     raw = text.encode("utf-8", "replace")
     at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(WORD_TABLE))]
@@ -265,16 +269,10 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
     Only documents of which no word is left after a removal go; others without a hit stay untouched.
     """
-    kind = docs.schema["text"].dataType
-
-    @F.pandas_udf(kind)
-    def cut_all(text, spans):
-        return type(text)([cut(t, s) if len(s) else t for t, s in zip(text, spans)])
-
-    out = found(docs, benchmark, window)
+    out = found(docs, benchmark, window, remove=True)
     hit = F.size("__spans") > 0
     left = F.col("__n") - F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    out = out.where(~hit | (left > 0)).withColumn("text", F.when(hit, cut_all("text", "__spans")).otherwise(F.col("text")))
+    out = out.where(~hit | (left > 0))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(hit, count).otherwise(F.col("n_chars")))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ddl, written
+from llm.common import bounded, ddl, written
 
 WORDS = 50
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so that powers have inverses
@@ -80,7 +80,7 @@ def _positions(docs: DataFrame, words: int) -> DataFrame:
                 ids = [x.column("doc_id").take(row), x.column("key").take(row)]
                 yield pa.RecordBatch.from_arrays([*ids, start.cast(pa.int32()), end.cast(pa.int32()), fp, w1, w2], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, key bigint, start int, `end` int, fp bigint, w1 bigint, w2 bigint")
+    return bounded(docs).mapInArrow(run, f"doc_id {kind}, key bigint, start int, `end` int, fp bigint, w1 bigint, w2 bigint")
 
 
 def later_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -134,4 +134,4 @@ def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ["doc_id", "text", "n_lines", "n_cut"],
             )
 
-    return rows.mapInArrow(run, kind)
+    return bounded(rows).mapInArrow(run, kind)

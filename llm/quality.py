@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import ddl
+from llm.common import bounded, ddl
 from llm.labelled import labelled, sample_ids
 from llm.linear import Dense, folds, sigmoid
 
@@ -132,7 +132,7 @@ def _scored(docs: DataFrame, model: CoTrained | None):
                 yield pa.RecordBatch.from_arrays([*x.columns, *columns], [*x.schema.names, *names])
 
     more = [T.StructField(n, T.BooleanType() if n == "__keep" else T.DoubleType()) for n in names]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

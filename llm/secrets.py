@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import written
+from llm.common import bounded, written
 
 # The base rules, in the order in which equal starts are listed; then the further ones.
 RULES = {
@@ -74,7 +74,7 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, in
             )
 
     texts = docs.join(todo, (docs["__blob"] == todo["blob"]) & docs["doc_id"].eqNullSafe(todo["first"])).select("blob", "text", "todo")
-    new = written(texts.mapInArrow(run, kind).dropDuplicates(["blob", "rule", "version"]), "ledger")
+    new = written(bounded(texts).mapInArrow(run, kind).dropDuplicates(["blob", "rule", "version"]), "ledger")
     return paths, (have.unionByName(new) if ledger is not None else new)
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ddl, written
+from llm.common import bounded, ddl, written
 from llm.components import connected_components, forest
 
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = fingerprint_batch(b.column("text").to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def correlated_partitions(bits: np.ndarray, m: int) -> list[list[int]]:

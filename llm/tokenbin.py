@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import ddl, scratch, shuffle_partitions, written
+from llm.common import bounded, ddl, scratch, shuffle_partitions, written
 
 MAGIC = b"PFORTOK1"
 HEADER = struct.Struct("<IQQQQQ")
@@ -33,10 +33,10 @@ INDEX = np.dtype([("start", "<u8"), ("base", "<u4"), ("exceptions", "<u2"), ("wi
 EXCEPTION = np.dtype([("place", "<u2"), ("value", "<u4")])
 BLOCK = 256
 QUANTILE = 0.9
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 END = 2
 SHARD = pa.schema([(c, pa.int64()) for c in ("partition", "shard", "docs", "ids")])
-CACHE = 700_000  # chunks whose ids a worker keeps
+CACHE = 150_000  # chunks whose ids a worker keeps
 AFTER_LETTER = r"([a-z])([!-/:-@\[-`{-~])"
 
 _tokenizers: dict[str, tuple] = {}
@@ -261,7 +261,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
             yield flush()
 
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(run, "partition long, shard long, docs long, ids long"), "manifest")
+    return written(bounded(rows).mapInArrow(run, "partition long, shard long, docs long, ids long"), "manifest")
 
 
 def read(manifest: DataFrame, folder: str, doc_id: str = "bigint") -> DataFrame:

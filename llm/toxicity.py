@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from llm.common import ddl, words
+from llm.common import bounded, ddl, words
 from llm.labelled import labelled, sample_ids
 from llm.linear import Rows, fit_sparse, folds, sigmoid
 
@@ -119,4 +119,4 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(toxic)], ["doc_id", *names, "toxic"])
 
     kind = f"doc_id {ddl(docs, 'doc_id')}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, kind)
