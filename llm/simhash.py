@@ -246,10 +246,11 @@ def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """The documents whose id names their component, one row for each; columns as they came.
 
     Rows with a null doc_id are dropped if their component has an id, else one of them is kept.
-    Rows that repeat a doc_id are reduced to one only if there are any, as that moves whole texts.
+    Rows that repeat a doc_id are reduced to one only if there are any. Ids of kept documents grow with the
+    corpus, so they are merged with it and never broadcast: the plan is the same at every size.
     """
     marks = near_duplicates(docs.select("doc_id", "text"), tau)
     keep = marks.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("n"))
     keep = written(keep, "kept")
-    out = docs.join(keep.select("__keep"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    out = docs.join(keep.select("__keep").hint("merge"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if keep.where("n > 1").head(1) else out
