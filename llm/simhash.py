@@ -24,7 +24,6 @@ SEED = 42
 TAU = 3
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated
 BLOCK = 2048  # fingerprints of one key that a task compares at once with as many others
-
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 
 
@@ -206,6 +205,17 @@ def _verified(keys: DataFrame, tau: int, kind: str) -> DataFrame:
     )
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, fp)``: fingerprints with the hash by which a row is known."""
+
+    def run(batches):
+        for b in batches:
+            fp = pa.array(fingerprint_batch(b.column("text").to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), fp], ["doc_id", "row", "fp"])
+
+    return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, row bigint, fp bigint")
+
+
 def near_links(nodes: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     """``nodes(node, fp)`` with distinct fingerprints to edges ``(a, b)`` that connect all within tau bits.
 
@@ -227,6 +237,12 @@ def near_links(nodes: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFram
     return _verified(dealt, tau, ddl(nodes, "node"))
 
 
+def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``, the least fingerprint that links reach; fingerprints themselves are the nodes, null ids or not."""
+    roots = connected_components(edges).withColumnRenamed("node", "__node")
+    return nodes.join(roots, nodes["fp"] == roots["__node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("__node")
+
+
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``, the smallest doc_id reachable over links.
 
@@ -236,21 +252,28 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     columns are not carried. An empty table gives an empty result.
     """
     marks = written(fingerprints(docs), "fingerprints")
-    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = connected_components(near_links(nodes.where("node is not null"), tau))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    rooted = written(_roots(nodes, near_links(nodes.select(F.col("fp").alias("node"), "fp"), tau)), "roots")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return marks.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """The documents whose id names their component, one row for each; columns as they came.
+    """One row of each component, that of the smallest id; columns as they came.
 
-    Rows with a null doc_id are dropped if their component has an id, else one of them is kept.
-    Rows that repeat a doc_id are reduced to one only if there are any. Ids of kept documents grow with the
-    corpus, so they are merged with it and never broadcast: the plan is the same at every size.
+    Rows with a null doc_id are dropped if their component has an id, else one of them is kept. A row is
+    known by id and text, so different texts that share an id stay apart. Kept rows grow with the corpus, so they are merged with
+    it and never broadcast: the plan is the same at every size.
     """
-    marks = near_duplicates(docs.select("doc_id", "text"), tau)
-    keep = marks.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("n"))
-    keep = written(keep, "kept")
-    out = docs.join(keep.select("__keep").hint("merge"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if keep.where("n > 1").head(1) else out
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    marks = written(_marked(named), "fingerprints")
+    nodes = written(marks.select("fp").distinct(), "nodes")
+    edges = near_links(nodes.select(F.col("fp").alias("node"), "fp"), tau)
+    rows = marks.groupBy("doc_id", "row", "fp").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
+    keep = rows.join(_roots(nodes, edges), "fp").groupBy("root").agg(F.min(place).alias("first"))
+    keep = written(keep.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__kept"), F.col("first.n").alias("n")), "kept")
+    out = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    same = out["doc_id"].eqNullSafe(keep["__id"]) & (out["__row"] == keep["__kept"])
+    out = out.join(keep.select("__id", "__kept").hint("merge"), same, "left_semi")
+    return (out.dropDuplicates(["doc_id", "__row"]) if keep.where("n > 1").head(1) else out).drop("__row")

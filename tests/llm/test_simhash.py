@@ -79,3 +79,18 @@ def test_keep_first(spark):
 def test_components_of_a_path(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {(r.node, r.root) for r in connected_components(edges).collect()} == {(i, 0) for i in range(60)}
+
+
+def test_null_ids_link_and_stay(spark):
+    docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "e f g h i"), (None, "q r s t u"), (4, "q r s t u"), (7, "one text"), (7, "another text")], "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(None, "a b c d"), (None, "e f g h i"), (4, "q r s t u"), (7, "one text"), (7, "another text")], key=str)
+    one = spark.createDataFrame([(None, "q r s t u"), (4, "q r s t u")], "doc_id bigint, text string")
+    assert [r.doc_id for r in simhash.keep_first(one).collect()] == [4]
+
+
+def test_null_ids_connect_others(spark, monkeypatch):
+    fps = [(5, 0), (9, 63), (None, 7)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: spark.createDataFrame(fps, "doc_id bigint, fp bigint"))
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (9, 5), (None, 5)}
