@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and for all else a classifier over segmented host names.
 
 Host names are split into words by unigram Viterbi search; a multinomial naive Bayes model scores the
-words of host and path. Unigrams are counted over the html of all pages. The model learns from weak
+words of host and path, each distinct word by itself. Unigrams are counted over the html of all pages. The model learns from weak
 labels: a page counts as blocked if its split host holds a word of SEEDS.
 """
 
@@ -24,7 +24,7 @@ SEEDS = (
 SEED_COUNT = 1000  # how often each seed counts as a word besides its occurrences
 LONGEST = 20  # letters of a word
 ALPHA = 0.05
-BUCKETS = 1 << 14  # tokens are hashed into so many weights, which bounds the model
+BUCKETS = 1 << 14  # distinct tokens that smoothing takes to exist at least; larger tables count their own
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -91,16 +91,28 @@ def segments(hosts: DataFrame, pages: DataFrame) -> DataFrame:
     return own.select("host", F.flatten(F.transform("all", lambda x: x["words"])).alias("tokens"))
 
 
-def naive_bayes(counts: list[tuple[int, bool, int]], pages: dict[bool, int]) -> tuple[float, list[float]]:
-    """Log odds of blocking: of the classes, and for each bucket, from ``(bucket, blocked, n)``; ALPHA smooths."""
-    n = {True: [ALPHA] * BUCKETS, False: [ALPHA] * BUCKETS}
-    for bucket, blocked, k in counts:
-        n[blocked][bucket] += k
-    total = {c: sum(x) for c, x in n.items()}
-    weight = [log(a / total[True]) - log(b / total[False]) for a, b in zip(n[True], n[False])]
+def naive_bayes(counts: list[tuple[object, bool, int]], pages: dict[bool, int], size: int = BUCKETS) -> tuple[float, dict]:
+    """Log odds of blocking: of the classes, and for each token, from ``(token, blocked, n)``; ALPHA smooths.
+
+    The model of few tokens in plain Python; ``weights`` makes the table of any number of them.
+    """
+    n = {True: {}, False: {}}
+    for token, blocked, k in counts:
+        n[blocked][token] = n[blocked].get(token, 0) + k
+    total = {c: sum(x.values()) + ALPHA * size for c, x in n.items()}
+    weight = {t: log((n[True].get(t, 0) + ALPHA) / total[True]) - log((n[False].get(t, 0) + ALPHA) / total[False]) for t in n[True] | n[False]}
     return log((pages.get(True, 0) + 1) / (pages.get(False, 0) + 1)), weight
 
 
+def weights(tokens: DataFrame) -> DataFrame:
+    """``tokens(token, bad)``, a row for each occurrence, to ``(token, weight)`` of all distinct tokens."""
+    model = tokens.groupBy("token").agg(F.count_if("bad").alias("block"), F.count_if(~F.col("bad")).alias("allow"))
+    model = written(model, "model")
+    size, block, allow = model.agg(F.count("*"), F.sum("block"), F.sum("allow")).first()
+    odds = lambda c, n: F.log((F.col(c) + ALPHA) / ((n or 0) + ALPHA * max(BUCKETS, size)))
+    return model.select("token", (odds("block", block) - odds("allow", allow)).alias("weight"))
+
+
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, score``.
 
@@ -112,20 +124,14 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     hosts = written(segments(rows.select("host").distinct(), pages), "hosts")
     both = rows.select("page_id", "host", "path").join(hosts, "host", "left")
     own = F.coalesce("tokens", F.array().cast("array<string>"))
-    token = F.concat(own, F.regexp_extract_all(F.lower("path"), F.lit("[a-z]{2,}"), F.lit(0)))
-    bucket = F.transform(token, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    both = written(both.select("page_id", "host", "path", F.arrays_overlap(own, F.array(*map(F.lit, SEEDS))).alias("bad"), bucket.alias("buckets")), "tokens")
-    counts = both.select("bad", F.explode("buckets").alias("bucket")).groupBy("bucket", "bad").agg(F.count("*").alias("n"))
-    prior, weight = naive_bayes(
-        [(r["bucket"], r["bad"], r["n"]) for r in counts.collect()],  # BUCKETS rows of each class at most
-        {r["bad"]: r["n"] for r in both.groupBy("bad").agg(F.count("*").alias("n")).collect()},
-    )
-
-    @F.pandas_udf("double")
-    def score(found):
-        return found.map(lambda x: prior + sum(weight[k] for k in x)).astype(float)
-
+    token = F.concat(own, F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    both = written(both.select("page_id", "host", "path", F.arrays_overlap(own, F.array(*map(F.lit, SEEDS))).alias("bad"), token.alias("tokens")), "tokens")
+    weight = weights(both.select("bad", F.explode("tokens").alias("token")))
+    prior, _ = naive_bayes([], {r["bad"]: r["n"] for r in both.groupBy("bad").agg(F.count("*").alias("n")).collect()})
+    found = both.select("host", "path", "tokens").distinct().select("host", "path", F.explode("tokens").alias("token")).join(weight, "token")
+    inorder = F.array_sort(F.collect_list("weight"))  # so that sums don't depend on the order of rows
+    sums = found.groupBy("host", "path").agg(F.aggregate(inorder, F.lit(0.0), lambda x, y: x + y).alias("sum"))
     rule, verdict = ruled(rules)
-    out = both.withColumn("score", score("buckets"))
+    out = both.join(sums, ["host", "path"], "left").withColumn("score", F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")

@@ -52,3 +52,15 @@ def test_naive_bayes_by_hand():
 
 def test_empty(spark):
     assert u.judged(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_every_token_has_its_own_weight(spark):
+    path = lambda i: "/".join(f"w{i}x{k}" for k in range(450)) + f"/{i % 3}/Пример/q"
+    rows = [(i, f"http://{'ads' if i % 4 == 0 else 'h'}.com/{path(i)}", "") for i in range(40)]
+    tokens = {i: [url[7:].split(".")[0], *url.lower().split("/")[3:]] for i, url, _ in rows}
+    distinct = {t for x in tokens.values() for t in x}
+    assert len(distinct) > u.BUCKETS
+    counts = [(t, i % 4 == 0, 1) for i, x in tokens.items() for t in x]
+    prior, weight = u.naive_bayes(counts, {True: 10, False: 30}, len(distinct))
+    for r in u.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert abs(r.score - prior - sum(weight[t] for t in tokens[r.page_id])) < 1e-6
