@@ -1,9 +1,12 @@
 """Line deduplication by winnowing over line hashes.
 
-A window is the shortest run of lines, from a line forward or back, of WORDS words. Of each window the
-line with the least hash is selected as fingerprint, so two places that share a run of WORDS words
-share a fingerprint. Positions of fingerprints that occur twice are joined; the windows around them
-extend the match to both sides; a run goes wherever the same run stands earlier.
+A window is the shortest run of lines, from a line forward or back, of WORDS words; each selects its line
+of least hash. Two places that share a run of WORDS words share such a window, hence a selected line at
+the same place of it, so only selected lines are positions to compare. Positions of a line that is
+selected twice are joined with the first position whose window agrees, both being matched further out,
+line by line, as far as their windows reach. Runs of later positions go. As every line of a shared run
+lies in a forward or backward window inside it, no line of a run is missed when its first position
+differs further out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 def windows(text: str, words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """``start, end, fingerprint, place, hash1, hash2`` of all windows; ``end`` is exclusive."""
+    """``start, end, place, hash1, hash2`` of all windows, ``end`` exclusive, and the lines' hashes."""
     lines = [line.strip() for line in text.split("\n")]
     n = len(lines)
     digest = np.array([list(divmod(xxhash.xxh128_intdigest(x.encode("utf-8", "replace")), 2**64)) for x in lines], np.uint64)
@@ -47,7 +50,7 @@ def windows(text: str, words: int = WORDS) -> tuple[np.ndarray, ...]:
         inverse = _powers(n, np.uint64(pow(int(base), -1, 2**64)))
         prefix = np.r_[np.uint64(0), np.cumsum(digest[:, k] * power[:n], dtype=np.uint64)]
         hashes.append(((prefix[end] - prefix[start]) * inverse[start] + power[end - start]).view(np.int64))
-    return start, end, low[place].view(np.int64), place, *hashes
+    return start, end, place, *hashes, low.view(np.int64)
 
 
 def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -66,39 +69,88 @@ def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+_KIND = "place int, fp bigint, lo int, around array<bigint>, windows array<struct<start:int,end:int,w1:bigint,w2:bigint>>"
+
+
+def _selected(text: str | None, words: int) -> list[np.ndarray]:
+    """Of each selected line: its place, hash, the reach ``[lo, hi)`` of the windows that select it, and their number.
+
+    The windows follow, in the order of the lines that select them, then the hashes of the lines in reach.
+    """
+    start, end, place, w1, w2, digest = windows(text, words) if text else (np.zeros(0, np.int64),) * 6
+    order = np.argsort(place, kind="stable")
+    start, end, place, w1, w2 = (x[order] for x in (start, end, place, w1, w2))
+    at, first, n = np.unique(place, return_index=True, return_counts=True)
+    lo, hi = (np.minimum.reduceat(start, first), np.maximum.reduceat(end, first)) if len(at) else (at, at)
+    near = np.concatenate([*(digest[i:j] for i, j in zip(lo.tolist(), hi.tolist())), digest[:0]])
+    return [at, digest[at], lo, hi, n, start, end, w1, w2, near]
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+
+
 def _positions(docs: DataFrame, words: int) -> DataFrame:
-    kind = ddl(docs, "doc_id")
-    names = ["doc_id", "key", "start", "end", "fp", "w1", "w2"]
+    """``doc_id, key`` and the columns of ``_KIND``: a row for each selected line of each document."""
+    names = ["doc_id", "key", "place", "fp", "lo", "around", "windows"]
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                x = b.slice(at, 500)
-                found = [windows(t, words) if t else (np.zeros(0, np.int64),) * 6 for t in x.column("text").to_pylist()]
+            for s in range(0, b.num_rows, 500):
+                x = b.slice(s, 500)
+                found = [_selected(t, words) for t in x.column("text").to_pylist()]
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                start, end, fp, _, w1, w2 = (pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(6))
-                ids = [x.column("doc_id").take(row), x.column("key").take(row)]
-                yield pa.RecordBatch.from_arrays([*ids, start.cast(pa.int32()), end.cast(pa.int32()), fp, w1, w2], names)
+                at, fp, lo, hi, n, start, end, w1, w2, near = (np.concatenate([f[k] for f in found]) for k in range(10))
+                small = lambda v: pa.array(v, pa.int32())
+                windowed = pa.StructArray.from_arrays([small(start), small(end), pa.array(w1), pa.array(w2)], ["start", "end", "w1", "w2"])
+                columns = [small(at), pa.array(fp), small(lo), _lists(hi - lo, pa.array(near)), _lists(n, windowed)]
+                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(row), x.column("key").take(row), *columns], names)
+
+    return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, key bigint, {_KIND}")
+
+
+def _extended(pairs: DataFrame) -> DataFrame:
+    """``doc_id, key, start, end``: the lines around each later position that agree with those around the first one."""
+
+    def run(batches):
+        for b in batches:
+            place, lo, first_place, first_lo = (b.column(c).to_numpy() for c in ("place", "lo", "first_place", "first_lo"))
+            sides = [(c.flatten().to_numpy(), np.r_[0, np.cumsum(c.value_lengths().to_numpy())]) for c in (b.column("around"), b.column("first_around"))]
+            out = np.zeros((b.num_rows, 2), np.int32)
+            for i in range(b.num_rows):
+                x, y = (v[o[i] : o[i + 1]] for v, o in sides)
+                p, q = place[i] - lo[i], first_place[i] - first_lo[i]
+                n, back = min(len(x) - p, len(y) - q), min(p, q)
+                ahead = np.flatnonzero(x[p : p + n] != y[q : q + n])
+                behind = np.flatnonzero(x[p - back : p] != y[q - back : q])
+                out[i] = place[i] - (back - 1 - behind[-1] if len(behind) else back), place[i] + (ahead[0] if len(ahead) else n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(out[:, 0]), pa.array(out[:, 1])], ["doc_id", "key", "start", "end"])
 
-    return bounded(docs).mapInArrow(run, f"doc_id {kind}, key bigint, start int, `end` int, fp bigint, w1 bigint, w2 bigint")
+    return pairs.mapInArrow(run, f"doc_id {ddl(pairs, 'doc_id')}, key bigint, start int, `end` int")
 
 
 def later_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, key, runs``: ranges of lines of each document that repeat an earlier run.
 
-    Earlier is by (doc_id, key, line), null ids first; ``key`` hashes id and text. No pairs are made: all
-    places of a window are compared with its first place alone. Frequent windows are hot keys of two
-    joins of narrow rows, which adaptive execution may split.
+    Earlier is by (doc_id, key, line), null ids first; ``key`` hashes id and text. No pairs are made: a
+    position is compared with one first position for each window that selects it. Frequent windows are
+    hot keys of joins of narrow rows, which adaptive execution may split.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     places = written(_positions(keyed, words), "positions")
-    twice = places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    match = written(places.join(twice, "fp", "left_semi"), "matches")
-    first = match.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("w1", "w2", "first")
-    here = F.struct("doc_id", "key", "start")
-    again = match.join(first, ["w1", "w2"]).where(~here.eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    here = F.struct("doc_id", "key", "place")
+    ends = F.min(here).alias("first"), F.max(here).alias("last")  # they differ if there are two positions
+    twice = places.groupBy("fp").agg(*ends).where("not (first <=> last)").select("fp")
+    match = written(places.join(twice, "fp", "left_semi").dropDuplicates(["doc_id", "key", "place"]), "matches")
+    seeds = match.select("doc_id", "key", "place", F.inline("windows"))
+    first = seeds.groupBy("w1", "w2").agg(*ends).where("not (first <=> last)").select("w1", "w2", "first")
+    again = seeds.join(first, ["w1", "w2"]).where(~here.eqNullSafe(F.col("first")))
+    again = again.select("doc_id", "key", "place", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "key", "place"))).distinct()
+    near = match.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p"), "lo", "around")
+    for side in ("", "first_"):
+        at = F.col(f"{side}doc_id").eqNullSafe(F.col("d")) & (F.col(f"{side}key") == F.col("k")) & (F.col(f"{side}place") == F.col("p"))
+        again = again.join(near.withColumnsRenamed({"lo": f"{side}lo", "around": f"{side}around"}), at).drop("d", "k", "p")
+    return _extended(again).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
 def _cut(text: str, runs: list[dict]) -> tuple[str, int]:
