@@ -9,18 +9,30 @@ from pyspark.sql import functions as F
 from llm.common import written
 
 
+SALTS = 64  # tasks over which the edges of one node are dealt
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` with ``m``, the least ``b`` of each ``a``.
+
+    A hub's edges are dealt by a salt: its least is found per salt first and goes back to the salts it has.
+    """
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(part.select("a", "s").join(least, "a"), ["a", "s"]).select("a", "b", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-    joined = down.join(least, down.a == least.k)
-    rest = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
+    near = _with_least(down)
+    rest = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return rest.unionByName(near.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

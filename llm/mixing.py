@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ddl, written
+from llm.common import ddl, fresh, ranked, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3  # copies of a document at most
@@ -22,7 +22,6 @@ FAN_IN = 64
 SEED = 20
 
 
-
 def size_of(text: str = "text") -> Column:
     """Words of a text: runs of what is not ASCII white space; null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
@@ -32,22 +31,24 @@ def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     """``source, source_size, target`` for ``units(source, words)``; one row for each source.
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share all words; none gets
-    more than ``most`` times its words, and what is over goes to the others by weight. That is one water
-    level: with sources ordered by cap over weight, those before the first whose level is within its cap
-    are capped; later levels only fall. Windows run over the table of sources, not over documents.
+    more than ``most`` times its words, and what is over goes to the others by weight, until none is
+    above. Each round caps the sources above the level so far, which only rises; all of it are sums over
+    a table of sources, however many there are, and only sums reach the driver. Sums of whole numbers are
+    exact, so reruns agree.
     """
-    sums = written(units.groupBy("source").agg(F.sum("words").alias("source_size")), "sources")
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    cap = most * F.col("source_size").cast("double")
-    t = sums.withColumn("w", w).withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("w"))
-    down = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    t = t.withColumn("level", level)
-    water = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    return t.select("source", "source_size", F.coalesce(F.least("cap", water * F.col("w")), "cap").alias("target"))
+    sums = units.groupBy("source").agg(F.sum("words").alias("source_size"))
+    t = ranked(sums, [F.col("source").isNull(), F.col("source")], "place")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    t = t.select("source", "source_size", w.alias("w"), (most * F.col("source_size").cast("double")).alias("cap"))
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("w") * level > F.col("cap")
+        full = F.sum(F.when(over, F.col("source_size").cast("decimal(38,0)")))
+        some = t.agg(F.sum(F.col("source_size").cast("decimal(38,0)")), full, F.sum(F.when(~over, F.col("w"))), F.count_if(over)).first()
+        if some[3] == capped or not some[2]:
+            break
+        level, capped = (float(some[0]) - most * float(some[1] or 0)) / some[2], some[3]
+    return t.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 def _uniform(seed: int, level: int, a, b) -> float:
@@ -79,7 +80,7 @@ def pivot(rows: list[tuple[object, int, float]], seed: int = SEED, level: int =
 def _round(seed: int, level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
-        rows = list(zip(table["doc_id"].to_pylist(), table["words"].to_pylist(), table["p"].to_pylist()))
+        rows = list(zip(table["order"].to_pylist(), table["words"].to_pylist(), table["p"].to_pylist()))
         p = pivot(rows, seed, level)
         if last:  # what is left of a source stays by its own chance
             p = [float(_uniform(seed, -1, r[0], r[1]) < x) if 0 < x < 1 else x for r, x in zip(rows, p)]
@@ -92,8 +93,9 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SE
     """``doc_id, source, size, n, source_size, target, copies``: how often the mix takes each document.
 
     Rows with equal id, source and size are one unit of ``n`` rows and are taken alike. Documents
-    without words are never taken; null sources are one source, null ids are ids. Each task holds one
-    bucket of about BUCKET units, whatever the size of the source. The same input gives the same mix.
+    without words are never taken; null sources are one source, null ids are ids. Units are dealt to
+    buckets by id and size, which tell the units of a source apart, so a bucket has about BUCKET of them,
+    whatever the size of the source and however many ids are null. The same input gives the same mix.
     """
     units = docs.select("doc_id", "source", size_of().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     units = written(units.withColumn("words", F.col("n") * F.col("size")), "units")
@@ -103,8 +105,8 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SE
     goal = goal.withColumn("group", F.xxhash64("source", F.lit(seed))).withColumnRenamed("source", "named")
     rows = units.join(goal, units["source"].eqNullSafe(goal["named"])).drop("named")
     rate = F.when(F.col("words") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "buckets"))
+    rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "buckets"))
     most = counts.agg(F.max("buckets")).first()[0] or 1
     columns = ["doc_id", "source", "size", "n", "words", "source_size", "target", "group", "bucket", "order", "whole", "p"]
     rows, done, level = rows.select(*columns), None, 0
@@ -128,8 +130,9 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken; columns as they came."""
+    size, name, source, same, times, each = fresh(docs.columns, "size", "name", "from", "words", "times", "each")
     plan = copies(docs).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    at = docs["doc_id"].eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__source"])
-    rows = docs.withColumn("__words", size_of()).join(plan, at & (F.col("__words") == F.col("__size")))
-    return rows.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        F.col("doc_id").alias(name), F.col("source").alias(source), F.col("size").alias(same), F.col("copies").alias(times))
+    at = F.col("doc_id").eqNullSafe(F.col(name)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(same))
+    rows = docs.withColumn(size, size_of()).join(plan, at)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

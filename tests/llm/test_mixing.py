@@ -74,3 +74,17 @@ def test_targets(spark):
         sizes = {f"s{i}": rnd.choice([0, 1, 5, 100, 1000, 50_000]) + rnd.randint(0, 9) for i in range(k * 3 + 1)} | {None: 7}
         got = m.targets(spark.createDataFrame(list(sizes.items()), "source string, words long")).collect()
         assert {r.source: r.target for r in got} == pytest.approx(plain_targets(sizes))
+
+
+def test_null_ids_are_dealt_and_names_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET", 16)
+    rows = [(None, "w " * (i + 1), "a", i, i) for i in range(300)] + [(i, "w " * 40, "b", i, i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, __words long")
+    units = docs.select("doc_id", m.size_of().alias("size"))
+    assert units.where("doc_id is null").groupBy(F.pmod(F.xxhash64("doc_id", "size", F.lit(m.SEED + 1)), F.lit(19))).count().agg(F.max("count")).first()[0] < 60
+    mix = m.mixed(docs)
+    assert mix.columns == docs.columns
+    known = {tuple(r) for r in docs.collect()}
+    assert {tuple(r) for r in mix.collect()} <= known
+    got = {r.source: r.n for r in mix.groupBy("source").agg(F.sum(m.size_of()).alias("n")).collect()}
+    assert all(abs(got[s] - t) <= 300 for s, t in plain_targets({"a": 300 * 301 // 2, "b": 12_000}).items())
