@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from llm.common import bounded, ddl, written
 
 WORDS = 50
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so that powers have inverses
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that powers have inverses
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -30,7 +30,10 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 def windows(text: str, words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """``start, end, place, hash1, hash2`` of all windows, ``end`` exclusive, and the lines' hashes."""
+    """``start, end, place, hash`` of all windows, ``end`` exclusive, and the lines' hashes.
+
+    The hash of a window is made of other halves of the lines' digests than those that select a line.
+    """
     lines = [line.strip() for line in text.split("\n")]
     n = len(lines)
     digest = np.array([list(divmod(xxhash.xxh128_intdigest(x.encode("utf-8", "replace")), 2**64)) for x in lines], np.uint64)
@@ -40,17 +43,14 @@ def windows(text: str, words: int = WORDS) -> tuple[np.ndarray, ...]:
     some, ends = np.flatnonzero(forward <= n), np.flatnonzero(back >= 0) + 1
     start, end = np.r_[some, back[ends - 1]], np.r_[forward[some], ends]
     if not len(start):
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     start, end = np.unique(np.stack([start, end], 1), axis=0).T
     low = digest[:, 1]
     place = _least(low, start, end)
-    hashes = []
-    for k, base in enumerate(_ODD):
-        power = _powers(n, base)
-        inverse = _powers(n, np.uint64(pow(int(base), -1, 2**64)))
-        prefix = np.r_[np.uint64(0), np.cumsum(digest[:, k] * power[:n], dtype=np.uint64)]
-        hashes.append(((prefix[end] - prefix[start]) * inverse[start] + power[end - start]).view(np.int64))
-    return start, end, place, *hashes, low.view(np.int64)
+    power, inverse = _powers(n, _ODD), _powers(n, np.uint64(pow(int(_ODD), -1, 2**64)))
+    prefix = np.r_[np.uint64(0), np.cumsum(digest[:, 0] * power[:n], dtype=np.uint64)]
+    whole = (prefix[end] - prefix[start]) * inverse[start] + power[end - start]
+    return start, end, place, whole.view(np.int64), low.view(np.int64)
 
 
 def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -69,21 +69,21 @@ def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-_KIND = "place int, fp bigint, lo int, around array<bigint>, windows array<struct<start:int,end:int,w1:bigint,w2:bigint>>"
+_KIND = "place int, fp bigint, lo int, around array<bigint>, windows array<bigint>"
 
 
 def _selected(text: str | None, words: int) -> list[np.ndarray]:
     """Of each selected line: its place, hash, the reach ``[lo, hi)`` of the windows that select it, and their number.
 
-    The windows follow, in the order of the lines that select them, then the hashes of the lines in reach.
+    The windows' hashes follow, in the order of the lines that select them, then those of the lines in reach.
     """
-    start, end, place, w1, w2, digest = windows(text, words) if text else (np.zeros(0, np.int64),) * 6
+    start, end, place, whole, digest = windows(text, words) if text else (np.zeros(0, np.int64),) * 5
     order = np.argsort(place, kind="stable")
-    start, end, place, w1, w2 = (x[order] for x in (start, end, place, w1, w2))
+    start, end, place, whole = (x[order] for x in (start, end, place, whole))
     at, first, n = np.unique(place, return_index=True, return_counts=True)
     lo, hi = (np.minimum.reduceat(start, first), np.maximum.reduceat(end, first)) if len(at) else (at, at)
     near = np.concatenate([*(digest[i:j] for i, j in zip(lo.tolist(), hi.tolist())), digest[:0]])
-    return [at, digest[at], lo, hi, n, start, end, w1, w2, near]
+    return [at, digest[at], lo, hi, n, whole, near]
 
 
 def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
@@ -100,10 +100,8 @@ def _positions(docs: DataFrame, words: int) -> DataFrame:
                 x = b.slice(s, 500)
                 found = [_selected(t, words) for t in x.column("text").to_pylist()]
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                at, fp, lo, hi, n, start, end, w1, w2, near = (np.concatenate([f[k] for f in found]) for k in range(10))
-                small = lambda v: pa.array(v, pa.int32())
-                windowed = pa.StructArray.from_arrays([small(start), small(end), pa.array(w1), pa.array(w2)], ["start", "end", "w1", "w2"])
-                columns = [small(at), pa.array(fp), small(lo), _lists(hi - lo, pa.array(near)), _lists(n, windowed)]
+                at, fp, lo, hi, n, whole, near = (np.concatenate([f[k] for f in found]) for k in range(7))
+                columns = [pa.array(at, pa.int32()), pa.array(fp), pa.array(lo, pa.int32()), _lists(hi - lo, pa.array(near)), _lists(n, pa.array(whole))]
                 yield pa.RecordBatch.from_arrays([x.column("doc_id").take(row), x.column("key").take(row), *columns], names)
 
     return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, key bigint, {_KIND}")
@@ -138,13 +136,13 @@ def later_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     places = written(_positions(keyed, words), "positions")
-    here = F.struct("doc_id", "key", "place")
-    ends = F.min(here).alias("first"), F.max(here).alias("last")  # they differ if there are two positions
-    twice = places.groupBy("fp").agg(*ends).where("not (first <=> last)").select("fp")
+    here, mark = F.struct("doc_id", "key", "place"), F.xxhash64("doc_id", "key", "place")
+    several = F.min(mark) < F.max(mark)  # positions, however many rows repeat a document
+    twice = places.groupBy("fp").agg(several.alias("twice")).where("twice").select("fp")
     match = written(places.join(twice, "fp", "left_semi").dropDuplicates(["doc_id", "key", "place"]), "matches")
-    seeds = match.select("doc_id", "key", "place", F.inline("windows"))
-    first = seeds.groupBy("w1", "w2").agg(*ends).where("not (first <=> last)").select("w1", "w2", "first")
-    again = seeds.join(first, ["w1", "w2"]).where(~here.eqNullSafe(F.col("first")))
+    seeds = match.select("doc_id", "key", "place", "fp", F.explode("windows").alias("whole"))
+    first = seeds.groupBy("fp", "whole").agg(F.min(here).alias("first"), several.alias("twice")).where("twice").drop("twice")
+    again = seeds.join(first, ["fp", "whole"]).where(~here.eqNullSafe(F.col("first")))
     again = again.select("doc_id", "key", "place", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "key", "place"))).distinct()
     near = match.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p"), "lo", "around")
     for side in ("", "first_"):
