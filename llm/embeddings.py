@@ -3,7 +3,8 @@
 Unit vectors are turned into a principal basis, so that leading dimensions say most. Rows of one label
 are cut into tiles along the first of them; tiles too far apart never meet. Within a pair of tiles,
 products are summed dimension block by dimension block; what the rest can add is at most the product
-of the suffix norms, and a pair stops as soon as that can't reach the threshold.
+of the suffix norms, and a pair stops as soon as that can't reach the threshold. A tile is one row of
+packed floats; the turned vectors are made where two tiles meet and are never stored.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from llm.common import ddl, written
+from llm.common import bounded, written
 from llm.components import connected_components, forest
 
 THRESHOLD = 0.93
 SAMPLE = 4096  # vectors from which the basis is fitted; any orthogonal basis gives the same links
 TILE = 2048
-CUTS = 255  # cut points along the first component for a label; larger labels also deal by hash
+CUTS = 255  # cut points along the first component for a label; bins over a tile also deal by hash
 SLACK = 1e-9
 
 
@@ -73,34 +75,90 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, same: boo
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _compare(threshold: float):
+def _turned(x: np.ndarray, basis: dict[int, np.ndarray]) -> np.ndarray:
+    u = unit(x)
+    return u @ basis[x.shape[1]] if x.shape[1] in basis else u
+
+
+def _leads(classes: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
+    """``label, node, dim, lead``: the first coordinate in the principal basis."""
+
+    def run(batches):
+        for b in batches:
+            sizes = np.array([len(e) for e in b.column("embedding")], np.int64)
+            lead = np.zeros(b.num_rows)
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                lead[at] = _turned(_matrix(b.column("embedding").take(pa.array(at)), len(at)), basis)[:, 0]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("node"), pa.array(sizes), pa.array(lead)], ["label", "node", "dim", "lead"])
+
+    kind = T.StructType([classes.schema["label"], classes.schema["node"], T.StructField("dim", T.LongType()), T.StructField("lead", T.DoubleType())])
+    return classes.select("label", "embedding", "node").mapInArrow(run, kind)
+
+
+def _tiles(leads: DataFrame, tile: int) -> DataFrame:
+    """``label, node, dim, lead, tile``: bins along the lead, each dealt by hash by its own count, so equal leads split too."""
+    probs = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    stats = leads.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx("lead", probs, 2000).alias("cuts"))
+    bins = F.least(F.ceil(F.col("size") / tile), F.lit(CUTS + 1))
+    fine = F.size(F.filter("cuts", lambda c: c < F.col("lead")))
+    binned = leads.join(stats, ["label", "dim"]).withColumn("bin", F.floor(fine * bins / (CUTS + 1))).drop("cuts", "size")
+    counts = binned.groupBy("label", "dim", "bin").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), "parts")
+    return binned.join(counts, ["label", "dim", "bin"]).select("label", "node", "dim", "lead", F.struct("bin", part.alias("part")).alias("tile"))
+
+
+def _packed(classes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``label, dim, tile, lo, hi, nodes, counts, block``: a row per tile with its floats as bytes."""
+    rows = classes.select("node", "n", "embedding").join(tiles, "node")
+    kind = T.StructType([
+        *(tiles.schema[c] for c in ("label", "dim", "tile")), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+        T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("block", T.BinaryType()),
+    ])
+    exact = np.float32 if isinstance(classes.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
+
     def run(table: pa.Table) -> pa.Table:
-        node, n = table["node"].to_numpy(), table["n"].to_numpy()
-        x, p, q = _matrix(table["embedding"], len(node)), table["p"][0].as_py(), table["q"][0].as_py()
-        turned, tile = _matrix(table["turned"], len(node)), table["tile"].to_numpy()
-        left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-        i, j = linked(turned[left], turned[right], threshold, p == q)
-        i, j = left[i], right[j]
+        lead = table["lead"].to_numpy()
+        block = _matrix(table["embedding"].combine_chunks(), table.num_rows).astype(exact).tobytes()
+        more = [lead.min()], [lead.max()], [table["node"].to_pylist()], [table["n"].to_pylist()], pa.array([block], pa.binary())
+        first = table.slice(0, 1)
+        return pa.table([*(first[c] for c in ("label", "dim", "tile")), *more], names=kind.names)
+
+    return rows.groupBy("label", "dim", "tile").applyInArrow(run, kind)
+
+
+def _compare(pairs: DataFrame, basis: dict[int, np.ndarray], threshold: float, exact) -> DataFrame:
+    """``node, links, other``: for each pair of tiles how many rows each node links to, and edges that connect them."""
+
+    def solve(row) -> tuple[np.ndarray, ...]:
+        same = row["nodes2"] is None
+        sides = [(np.array(row["nodes"]), np.array(row["counts"]), np.frombuffer(row["block"], exact).reshape(-1, row["dim"]))]
+        if not same:
+            sides.append((np.array(row["nodes2"]), np.array(row["counts2"]), np.frombuffer(row["block2"], exact).reshape(-1, row["dim"])))
+        (a, na, x), (b, nb, y) = sides[0], sides[-1]
+        turned = [_turned(s[2], basis) for s in sides]
+        i, j = linked(turned[0], turned[-1], threshold, same)
         ok = np.zeros(len(i), bool)
         for s in range(0, len(i), 100_000):
-            ok[s : s + 100_000] = cosine(x[i[s : s + 100_000]], x[j[s : s + 100_000]]) >= threshold
+            ok[s : s + 100_000] = cosine(x[i[s : s + 100_000]], y[j[s : s + 100_000]]) >= threshold
         i, j = i[ok], j[ok]
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
-        a, b = forest(node[i], node[j])
-        some = np.flatnonzero(links)
-        return pa.table({
-            "node": pa.array(np.r_[node[some], a]), "links": pa.array(np.r_[links[some], np.zeros(len(a), np.int64)]),
-            "other": pa.array(np.r_[node[some], b]),
-        })
+        ends = [np.bincount(i, nb[j], len(a)), np.bincount(j, na[i], len(b))]
+        some = [np.flatnonzero(e) for e in ends]
+        node = np.concatenate([a[some[0]], b[some[1]]])
+        links = np.concatenate([ends[0][some[0]], ends[1][some[1]]]).astype(np.int64)
+        far, near = forest(a[i], b[j])
+        return np.r_[node, far], np.r_[links, np.zeros(len(far), np.int64)], np.r_[node, near]
+
+    def run(batches):
+        for b in batches:
+            for row in (r for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in solve(row)], ["node", "links", "other"])
 
-    return run
+    return bounded(pairs).mapInArrow(run, "node bigint, links bigint, other bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -109,8 +167,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     Only rows with equal labels are compared, by cosine in double precision. Vectors with a null label
     or id, null, empty or zero vectors, and those with null or non-finite components link with nothing
     and keep their own id as component. Vectors of different lengths never link. Equal vectors of a
-    label are compared once, as one class, and counted as often as they occur. Further columns are not
-    carried; an empty table gives an empty result. Every task holds two tiles at most.
+    label are compared once, as one class, and counted as often as they occur; different vectors under
+    one id are different rows. Further columns are not carried; an empty table gives an empty result.
+    Every task holds two tiles at a time.
     """
     rows = vectors.select("vec_id", "label", "embedding")
     fit = (
@@ -118,47 +177,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
-    classes = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").cast("bigint").alias("node"), F.count("*").alias("n"))
-    classes = written(classes, "classes")
+    # two hashes from different seeds stand for the vector wherever only equality counts
+    rows = rows.select("*", F.coalesce(fit, F.lit(False)).alias("fit"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    key = ["label", "h1", "h2"]
+    grouped = rows.where("fit").groupBy(*key).agg(F.first("embedding").alias("embedding"), F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("n"))
+    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     sample: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("node", "label")).select("embedding").limit(SAMPLE).collect():
+    for r in classes.orderBy("h1", "h2", "label").select("embedding").limit(SAMPLE).collect():
         sample.setdefault(len(r[0]), []).append(r[0])
     basis = {d: principal_basis(np.array(x)) for d, x in sample.items()}
+    exact = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
 
-    def turn(batches):
-        for b in batches:
-            for d in set(sizes := [len(e) for e in b.column("embedding")]):
-                x = b.take(pa.array([i for i, s in enumerate(sizes) if s == d]))
-                u = unit(_matrix(x.column("embedding"), x.num_rows))
-                u = u @ basis[d] if d in basis else u
-                more = [pa.array(np.full(x.num_rows, d)), pa.array(u[:, 0]), pa.array(list(u), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*x.columns, *more], [*x.schema.names, "dim", "lead", "turned"])
-
-    schema = f"label {ddl(classes, 'label')}, embedding {ddl(classes, 'embedding')}, node bigint, n bigint, dim bigint, lead double, turned array<double>"
-    turned = written(classes.mapInArrow(turn, schema), "turned")
-    probs = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
-    stats = turned.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx("lead", probs, 2000).alias("cuts"))
-    bin_of = F.size(F.filter("cuts", lambda c: c < F.col("lead")))
-    want = F.ceil(F.col("size") / tile)  # tiles of the label
-    sub = F.ceil(want / (CUTS + 1))
-    deal = F.floor(bin_of * F.least(want, F.lit(CUTS + 1)) / (CUTS + 1)) * sub + F.pmod(F.xxhash64("node"), sub)
-    tiled = written(turned.join(stats, ["label", "dim"]).withColumn("tile", deal.cast("bigint")).drop("cuts", "size"), "tiles")
-    box = tiled.groupBy("label", "dim", "tile").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    tiles = _tiles(written(_leads(classes, basis), "leads"), tile)
+    packed = written(_packed(classes, tiles), "tiles")
+    box = packed.select("label", "dim", "tile", "lo", "hi")
     far = float(np.sqrt(2 - 2 * threshold)) + SLACK
     other = box.select("label", "dim", F.col("tile").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = box.withColumnRenamed("tile", "p").join(other, ["label", "dim"])
-    meet = meet.where((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi") <= far) & (F.col("lo") - F.col("hi2") <= far))
-    meet = meet.withColumn("tile", F.explode(F.array_distinct(F.array("p", "q")))).select("label", "dim", "tile", "p", "q")
-    pairs = written(
-        tiled.join(meet, ["label", "dim", "tile"]).groupBy("label", "dim", "p", "q").applyInArrow(_compare(threshold), "node bigint, links bigint, other bigint"),
-        "links",
-    )
+    meet = meet.where((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi") <= far) & (F.col("lo") - F.col("hi2") <= far)).select("label", "dim", "p", "q")
+    one = packed.select("label", "dim", F.col("tile").alias("p"), "nodes", "counts", "block")
+    two = packed.select("label", "dim", F.col("tile").alias("q"), F.col("nodes").alias("nodes2"), F.col("counts").alias("counts2"), F.col("block").alias("block2"))
+    alone = meet.where("p = q").join(one, ["label", "dim", "p"]).select("dim", "nodes", "counts", "block", *(F.lit(None).cast(two.schema[c].dataType).alias(c) for c in ("nodes2", "counts2", "block2")))
+    both = meet.where("p < q").join(one, ["label", "dim", "p"]).join(two, ["label", "dim", "q"]).select(*alone.columns)
+    pairs = written(_compare(alone.unionByName(both), basis, threshold, exact), "links")
+
     links = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(pairs.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.join(links, "node", "left").join(roots, "node", "left").select(
-        "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    joined = rows.where("fit").join(named, ["label", "embedding"])
-    alone = rows.where("not fit").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
-    out = joined.select("vec_id", "n_links", "component_id").unionByName(alone)
+    named = classes.select(*key, "node", "id", "n").join(links, "node", "left").join(roots, "node", "left")
+    named = written(named.select(*key, "id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    joined = rows.where("fit").select("vec_id", *key).join(named.join(least, "root"), key)
+    lone = rows.where("not fit").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
+    out = joined.select("vec_id", "n_links", "component_id").unionByName(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

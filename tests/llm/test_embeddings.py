@@ -49,3 +49,16 @@ def test_stopping_early_loses_nothing():
 
 def test_empty(spark):
     assert e.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).collect() == []
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.1]), (2, 0, [1.0, 0.1]), (7, 1, [1.0, 0.0])]
+    got = e.near_duplicates(spark.createDataFrame([(*r, 5, 6) for r in rows], "vec_id long, label int, embedding array<double>, node long, h1 long")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (7, 0, 7)]
+
+
+def test_equal_leads_split(spark):
+    rng = np.random.default_rng(5)
+    leads = spark.createDataFrame([(0, i, 8, 0.5) for i in range(1000)] + [(0, 1000 + i, 8, float(rng.random())) for i in range(1000)], "label int, node long, dim long, lead double")
+    sizes = [r["count"] for r in e._tiles(leads, 100).groupBy("label", "dim", "tile").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 200
