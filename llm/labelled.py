@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import fresh
+
 
 def sample_ids(labels: DataFrame, column: str, bound: int) -> tuple[DataFrame, dict[int, int]]:
     """``(doc_id, y)`` of at most ``bound`` rows of each class in the order of a hash, and counts of all.
@@ -19,6 +21,12 @@ def sample_ids(labels: DataFrame, column: str, bound: int) -> tuple[DataFrame, d
 
 
 def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sampled documents; ids are at most twice the bound, so they may be broadcast."""
-    named = ids.withColumnsRenamed({"doc_id": "__id", "y": "__y"})
-    return docs.join(F.broadcast(named), docs["doc_id"] == named["__id"])
+    """``y`` and the columns of ``docs`` of the sampled documents, one row for each id.
+
+    Of several rows of an id the one of least hash counts, so the sample stays within its bound; it is a
+    minimum, combined before the shuffle. Ids are at most twice the bound, so they may be broadcast.
+    """
+    (name,) = fresh(docs.columns, "sampled")
+    rows = docs.join(F.broadcast(ids.withColumnRenamed("doc_id", name)), F.col("doc_id") == F.col(name)).drop(name)
+    first = F.min(F.struct(F.xxhash64(*docs.columns).alias("hash"), *docs.columns)).alias("first")
+    return rows.groupBy(F.col("doc_id").alias(name), "y").agg(first).select("y", *(F.col("first")[c].alias(c) for c in docs.columns))

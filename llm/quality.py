@@ -2,7 +2,9 @@
 
 One classifier sees what a text consists of, the other only the page's metadata (language, source,
 length). In rounds each gives its most confident pseudo-labels of unlabelled documents to the other.
-Both are then calibrated on held-out labels, and a last model combines the calibrated views.
+All unlabelled documents are scored in every round, and the surest of each view and class are found by
+a reduction over tasks. Both views are calibrated on one held-out fold, and a last model combines the
+calibrated views on another.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import bounded, ddl
+from llm.common import bounded, fresh, written
 from llm.labelled import labelled, sample_ids
-from llm.linear import Dense, folds, sigmoid
+from llm.linear import Dense, sigmoid
 
 SAMPLE = 3000  # labelled rows of each class, at most
-POOL = 6000  # unlabelled documents that may get pseudo-labels, at most
 ROUNDS = 3
-GIVEN = 200  # pseudo-labels of a class that a view gives in a round, at most
+GIVEN = 200  # the surest documents of a class that a view gives to the other in a round
 SURE = {1: 0.98, 0: 0.95}  # calibrated probability from which a view is confident
-HASHED = 64  # columns for each of language and source
+FOLDS = 5  # of the labelled rows: one calibrates, one fits the mix, the others fit the views
+OFTEN = 20  # fitting rows from which a language or source has a column of its own; at most SAMPLE / 10 have
+PARTS = 16  # groups in which the surest documents of all tasks meet before the last selection
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -40,113 +43,211 @@ def text_view(text: str | None) -> np.ndarray:
         count[128:].sum() / n, count[65:91].sum() / n, count[48:58].sum() / n, len(set(own)) / w ** 0.9, len(set(lines)) / len(lines),
         log1p(n / w), log1p(n / len(lines)), log1p(max(map(len, own), default=0)), sum(x.isupper() for x in own) / w,
     ]
-    return np.r_[share, rest]
+    return np.r_[share, rest].astype(np.float32)
 
 
-def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(2 * HASHED + 3)
-    out[xxhash.xxh32_intdigest(f"lang {lang}") % HASHED] = 1
-    out[HASHED + xxhash.xxh32_intdigest(f"source {source}") % HASHED] = 1
-    size = log1p(max(0, n_chars or 0))
-    out[-3:] = size, size * size / 10, n_chars is None
-    return out
+def text_views(texts: list[str | None]) -> np.ndarray:
+    return np.array([text_view(t) for t in texts], np.float32).reshape(len(texts), -1)
 
 
-def views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    columns = {c: b.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")}
-    x = np.array([text_view(t) for t in columns["text"]]).reshape(b.num_rows, -1)
-    m = np.array([meta_view(*r) for r in zip(columns["lang"], columns["source"], columns["n_chars"])]).reshape(b.num_rows, -1)
-    return x, m
+class MetaView:
+    """Columns for the frequent languages and sources of the fitting rows, and for the length; null is a value."""
+
+    def __init__(self, rows: list[tuple]):
+        self.columns = []
+        for k in (0, 1):
+            values, n = np.unique([repr(r[k]) for r in rows], return_counts=True)
+            self.columns.append({v: i for i, v in enumerate(values[n >= OFTEN].tolist())})
+
+    def __call__(self, rows: list[tuple]) -> np.ndarray:
+        width = [len(c) for c in self.columns]
+        out = np.zeros((len(rows), sum(width) + 3))
+        for i, (lang, source, size) in enumerate(rows):
+            for column, start, value in zip(self.columns, (0, width[0]), (lang, source)):
+                if (at := column.get(repr(value))) is not None:
+                    out[i, start + at] = 1
+            size = log1p(max(0, size)) if size is not None else None
+            out[i, -3:] = (0, 0, 1) if size is None else (size, size * size / 10, 0)
+        return out
+
+
+def _meta(b: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
 
 
 class CoTrained:
-    """``x`` holds the two views of labelled rows, ``pool`` those of unlabelled ones; ``shift`` undoes balancing."""
-
-    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], shift: float = 0.0):
-        held = folds(len(y), 3) == 2
-        own = [[(v[~held], y[~held])] for v in x]
-        free = np.ones(len(pool[0]), bool)
-        for turn in range(ROUNDS + 1):
-            self.models = [Dense(np.concatenate([a for a, _ in o]), np.concatenate([b for _, b in o])) for o in own]
-            self.scales = [Dense(m.logits(v[held])[:, None], y[held], 1e-3) for m, v in zip(self.models, x)]
-            if turn == ROUNDS or not free.any():
-                break
-            for k in (0, 1):
-                p = sigmoid(self._view(k, pool[k]) + shift)
-                for label, sure in SURE.items():
-                    q = p if label else 1 - p
-                    best = [i for i in np.argsort(-q, kind="stable")[: 4 * GIVEN] if free[i] and q[i] >= sure][:GIVEN]
-                    own[1 - k].append((pool[1 - k][best], np.full(len(best), float(label))))
-                    free[best] = False
-        self.pseudo = len(free) - int(free.sum())
-        self.mix = Dense(np.stack([self._view(k, x[k][held]) for k in (0, 1)], 1), y[held], 1e-3)
-        self.shift = shift
+    """Two views of labelled rows, ``x`` of the text and ``meta``; ``shift`` undoes the sample's balance.
+
+    ``given[k]`` counts the pseudo-labels that view k gave to the other (0 text, 1 metadata);
+    ``accuracy`` has each calibrated view's and the mix's on the last fold, which fitted only the mix.
+    """
+
+    def __init__(self, x: np.ndarray, meta: list[tuple], y: np.ndarray, shift: float = 0.0):
+        fold = np.zeros(len(y), np.int64)
+        for c in (0, 1):  # every fold has both classes
+            fold[y == c] = np.arange((y == c).sum()) % FOLDS
+        self.shift, self.given = shift, [0, 0]
+        fit, self._tune, self._last = fold < FOLDS - 2, fold == FOLDS - 2, fold == FOLDS - 1
+        self.encode = MetaView([m for m, f in zip(meta, fit) if f])
+        self._known = (x, self.encode(meta)), y
+        self._own = [[(v[fit], y[fit])] for v in self._known[0]]
+        self._fit()
+
+    def _fit(self) -> None:
+        views, y = self._known
+        self.models = [Dense(np.concatenate([a for a, _ in o]), np.concatenate([b for _, b in o])) for o in self._own]
+        self.scales = [Dense(m.logits(v[self._tune])[:, None], y[self._tune], 1e-3) for m, v in zip(self.models, views)]
+        logits = np.stack([self._view(k, v[self._last]) for k, v in enumerate(views)], 1)
+        self.mix = Dense(logits, y[self._last], 1e-3)
+        said = [*logits.T, self.mix.logits(logits)]
+        self.accuracy = [float(((z + self.shift > 0) == (y[self._last] > 0)).mean()) for z in said]
+
+    def learn(self, view: int, label: int, x: np.ndarray, meta: list[tuple]) -> None:
+        """Pseudo-labels that ``view`` gives to the other; ``refit`` puts them to use."""
+        self._own[1 - view].append((self.encode(meta) if view == 0 else x, np.full(len(x), float(label))))
+        self.given[view] += len(x)
+
+    def refit(self) -> None:
+        self._fit()
+
+    def trimmed(self) -> CoTrained:
+        """Without the training rows, as tasks need it."""
+        out = object.__new__(CoTrained)
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("_known", "_own", "_tune", "_last")}
+        return out
 
     def _view(self, k: int, x: np.ndarray) -> np.ndarray:
         """Calibrated log odds of one view."""
         return np.clip(self.scales[k].logits(self.models[k].logits(x)[:, None]), -12, 12)
 
-    def predict(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    def views(self, x: np.ndarray, meta: list[tuple]) -> np.ndarray:
+        """Log odds of good quality: a row for the text and one for the metadata."""
+        return np.stack([self._view(0, x), self._view(1, self.encode(meta))]) + self.shift
+
+    def predict(self, x: np.ndarray, meta: list[tuple]) -> np.ndarray:
         """Columns: combined probability of good quality, that of the text, that of the metadata."""
-        a, b = self._view(0, x), self._view(1, m)
+        a, b = self.views(x, meta) - self.shift
         return sigmoid(np.stack([self.mix.logits(np.stack([a, b], 1)), a, b], 1) + self.shift)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Fitted on bounded samples; None if a class has too few labels to fit and calibrate on."""
-    ids, counts = sample_ids(labels, "quality", SAMPLE)
-    columns = ("doc_id", "text", "lang", "source", "n_chars")
-    rows = labelled(docs.select(*columns), ids).select("__y", *columns)
-    pool = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
-    pool = labelled(docs.select(*columns), pool.withColumn("y", F.lit(-1))).select("__y", *columns)
+_ROW = "row bigint, x binary, lang string, source string, n_chars bigint"
+
+
+def _features(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (and ``y`` if there), ``row`` (a hash of id and text), ``x`` (text view as floats) and the metadata."""
+    first = [c for c in docs.columns if c in ("y", "doc_id")]
+    typed = docs.select(
+        *first, F.xxhash64("doc_id", "text").alias("row"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"), "text")
 
     def run(batches):
         for b in batches:
-            both = [pa.array(list(v), pa.list_(pa.float64())) for v in views(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__y"), *both], ["doc_id", "y", "x", "m"])
+            x = pa.array([v.tobytes() for v in text_views(b.column("text").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(b.column, first), b.column("row"), x, *map(b.column, ("lang", "source", "n_chars"))], [*first, *_NAMES])
 
-    kind = f"doc_id {ddl(docs, 'doc_id')}, y int, x array<double>, m array<double>"
-    got = rows.unionByName(pool).mapInArrow(run, kind).collect()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.x, r.m))
-    known, free = [r for r in got if r.y >= 0], [r for r in got if r.y < 0]
-    y = np.array([r.y for r in known], float)
-    if min((y == 0).sum(), (y == 1).sum()) < 6:
-        return None
-    stack = lambda rows, k, width: np.array([r[k] for r in rows]).reshape(len(rows), width)
-    wide = len(known[0].x), len(known[0].m)
-    shift = np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return CoTrained((stack(known, "x", wide[0]), stack(known, "m", wide[1])), y, (stack(free, "x", wide[0]), stack(free, "m", wide[1])), float(shift))
+    kind = T.StructType([*(docs.schema[c] for c in first), *T._parse_datatype_string(_ROW).fields])
+    return bounded(typed).mapInArrow(run, kind)
 
 
-def _scored(docs: DataFrame, model: CoTrained | None):
-    names = ["__score", "__p_text", "__p_meta", "__keep"]
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+
+
+def _surest(pool: DataFrame, model: CoTrained, taken: set[tuple[int, int]]) -> list:
+    """Of each view and class the GIVEN surest rows of ``pool`` that the view is confident of and hasn't given yet.
+
+    Every task keeps its own GIVEN, PARTS groups keep theirs of these, and the last selection is of those;
+    equal certainty goes by the row's hash, and repeated rows count once.
+    """
+    slim = model.trimmed()
+    kind = f"view int, label int, sure double, part int, {_ROW}"
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("sure", "descending"), ("row", "ascending")])
+        _, first = np.unique(table["row"].to_numpy(), return_index=True)
+        return table.take(pa.array(np.sort(first)[:GIVEN]))
+
+    def local(batches):
+        kept: dict[tuple[int, int], pa.Table] = {}
+        for b in batches:
+            odds = slim.views(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(b.num_rows, -1), _meta(b))
+            rows = b.column("row").to_numpy()
+            for view in (0, 1):
+                had = np.array([r for v, r in taken if v == view], np.int64)
+                for label, sure in SURE.items():
+                    p = sigmoid(odds[view] if label else -odds[view])
+                    at = np.flatnonzero((p >= sure) & ~np.isin(rows, had))
+                    n = len(at)
+                    more = [pa.array(np.full(n, view, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(p[at]), pa.array((rows[at] % PARTS).astype(np.int32))]
+                    new = pa.table([*more, *(b.column(c).take(pa.array(at)) for c in _NAMES)], names=["view", "label", "sure", "part", *_NAMES])
+                    kept[view, label] = best(pa.concat_tables([kept[view, label], new]) if (view, label) in kept else new)
+        for t in kept.values():
+            yield from t.combine_chunks().to_batches()
+
+    near = pool.mapInArrow(local, kind)
+    near = near.groupBy("view", "label", "part").applyInArrow(best, kind)
+    return near.groupBy("view", "label").applyInArrow(best, kind).collect()
+
+
+def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
+    """Fitted on a bounded sample of labelled rows and on all unlabelled ones; None if a class has too few labels."""
+    ids, counts = sample_ids(labels, "quality", SAMPLE)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    known = _features(labelled(docs, ids)).collect()
+    known.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.row))
+    y = np.array([r.y for r in known], float)
+    if min((y == 0).sum(), (y == 1).sum()) < FOLDS + 1:
+        return None
+    shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    stacked = lambda rows: np.stack([np.frombuffer(r.x, np.float32) for r in rows])
+    model = CoTrained(stacked(known), [(r.lang, r.source, r.n_chars) for r in known], y, shift)
+    named = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    pool = written(_features(docs).join(named, "doc_id", "left_anti").select(*_NAMES), "pool")
+    taken: set[tuple[int, int]] = set()
+    for _ in range(ROUNDS):
+        got = sorted(_surest(pool, model, taken), key=lambda r: (r.view, r.label, -r.sure, r.row))
+        if not got:
+            break
+        for view in (0, 1):
+            for label in SURE:
+                if rows := [r for r in got if (r.view, r.label) == (view, label)]:
+                    model.learn(view, label, stacked(rows), [(r.lang, r.source, r.n_chars) for r in rows])
+                    taken.update((view, r.row) for r in rows)
+        model.refit()
+    return model
+
+
+def _scored(docs: DataFrame, model: CoTrained | None) -> tuple[DataFrame, list[str]]:
+    """``docs`` with four more columns, whose names come with it: score, those of the views, and whether to keep."""
+    names = fresh(docs.columns, "score", "p_text", "p_meta", "keep")
+    slim = model.trimmed() if model else None
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 x = b.slice(at, 1000)
-                p = model.predict(*views(x)) if model else np.ones((x.num_rows, 3))
-                some = np.array([bool(t and not t.isspace()) for t in x.column("text").to_pylist()], bool)
+                texts = x.column("text").to_pylist()
+                p = slim.predict(text_views(texts), _meta(x)) if slim else np.ones((x.num_rows, 3))
+                some = np.array([bool(t and not t.isspace()) for t in texts], bool)
                 p[~some] = 0
                 columns = [*(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 0] >= 0.5)]
                 yield pa.RecordBatch.from_arrays([*x.columns, *columns], [*x.schema.names, *names])
 
-    more = [T.StructField(n, T.BooleanType() if n == "__keep" else T.DoubleType()) for n in names]
-    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    more = [T.StructField(n, T.BooleanType() if n == names[-1] else T.DoubleType()) for n in names]
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more])), names
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, score, p_text, p_meta, keep`` (score of one half or more).
 
-    Null, empty and blank texts score zero. If either class has fewer than six labelled documents, no
-    model can be fitted, and all other texts score one. Null metadata is a value of its own. Repeated
-    rows and null ids come out as they came in; further columns are not carried. Nothing is shuffled
-    to score.
+    Null, empty and blank texts score zero. If either class has no more labelled documents than there are
+    folds, no model can be fitted, and all other texts score one. Null metadata is a value of its own.
+    Repeated rows and null ids come out as they came in; further columns are not carried. Nothing is
+    shuffled to score.
     """
-    rows = _scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), train(docs, labels))
-    return rows.select("doc_id", F.col("__score").alias("score"), F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__keep").alias("keep"))
+    rows, _ = _scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), train(docs, labels))
+    return rows.select("doc_id", "score", "p_text", "p_meta", "keep")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps; columns as they came."""
-    return _scored(docs, train(docs, labels)).where("__keep").select(*docs.columns)
+    rows, names = _scored(docs, train(docs, labels))
+    return rows.where(F.col(names[-1])).select(*docs.columns)

@@ -80,22 +80,23 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
     """A chain fitted on at most SAMPLE labelled rows of each class; None if a class has no row."""
     ids, counts = sample_ids(labels, "toxic", SAMPLE)
-    rows = labelled(docs.select("doc_id", "text"), ids).select("doc_id", "__y", "text")
+    rows = labelled(docs.select("doc_id", "text"), ids).select("doc_id", "y", "text")
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             own = [set(words(t)) for t in texts]
             seeds = [[bool(s & {w.encode() for w in seed}) for seed in CATEGORIES.values()] for s in own]
-            columns = [b.column("doc_id"), b.column("__y"), pa.array([features(t) for t in texts], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.bool_()))]
+            places = pa.array([features(t).astype(np.int32).tobytes() for t in texts], pa.binary())  # packed, as they go to the driver
+            columns = [b.column("doc_id"), b.column("y"), places, pa.array(seeds, pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "at", "seeds"])
 
-    got = rows.mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, y int, at array<bigint>, seeds array<boolean>").collect()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id, r["at"]))
+    got = rows.mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, y int, at binary, seeds array<boolean>").collect()
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id))
     y = np.array([r.y for r in got], float)
     if not len(y) or y.min() == y.max():
         return None
-    x = Rows([np.array(r["at"], np.int64) for r in got], 1 << BITS)
+    x = Rows([np.frombuffer(r["at"], np.int32) for r in got], 1 << BITS)
     seeds = np.array([r.seeds for r in got], float)
     shift = np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))) - np.log(y.sum() / (len(y) - y.sum()))
     return Chain(x, [*(y * seeds[:, k] for k in range(len(CATEGORIES))), y], float(shift))

@@ -61,3 +61,49 @@ def test_models_separate():
     rows = Rows([np.flatnonzero(r > 0.5) for r in x], 3)
     w, v, b = fit_sparse(rows, np.zeros((500, 0)), (x[:, 2] > 0.5).astype(float))
     assert ((sigmoid(rows.dot(w) + b) > 0.5) == (x[:, 2] > 0.5)).all() and w[2] == pytest.approx(max(w))
+
+
+def test_views_teach_each_other(spark):
+    """Texts that tell nothing where the metadata does, and the other way round: labels go both ways."""
+    rng = np.random.default_rng(4)
+    rows, truth = [], {}
+    for i in range(1500):
+        good = bool(rng.random() < 0.5)
+        plain, named = rng.random() < 0.7, rng.random() < 0.7
+        marks = rng.normal(0.2 if good else 0.8, 0.05) if plain else rng.normal(0.5, 0.05)
+        text = " ".join("a#" if rng.random() < marks else "bcd" for _ in range(60))
+        rows.append((i, text, "en", f"{'good' if good else 'bad'}{rng.integers(0, 3)}" if named else f"any{rng.integers(0, 3)}", len(text), 0.5, True))
+        truth[i] = good
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, keep boolean")
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(0, 1500, 3)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert min(model.given) > 0
+    unseen = [r for r in quality.scored(docs, labels).collect() if r.doc_id % 3]
+    right = [np.mean([(p >= 0.5) == truth[r.doc_id] for r, p in zip(unseen, column)]) for column in zip(*((r.score, r.p_text, r.p_meta) for r in unseen))]
+    assert right[0] > max(right[1:]) and min(right[1:]) < 0.92
+    assert quality.kept(docs, labels).columns == docs.columns
+
+
+def test_surest_of_all_rows(spark, monkeypatch):
+    """The selection over tasks and groups gives what sorting all rows gives."""
+    monkeypatch.setattr(quality, "SURE", {1: 0.6, 0: 0.6})
+
+    class Model:
+        def trimmed(self):
+            return self
+
+        def views(self, x, meta):
+            return np.stack([x[:, 0].astype(float), -x[:, 0].astype(float)])
+
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 2000)), np.float32(round(rng.normal(), 1)), None) for _ in range(3000)]
+    odds = {row: x for row, x, _ in reversed(rows)}
+    pool = spark.createDataFrame([(r, odds[r].tobytes(), "en", None, None) for r, _, _ in rows], quality._ROW).repartition(7)
+    taken = {(0, r) for r in list(odds)[:300]}
+    got = {(v, y): [] for v in (0, 1) for y in (0, 1)}
+    for r in quality._surest(pool, Model(), taken):
+        got[r.view, r.label].append((-r.sure, r.row))
+    for (view, label), some in got.items():
+        z = {r: x * (1 if label else -1) * (1 if view == 0 else -1) for r, x in odds.items() if (view, r) not in taken}
+        want = sorted((-float(sigmoid(float(x))), r) for r, x in z.items() if sigmoid(float(x)) >= 0.6)[: quality.GIVEN]
+        assert sorted(r for _, r in some) == sorted(r for _, r in want)
