@@ -44,7 +44,7 @@ name AS (
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(place.n, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(name.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, place.n IS NOT NULL AS contaminated
 FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN name USING (doc_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,37 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    """All documents, which arrive in two parts: the second finds the blobs of the first in the ledger."""
+    docs, late = table(spark, sf_dir, "documents"), F.xxhash64("doc_id") < 0
+    return secrets.scan_history([docs.where(~late), docs.where(late)])
+
+
+def _op4_sql() -> str:
+    """Matches and the gaps between them give the places; patterns are the operator's, kept ones as the contract says."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({text(name)}, {k}, {text(pattern)})" for k, (name, (_, pattern)) in enumerate(secrets.RULES.items()))
+    base = ", ".join(map(text, secrets.BASE))
+    return f"""
+WITH rule(kind, place, pattern) AS (VALUES {rules}),
+doc AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT row, kind, place, regexp_extract_all(text, pattern) AS found, regexp_split_to_array(text, pattern) AS gaps,
+    CASE kind WHEN 'assign' THEN regexp_extract_all(text, pattern, 1) END AS value FROM doc, rule),
+one AS (
+  SELECT row, kind, place, length(found[i]) AS n, length(value[i]) AS v,
+    coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS s
+  FROM m, unnest(range(1, len(found) + 1)) AS u(i)),
+kept AS (
+  SELECT row, kind, place, CAST(s AS BIGINT) AS s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS line FROM one
+  WHERE CASE kind WHEN 'assign' THEN v >= 6 WHEN 'access' THEN n >= 20 ELSE true END),
+found AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(line, ',' ORDER BY s, place) FILTER (kind IN ({base})) AS base, string_agg(line, ',' ORDER BY s, place) AS spans
+  FROM kept GROUP BY row)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN found USING (row)
+"""
 
 
 def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +102,25 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_cut", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
+OP8_SQL = r"""
+WITH line AS (
+  SELECT doc_id, i AS pos, l, trim(l, E' \t\r\x0b\x0c') AS own, len(regexp_extract_all(l, '[^\t-\r ]+')) AS words
+  FROM documents, unnest(string_split(text, E'\n')) WITH ORDINALITY AS u(l, i)),
+pair AS (
+  SELECT a.doc_id, a.pos, b.doc_id AS other, a.pos - b.pos AS diagonal, a.words FROM line a JOIN line b ON a.own = b.own
+  WHERE b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos)),
+step AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS run FROM pair),
+total AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, other, diagonal, run) AS total FROM step),
+gone AS (SELECT DISTINCT doc_id, pos FROM total WHERE total >= 50),
+kept AS (SELECT doc_id, string_agg(l, E'\n' ORDER BY pos) AS rest FROM line ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM line GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n_cut FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut, sha256(out) AS text_sha256, out AS text
+FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS out FROM documents LEFT JOIN kept USING (doc_id))
+LEFT JOIN n USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -101,4 +150,4 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity_chain, op2_decontamination, op3_url_filter, op4_secret_ledger, op5_pivotal_mixing,
     op6_quality_cotraining, op7_token_output, op8_line_dedup, op9_simhash_neardup, op10_embedding_neardup,
 )}
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op10_embedding_neardup": OP10_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op4_secret_ledger": _op4_sql(), "op8_line_dedup": OP8_SQL, "op10_embedding_neardup": OP10_SQL}

@@ -8,12 +8,14 @@ lacks, each blob once however many paths have it, and joins the findings back to
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import bounded, written
+from llm.common import bounded, scratch, written
 
 # The base rules, in the order in which equal starts are listed; then the further ones.
 RULES = {
@@ -37,20 +39,16 @@ def spans(text: str, rule: str) -> list[list[int]]:
     return [list(m.span()) for m in re.finditer(RULES[rule][1], text) if keep(m)]
 
 
-def addressed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__blob``, the content address of the text; null counts as empty."""
-    return docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-
-
 def update(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Bring a ledger up to date with ``docs(doc_id, text)``; returns ``(paths, ledger)``.
+    """Scan what ``ledger`` lacks of ``docs(doc_id, text)``; returns ``(paths, new)``, the new rows of the ledger.
 
-    ``paths`` is ``doc_id, blob`` (the digest's 32 bytes), narrow and written. Only one document of each unseen blob has its text
-    moved and scanned. ``rules`` maps rule names to versions (default: all of RULES).
+    ``paths`` is ``doc_id, blob`` (the 32 bytes of the digest of the text; null counts as empty), narrow and
+    written. Only one document of each unseen blob has its text moved and scanned. ``rules`` maps rule
+    names to versions (default: all of RULES).
     """
     rules = rules or {k: v for k, (v, _) in RULES.items()}
-    docs = addressed(docs.select("doc_id", "text"))
-    paths = written(docs.select("doc_id", F.col("__blob").alias("blob")), "paths")
+    docs = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("own"))
+    paths = written(docs.select("doc_id", F.col("own").alias("blob")), "paths")
     have = ledger if ledger is not None else docs.sparkSession.createDataFrame([], LEDGER)
     # an aggregate without Python, so that copies of a blob meet as one row of each task
     first = paths.groupBy("blob").agg(F.min("doc_id").alias("first"))
@@ -73,9 +71,38 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, in
                 ["blob", "rule", "version", "spans"],
             )
 
-    texts = docs.join(todo, (docs["__blob"] == todo["blob"]) & docs["doc_id"].eqNullSafe(todo["first"])).select("blob", "text", "todo")
+    texts = docs.join(todo, (docs["own"] == todo["blob"]) & docs["doc_id"].eqNullSafe(todo["first"])).select("blob", "text", "todo")
     new = written(bounded(texts).mapInArrow(run, kind).dropDuplicates(["blob", "rule", "version"]), "ledger")
-    return paths, (have.unionByName(new) if ledger is not None else new)
+    return paths, new
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``, None if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def commit(docs: DataFrame, path: str, rules: dict[str, int] | None = None) -> DataFrame:
+    """The paths of one more version of the corpus, after adding what it has of new blobs to the ledger at ``path``."""
+    paths, new = update(docs, recorded(docs.sparkSession, path), rules)
+    new.write.mode("append").parquet(path)
+    return paths
+
+
+def scan_history(versions: list[DataFrame], path: str | None = None) -> DataFrame:
+    """``scan`` of all rows of all versions, committed in turn to the ledger at ``path`` (default: a new one).
+
+    A blob is scanned in the first version that has it; later ones, and later runs with the same ledger,
+    only look it up.
+    """
+    spark = versions[0].sparkSession
+    path = path or scratch(spark, "ledger")
+    paths = reduce(DataFrame.unionByName, [commit(v, path) for v in versions])
+    return _report(findings(paths, recorded(spark, path)))
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: dict[str, int] | None = None) -> DataFrame:
@@ -89,7 +116,7 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: dict[str, int] | None =
     version = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     rows = ledger.where(F.col("rule").isin(*rules) & (F.col("version") == version[F.col("rule")]) & (F.size("spans") > 0))
     own = F.transform("spans", lambda s: F.struct(s[0].alias("start"), order[F.col("rule")].alias("order"), F.col("rule").alias("rule"), s[1].alias("end")))
-    by_blob = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("found"))
+    by_blob = rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("found"))
     joined = paths.join(by_blob, "blob", "left")
     return joined.select("doc_id", "blob", F.coalesce("found", F.array().cast(by_blob.schema["found"].dataType)).alias("found"))
 
@@ -99,7 +126,11 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
     Repeated rows come out as often as they came in, null ids too; further columns are not carried.
     """
-    rows = findings(*update(docs, ledger))
+    paths, new = update(docs, ledger)
+    return _report(findings(paths, new if ledger is None else ledger.unionByName(new)))
+
+
+def _report(rows: DataFrame) -> DataFrame:
     line = lambda found: F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])), ",")
     base = F.filter("found", lambda x: x["rule"].isin(*BASE))
     count = lambda rule: F.size(F.filter("found", lambda x: x["rule"] == rule)).cast("long").alias(f"n_{rule}")

@@ -45,12 +45,24 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert ledger.count() == 2
     marked = ledger.where("size(spans) > 0").selectExpr("blob", "rule", "version", "array(array(70L, 71L)) as spans").unionByName(ledger.where("size(spans) = 0"))
     v2 = spark.createDataFrame([(1, "token=abcdef"), (4, "secret: 1234567")], "doc_id long, text string")
-    paths, ledger = s.update(v2, marked, {"assign": 1, "hex": 1})
-    assert ledger.count() == 2 + 3  # one new blob under two rules, one known blob under the new rule
+    paths, new = s.update(v2, marked, {"assign": 1, "hex": 1})
+    assert new.count() == 3  # one new blob under two rules, one known blob under the new rule
+    ledger = marked.unionByName(new)
     found = {r.doc_id: [(x.rule, x.start) for x in r.found] for r in s.findings(paths, ledger).collect()}
     assert found == {1: [("assign", 70)], 4: [("assign", 0)]}  # 70: as the ledger says, not scanned again
     _, again = s.update(v2, ledger, {"assign": 2, "hex": 1})
-    assert again.count() == 5 + 2  # a rule's new version is another pair
+    assert again.count() == 2  # a rule's new version is another pair
+
+
+def test_history_in_a_kept_ledger(spark, tmp_path):
+    rnd, path = random.Random(8), str(tmp_path / "ledger")
+    rows = [(i % 60, rnd.choice(texts(rnd))) for i in range(150)] + [(1, None), (2, ""), (None, "token=abcdefg")]
+    parts = [spark.createDataFrame(rows[k::3], "doc_id long, text string") for k in range(3)]
+    got = sorted((str(r.doc_id), r.base_sha256) for r in s.scan_history(parts, path).collect())
+    assert got == sorted((str(i), hashlib.sha256(",".join(plain(t)).encode()).hexdigest()) for i, t in rows)
+    ledger = s.recorded(spark, path)
+    assert ledger.count() == len({t or "" for _, t in rows}) * len(s.RULES)  # each blob once under each rule
+    assert s.update(parts[1], ledger)[1].count() == 0
 
 
 def test_empty(spark):
