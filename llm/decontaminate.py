@@ -12,11 +12,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import WORD_TABLE, bounded, words
+from llm.common import WORD_TABLE, bounded, fresh, words, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -192,30 +192,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = T.StructType([
-    T.StructField("__n", T.LongType()),
-    T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("__items", T.ArrayType(T.StringType())),
-])
-
-
-def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: bool = False) -> DataFrame:
-    """``docs`` with ``__n`` (words), ``__spans`` (merged word ranges ``[from, to)``) and ``__items``.
+def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: bool = False) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three more columns, whose names come with it.
 
+    They are the number of words, the merged word ranges ``[from, to)`` that are hit, and the items found.
     Benchmark items without an id or without words hold no phrase; an item shorter than the window is
     one phrase. Null and empty texts have no words. No shuffle: each task indexes the shards of its
-    own documents. The phrases reach the tasks in portions of about PASS_WINDOWS, whose size is
-    checked first; further portions are further passes over the documents, merged row by row. With
-    ``remove`` the last pass cuts the spans out of the texts.
+    own documents. The phrases reach the tasks in portions of about PASS_WINDOWS, whose size is checked
+    first and of which the driver holds one at a time; further portions are further passes over the
+    documents, written and merged row by row. With ``remove`` the last pass cuts the spans out of the texts.
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # at least as many as windows
     passes = max(1, -(-size // (4 * PASS_WINDOWS)))
-    out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in _FOUND.fields})
+    names = fresh(docs.columns, "n_words", "spans", "items")
+    kinds = T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
+    out = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, kinds)})
     for k in range(passes):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
         out = bounded(out).mapInArrow(_pass(part, window, remove and k == passes - 1), out.schema)
-    return out
+        if k < passes - 1:
+            out = written(out, "pass")
+    return out, names
 
 
 def _pass(part: list[tuple], window: int, remove: bool):
@@ -226,7 +224,7 @@ def _pass(part: list[tuple], window: int, remove: bool):
                 x = b.slice(at, 2000)
                 texts = x.column("text").to_pylist()
                 got = phrases.scan(texts)
-                spans, names = x.column("__spans").to_pylist(), x.column("__items").to_pylist()
+                spans, names = x.column(x.num_columns - 2).to_pylist(), x.column(x.num_columns - 1).to_pylist()
                 got = [
                     (n, merged(s + [tuple(y) for y in before or []]), sorted({*i, *(had or [])}))
                     for (n, s, i), before, had in zip(got, spans, names)
@@ -244,15 +242,18 @@ def _pass(part: list[tuple], window: int, remove: bool):
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows and their digest."""
-    out = found(docs.select("doc_id", "text"), benchmark, window)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    out, (n, spans, items) = found(docs.select("doc_id", "text"), benchmark, window)
+    hit = _covered(spans)
     return out.select(
-        "doc_id", F.col("__n").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
-        F.col("__spans").alias("spans"),
+        "doc_id", F.col(n).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.col(spans).alias("spans"),
     )
 
 
+def _covered(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words in ``spans`` and what stands between them."""
     raw = text.encode("utf-8", "replace")
@@ -269,10 +270,9 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
     Only documents of which no word is left after a removal go; others without a hit stay untouched.
     """
-    out = found(docs, benchmark, window, remove=True)
-    hit = F.size("__spans") > 0
-    left = F.col("__n") - F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    out = out.where(~hit | (left > 0))
+    out, (n, spans, _) = found(docs, benchmark, window, remove=True)
+    hit = F.size(spans) > 0
+    out = out.where(~hit | (F.col(n) > _covered(spans)))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(hit, count).otherwise(F.col("n_chars")))

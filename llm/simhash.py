@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bounded, ddl, written
+from llm.common import bounded, ddl, fresh, written
 from llm.components import connected_components, forest
 
 SEED = 42
@@ -262,7 +262,8 @@ def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row of each component, that of the smallest id; columns as they came.
 
     Rows with a null doc_id are dropped if their component has an id, else one of them is kept. A row is
-    known by id and text, so different texts that share an id stay apart. Kept rows grow with the corpus, so they are merged with
+    known by id and text, so different texts that share an id stay apart, and rows equal in both are the same
+    row, of which one stays. Kept rows grow with the corpus, so they are merged with
     it and never broadcast: the plan is the same at every size.
     """
     named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -273,7 +274,8 @@ def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
     keep = rows.join(_roots(nodes, edges), "fp").groupBy("root").agg(F.min(place).alias("first"))
     keep = written(keep.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__kept"), F.col("first.n").alias("n")), "kept")
-    out = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    same = out["doc_id"].eqNullSafe(keep["__id"]) & (out["__row"] == keep["__kept"])
+    (row,) = fresh(docs.columns, "row")
+    out = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    same = out["doc_id"].eqNullSafe(keep["__id"]) & (out[row] == keep["__kept"])
     out = out.join(keep.select("__id", "__kept").hint("merge"), same, "left_semi")
-    return (out.dropDuplicates(["doc_id", "__row"]) if keep.where("n > 1").head(1) else out).drop("__row")
+    return (out.dropDuplicates(["doc_id", row]) if keep.where("n > 1").head(1) else out).drop(row)

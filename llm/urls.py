@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, and for all else a classifier over segmented host names.
 
 Host names are split into words by unigram Viterbi search; a multinomial naive Bayes model scores the
-words of host and path, each distinct word by itself. Unigrams are counted over the html of all pages. The model learns from weak
-labels: a page counts as blocked if its split host holds a word of SEEDS.
+words of host and path, each distinct word by itself. Unigrams are counted over what all pages show,
+without markup, scripts and styles. The model learns from weak labels: a page counts as blocked if its
+split host holds a word of SEEDS.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def segments(hosts: DataFrame, pages: DataFrame) -> DataFrame:
     Unigrams stay a table: the pieces of distinct labels are joined with it, so that each label gets only
     the counts of its own pieces.
     """
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit(f"[a-z]{{1,{LONGEST}}}"), F.lit(0))).alias("word"))
+    shown = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    words = pages.select(F.explode(F.regexp_extract_all(shown, F.lit("[a-z]+"), F.lit(0))).alias("word")).where(F.length("word") <= LONGEST)
     seeds = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in SEEDS], "word string, n long")
     unigrams = words.groupBy("word").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
     unigrams = written(unigrams, "unigrams")

@@ -78,3 +78,12 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert d.report(docs, none).first().n_hit == 0
     assert d.report(docs.limit(0), none).collect() == []
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    rows = [(7, "x a b c d e f g h i j y", 77, 5, "s"), (7, "x a b c d e f g h i j y", 77, 5, "s"), (7, "other words", 78, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, n_chars long, spans string")
+    got = sorted(d.removed(docs, bench).collect(), key=lambda r: r.n_words)
+    assert [(r.doc_id, r.text.split(), r.n_words, r.n_chars, r.spans) for r in got] == [(7, ["x", "y"], 77, len(got[0].text), "s")] * 2 + [(7, ["other", "words"], 78, None, None)]
+    assert sorted((r.n_words, r.n_hit) for r in d.report(docs, bench).collect()) == [(2, 0), (12, 10), (12, 10)]
