@@ -139,9 +139,11 @@ def later_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     here, mark = F.struct("doc_id", "key", "place"), F.xxhash64("doc_id", "key", "place")
     several = F.min(mark) < F.max(mark)  # positions, however many rows repeat a document
     twice = places.groupBy("fp").agg(several.alias("twice")).where("twice").select("fp")
+    twice = written(twice, "twice")  # a table of its own, so that adaptive execution can split a frequent line's rows
     match = written(places.join(twice, "fp", "left_semi").dropDuplicates(["doc_id", "key", "place"]), "matches")
     seeds = match.select("doc_id", "key", "place", "fp", F.explode("windows").alias("whole"))
     first = seeds.groupBy("fp", "whole").agg(F.min(here).alias("first"), several.alias("twice")).where("twice").drop("twice")
+    first = written(first, "first")
     again = seeds.join(first, ["fp", "whole"]).where(~here.eqNullSafe(F.col("first")))
     again = again.select("doc_id", "key", "place", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "key", "place"))).distinct()
     near = match.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p"), "lo", "around")
