@@ -30,8 +30,8 @@ def outline(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 
 def size_as_integer(value: Column) -> Column:
-    """An image width or height, given as number or text; 0 if it is missing or no number."""
-    return F.coalesce(F.trim(value).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """An image width or height, a VARIANT: numbers lose their fraction, texts must be whole numbers; 0 for all else."""
+    return F.coalesce(F.try_variant_get(value, "$", "bigint"), F.lit(0).cast("bigint"))
 
 
 def category_number(value: Column, options: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quadrat import schema
 from quadrat.functions import boxes as B
 from quadrat.operators.numbering import slots
+from quadrat.shared import fresh, written
 
 NAN = float("nan")
 
@@ -50,21 +51,22 @@ def _padded(value, pad, length):
 
 def padded(rows: DataFrame, group: str, slot: str, values: dict[str, object]) -> DataFrame:
     """A row per group: ``values`` as arrays in the order of ``slot``, filled up with their pad to one length."""
-    taken = F.array_sort(F.collect_list(F.struct(slot, *values)))
-    wide = rows.groupBy(group).agg(taken.alias("__all"), F.count("*").alias("__n"))
-    longest = F.broadcast(rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n").alias("__max")))  # one row
+    taken, most = fresh([group, *values], "taken", "most")
+    wide = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(slot, *values))).alias(taken))
+    longest = F.broadcast(rows.groupBy(group).agg(F.count("*").alias(most)).agg(F.max(most).cast("int").alias(most)))  # one row
     kinds = dict(rows.dtypes)
     return wide.join(longest, F.lit(True)).select(
-        group,
-        *(_padded(F.col(f"__all.{c}"), F.lit(pad).cast(kinds[c]), F.col("__max").cast("int")).alias(c) for c, pad in values.items()),
+        group, *(_padded(F.col(f"{taken}.{c}"), F.lit(pad).cast(kinds[c]), F.col(most)).alias(c) for c, pad in values.items())
     )
 
 
 def dense_view(boxes: DataFrame) -> DataFrame:
     """A row per image with ``position_x, position_y, shape_x, shape_y`` (box centres and sizes; NaN pads),
     ``category`` (ids; -1 pads) and ``image_shape``, the last two if their columns are not empty.
+
+    The boxes are written once, as their columns, sizes and longest image are each asked for.
     """
-    full = without_empty_columns(boxes)
+    full = without_empty_columns(written(boxes, "boxes"))
     rows = (full if "id" in full.columns else with_slots(full)).withColumns({
         "position_x": B.center(F.col("x_min"), F.col("width")), "position_y": B.center(F.col("y_min"), F.col("height")),
         "shape_x": F.col("width"), "shape_y": F.col("height"),
@@ -106,3 +108,13 @@ def from_space(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     """The reverse of ``by_space``: columns ``<value>_x`` and ``<value>_y``. Fixed axes, so no pass to find them."""
     picks = [F.max(F.when(F.col("space") == s, F.col(v))).alias(f"{v}_{s}") for v in values for s in "xy"]
     return rows.groupBy(*keys).agg(*picks)
+
+
+def track_table(boxes: DataFrame) -> DataFrame:
+    """Boxes as tracks: images become times, slots become individuals ``id_<slot>``, and no confidence is known yet."""
+    rows = boxes if "id" in boxes.columns else with_slots(boxes)
+    return rows.select(
+        F.col("image_id").alias("time"), F.concat(F.lit("id_"), F.col("id").cast("string")).alias("individuals"),
+        B.center(F.col("x_min"), F.col("width")).alias("position_x"), B.center(F.col("y_min"), F.col("height")).alias("position_y"),
+        F.col("width").alias("shape_x"), F.col("height").alias("shape_y"), F.lit(NAN).alias("confidence"),
+    )

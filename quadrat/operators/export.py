@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat import schema
 from quadrat.functions import boxes as B
-from quadrat.operators.numbering import positions
+from quadrat.operators.numbering import numbered
+from quadrat.shared import fresh, written
 
 
 def with_lookup(df: DataFrame, names: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:
@@ -18,33 +19,42 @@ def with_lookup(df: DataFrame, names: DataFrame, key: str, value: str, default:
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-def export_table(boxes: DataFrame) -> DataFrame:
-    """Canonical rows to the exportable table, numbered anew from 0 by image and place in it.
+def export_rows(boxes: DataFrame, *more: Column) -> DataFrame:
+    """Canonical rows with the columns of the exportable table but for its number, and ``more``.
 
     Columns that may be absent are filled: category and supercategory with "", sizes with 0, and
     category ids with -1.
     """
     have = set(boxes.columns)
     filled = boxes.withColumns({c: F.lit(v).cast(schema.COLUMNS[c][0]) for c, v in schema.SENTINELS.items() if c not in have})
-    order = "id" if "id" in have else "annotation_id"
     side = tuple(F.col(c).cast("double") for c in ("x_min", "y_min", "width", "height"))
-    rows = filled.select(
-        "image_id", F.col(order).alias("__order"), "image_filename", "image_width", "image_height",
+    return filled.select(
+        "image_id", "image_filename", "image_width", "image_height",
         B.bbox(*side).alias("bbox"), B.area(side[2], side[3]).alias("area"), B.outline(*side).alias("segmentation"),
         F.coalesce("category", F.lit("")).alias("category"), "category_id",
-        F.coalesce(F.col("supercategory").cast("string"), F.lit("")).alias("supercategory"), F.lit(0).alias("iscrowd"),
+        F.coalesce(F.col("supercategory").cast("string"), F.lit("")).alias("supercategory"), F.lit(0).alias("iscrowd"), *more,
     )
-    return positions(rows, ["image_id", "__order"], "annotation_id").select(*schema.EXPORT_COLUMNS)
+
+
+def export_table(boxes: DataFrame) -> DataFrame:
+    """The exportable table: ``export_rows``, numbered anew from 0 by image and place in it."""
+    (order,) = fresh(list(schema.EXPORT_COLUMNS), "order")
+    rows = export_rows(boxes, F.col("id" if "id" in boxes.columns else "annotation_id").alias(order))
+    return numbered(rows, "image_id", [order], position="annotation_id").select(*schema.EXPORT_COLUMNS)
 
 
 def section(table: DataFrame, name: str) -> DataFrame:
-    """A section's rows under their field names; images and categories are distinct."""
+    """A section's rows under their field names; images and categories are distinct and need no numbered rows."""
     rows = table.select(*(F.col(c).alias(f) for c, f in sorted(schema.COCO_FIELDS[name].items(), key=lambda p: p[1])))
     return rows if name == "annotations" else rows.distinct()
 
 
 def document_lines(table: DataFrame, info: dict) -> DataFrame:
-    """``(part, id, line)``: in the order of ``part, id`` the lines are one COCO document, keys sorted, indented by two."""
+    """``(part, id, line)``: in the order of ``part, id`` the lines are one COCO document, keys sorted, indented by two.
+
+    The table is written once and read for each section.
+    """
+    table = written(table, "export")
 
     def text(part: int, *lines: str) -> DataFrame:
         return table.sparkSession.createDataFrame([(part, i, x) for i, x in enumerate(lines)], "part int, id bigint, line string")

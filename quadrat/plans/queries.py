@@ -6,6 +6,7 @@ so rows are ordered by all columns; rows that are still equal are interchangeabl
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from quadrat.functions import boxes as B
 from quadrat.operators import dense, export, numbering, regions, split
 from quadrat.operators.dedup import keep_first, last_value, union_all
-from quadrat.schema import SENTINELS
-from quadrat.sources.checks import export_rule_counts
+from quadrat.schema import COCO_FIELDS, SENTINELS
+from quadrat.shared import written
+from quadrat.sources import documents
+from quadrat.sources.checks import document_errors, export_rule_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,6 +53,7 @@ def query(sql: str | None = None):
 
 
 def with_boxes(select: str) -> str:
+    """SQL after the shared CTEs; further CTEs begin with a comma."""
     return f"WITH {BOXES_SQL} {select}"
 
 
@@ -68,9 +72,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slotted(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Boxes with image and slot numbers: one range sort by filename and line gives both."""
-    rows = numbering.with_image_ids(boxes(spark, sf_dir))
-    return numbering.slots(rows.select("image_id", *dict.fromkeys([*LINE, *columns])), "image_id", LINE, "id")
+    """Boxes with image and slot numbers: images are numbered in their own table, boxes within their image."""
+    rows = numbering.numbered(boxes(spark, sf_dir), "image_filename", LINE, place="image_id", slot="id")
+    return rows.select("image_id", *dict.fromkeys([*LINE, *columns]), "id")
 
 
 # --- numbering ---------------------------------------------------------------------------------------
@@ -158,8 +162,9 @@ def union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping tables made one: union, dedup, image numbers over both, rows numbered anew."""
     rows = boxes(spark, sf_dir).select(*_FILE_COLUMNS)
     both = union_all([rows.where("x_min <= 30"), rows.where("x_min >= 20")])
-    one = numbering.with_image_ids(keep_first(both, _FILE_COLUMNS, ["file_pos"]))
-    return numbering.positions(one, ["image_filename", "file_pos", *_FILE_COLUMNS[1:]], "annotation_id").drop("file_pos")
+    one = written(keep_first(both, _FILE_COLUMNS, ["file_pos"]), "distinct")
+    order = ["file_pos", *_FILE_COLUMNS[1:]]
+    return numbering.numbered(one, "image_filename", order, place="image_id", position="annotation_id").drop("file_pos")
 
 
 @query("SELECT c_nationkey, arg_max(c_name, c_custkey) AS c_name FROM customer GROUP BY c_nationkey")
@@ -282,27 +287,53 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sections of images and categories need: export rows without slots and numbers."""
+    rows = numbering.with_image_ids(boxes(spark, sf_dir))
+    return export.export_rows(rows.withColumns({"image_width": F.lit(SIZE[0]).cast("bigint"), "image_height": F.lit(SIZE[1]).cast("bigint")}))
+
+
 @query(with_boxes(f"SELECT DISTINCT image_filename AS file_name, CAST(image_id AS BIGINT) AS id, CAST({SIZE[0]} AS BIGINT) AS width, CAST({SIZE[1]} AS BIGINT) AS height FROM ided"))
 def coco_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.section(_export(spark, sf_dir), "images")
+    return export.section(_unnumbered(spark, sf_dir), "images")
 
 
 @query(with_boxes("SELECT DISTINCT CAST(category_id AS BIGINT) AS id, category AS name, supercategory FROM boxes"))
 def coco_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.section(_export(spark, sf_dir), "categories")
+    return export.section(_unnumbered(spark, sf_dir), "categories")
 
 
-@query(with_boxes("""
-SELECT CAST(row_number() OVER (ORDER BY image_id, id) - 1 AS BIGINT) AS id, CAST(image_id AS BIGINT) AS image_id, x_min AS x, y_min AS y,
-  width AS w, height AS h, CAST(category_id AS BIGINT) AS category_id FROM slotted
+@query(with_boxes(f"""
+SELECT 'annotations' AS section, CAST(row_number() OVER (ORDER BY image_id, id) - 1 AS BIGINT) AS id, CAST(image_id AS BIGINT) AS image_id, x_min AS x,
+  y_min AS y, width AS w, height AS h, width * height AS area, CAST(category_id AS BIGINT) AS category_id, NULL AS name, NULL AS supercategory,
+  CAST(NULL AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height FROM slotted
+UNION ALL SELECT DISTINCT 'images', CAST(image_id AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, image_filename, NULL, {SIZE[0]}, {SIZE[1]} FROM ided
+UNION ALL SELECT DISTINCT 'categories', CAST(category_id AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, category, supercategory, NULL, NULL FROM boxes
 """))
 def coco_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All boxes as the lines of a COCO document, and read back from that text."""
+    """A whole COCO document as lines of text, and all three of its sections read back from that text."""
     lines = export.document_lines(_export(spark, sf_dir), {})
-    kind = "id bigint, image_id bigint, bbox array<double>, category_id bigint"
-    body = F.from_json(F.regexp_replace("line", "^[ ,]+", ""), kind)
-    rows = lines.where(F.col("part") == 2).select(body.alias("a"))
-    return rows.select("a.id", "a.image_id", *(F.col("a.bbox")[i].alias(c) for i, c in enumerate("xywh")), "a.category_id")
+    names = sorted(COCO_FIELDS)
+    kind = (
+        "id bigint, image_id bigint, bbox array<double>, area double, category_id bigint, name string, file_name string, "
+        "supercategory string, width bigint, height bigint"
+    )
+    section = F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("part") / 3) + 1).cast("int"))
+    rows = lines.where((F.col("part") % 3 == 2) & (F.col("part") < 3 * len(names))).select(
+        section.alias("section"), F.from_json(F.regexp_replace("line", "^[ ,]+", ""), kind).alias("a"))
+    return rows.select(
+        "section", "a.id", "a.image_id", *(F.try_element_at("a.bbox", F.lit(i + 1)).alias(c) for i, c in enumerate("xywh")), "a.area", "a.category_id",
+        F.coalesce("a.name", "a.file_name").alias("name"), "a.supercategory", "a.width", "a.height",
+    )
+
+
+@query(with_boxes("""
+SELECT CAST(image_id AS BIGINT) AS time, 'id_' || CAST(id AS VARCHAR) AS individuals, x_min + width / 2 AS position_x, y_min + height / 2 AS position_y,
+  width AS shape_x, height AS shape_y, true AS no_confidence FROM slotted
+"""))
+def track_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = dense.track_table(slotted(spark, sf_dir, "x_min", "y_min", "width", "height"))
+    return tracks.withColumn("no_confidence", F.isnan("confidence")).drop("confidence")
 
 
 @query("""
@@ -312,7 +343,7 @@ SELECT event_id, CAST(place AS BIGINT) AS from_name, CAST(user_id AS BIGINT) AS
 def category_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category keys that are integers stay; others count by their place among the sorted keys."""
     events = table(spark, sf_dir, "events")
-    options = events.agg(F.collect_set("event_type").alias("options"))  # the keys of one file
+    options = events.select("event_type").distinct().agg(F.collect_list("event_type").alias("options"))  # the keys of one file
     return events.join(F.broadcast(options), F.lit(True)).select(
         "event_id", B.category_number(F.col("event_type"), F.col("options")).alias("from_name"),
         B.category_number(F.col("user_id").cast("string"), F.col("options")).alias("from_number"),
@@ -320,13 +351,18 @@ def category_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN regexp_full_match(event_type, '[0-9]+') THEN CAST(event_type AS BIGINT) ELSE 0 END AS of_text, user_id AS of_number, CAST(0 AS BIGINT) AS of_null FROM events
-""".replace("CAST(event_type AS BIGINT)", "TRY_CAST(event_type AS BIGINT)"))
+SELECT event_id, CAST(0 AS BIGINT) AS of_text, user_id AS of_number, user_id AS of_digits,
+  CASE WHEN value IS NULL OR isnan(value) THEN 0 ELSE CAST(trunc(value) AS BIGINT) END AS of_fraction, CAST(0 AS BIGINT) AS of_null FROM events
+""")
 def size_as_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes as JSON has them: texts, whole numbers, digits in quotes, fractions, nothing."""
+    own = F.to_json(F.struct(
+        F.col("event_type").alias("text"), F.col("user_id").alias("number"), F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("digits"),
+        F.col("value").alias("fraction"),
+    ))
+    sizes = F.from_json(own, "map<string,variant>")
     return table(spark, sf_dir, "events").select(
-        "event_id", B.size_as_integer(F.col("event_type")).alias("of_text"),
-        B.size_as_integer(F.col("user_id").cast("string")).alias("of_number"), B.size_as_integer(F.lit(None).cast("string")).alias("of_null"),
-    )
+        "event_id", *(B.size_as_integer(F.try_element_at(sizes, F.lit(k))).alias(f"of_{k}") for k in ("text", "number", "digits", "fraction", "null")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' ELSE '' END AS name FROM lineitem")
@@ -334,7 +370,7 @@ def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names from a map that lacks some keys."""
     names = spark.createDataFrame([("A", "accepted"), ("N", "none")], "l_returnflag string, name string")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    return export.with_lookup(rows, F.broadcast(names), "l_returnflag", "name", "").drop("l_returnflag")
+    return export.with_lookup(rows, names, "l_returnflag", "name", "").drop("l_returnflag")
 
 
 @query("SELECT page_id, CASE WHEN contains(url, '/') THEN nullif(list_extract(string_split(url, '/'), 3), '') END AS host, CASE WHEN contains(url, '/') THEN list_extract(string_split(url, '/'), -1) ELSE list_extract(string_split(url, '.'), -1) END AS last FROM pages")
@@ -455,6 +491,13 @@ def split_apss_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(split.subset_sum_split(rows, "o_orderpriority", [0.55, 0.45], 0, "o_orderkey"), "o_orderkey", "o_orderpriority")
 
 
+@query(subset_sql(_ORDERS, "o_orderpriority", "o_orderkey", [0.55, 0.45]))
+def split_apss_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums that differ by less than this epsilon are merged; at these counts the best one stays."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return _parts(split.subset_sum_split(rows, "o_orderpriority", [0.55, 0.45], 1e-6, "o_orderkey"), "o_orderkey", "o_orderpriority")
+
+
 @query(subset_sql(_DOCS, "lang", "doc_id", [0.9, 0.1]))
 def split_auto_few_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten folds but four groups: subset sum."""
@@ -507,3 +550,187 @@ def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("annotation_id"), (F.col("l_quantity") - 25).alias("image_width"),
         (F.col("l_discount") * F.col("l_tax")).alias("area"), F.col("l_linenumber").alias("iscrowd"),
     ))
+
+
+# --- documents ---------------------------------------------------------------------------------------
+
+ORDERS_A_FILE = 2000
+_FILE = f"CAST(floor(l_orderkey / {ORDERS_A_FILE}) AS INTEGER)"
+_TABLE_COLUMNS = "image_width, image_height, x_min, y_min, width, height, supercategory, category, category_id"
+
+
+def _coco_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file_pos, file, value)``: a COCO document for each run of orders; image ids count down, boxes come by line."""
+    file = F.floor(F.col("l_orderkey") / ORDERS_A_FILE).cast("int").alias("file_pos")
+    rows = boxes(spark, sf_dir).withColumn("file_pos", file)
+    image = F.struct((-F.col("l_orderkey")).alias("id"), F.col("image_filename").alias("file_name"), F.lit(SIZE[0]).alias("width"), F.lit(SIZE[1]).alias("height"))
+    box = F.struct(*LINE, F.struct(
+        (-F.col("l_orderkey")).alias("image_id"), "category_id", F.array("x_min", "y_min", "width", "height").alias("bbox"), F.col("l_linenumber").alias("id"),
+    ).alias("box"))
+    kind = F.struct(F.col("category_id").alias("id"), F.col("category").alias("name"), F.lit("flag").alias("supercategory"))
+    docs = rows.groupBy("file_pos").agg(
+        F.array_sort(F.collect_set(image)).alias("images"), F.array_sort(F.collect_list(box)).alias("boxes"), F.array_sort(F.collect_set(kind)).alias("categories"))
+    value = F.to_json(F.struct("images", F.col("boxes.box").alias("annotations"), "categories"))
+    return docs.select("file_pos", F.concat(F.lit("file "), F.col("file_pos").cast("string")).alias("file"), value.alias("value"))
+
+
+_COCO_ROWS_SQL = f"""
+file AS (
+  SELECT {_FILE} AS file_pos, image_filename, CAST({SIZE[0]} AS BIGINT) AS image_width, CAST({SIZE[1]} AS BIGINT) AS image_height, x_min, y_min, width, height,
+    'flag' AS supercategory, category, CAST(category_id AS BIGINT) AS category_id, {_LINE_SQL}, l_orderkey FROM boxes),
+ranked AS (
+  SELECT *, dense_rank() OVER (PARTITION BY file_pos ORDER BY image_filename) - 1 AS image_id,
+    row_number() OVER (PARTITION BY file_pos ORDER BY {_LINE_SQL}, l_orderkey DESC) - 1 AS annotation_id FROM file)
+"""
+
+
+@query(with_boxes(f", {_COCO_ROWS_SQL} SELECT file_pos, CAST(annotation_id AS BIGINT) AS annotation_id, image_filename, CAST(image_id AS BIGINT) AS image_id, {_TABLE_COLUMNS} FROM ranked"))
+def coco_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COCO documents parsed: images and boxes numbered within their file, sizes and names looked up."""
+    return documents.document_rows(_coco_documents(spark, sf_dir), "COCO")
+
+
+_KEPT_SQL = "image_filename, x_min, y_min, width, height, supercategory, category, category_id"
+
+
+@query(with_boxes(f""", {_COCO_ROWS_SQL},
+one AS (
+  SELECT image_filename, image_width, image_height, x_min, y_min, width, height, supercategory, category, category_id, file_pos, min(annotation_id) AS source
+  FROM ranked GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY image_filename, file_pos, source) - 1 AS BIGINT) AS annotation_id, image_filename,
+  CAST(dense_rank() OVER (ORDER BY image_filename) - 1 AS BIGINT) AS image_id, {_TABLE_COLUMNS} FROM one
+"""))
+def coco_several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of many COCO documents: repeated rows gone, images and rows numbered over all."""
+    return documents.several_files(documents.document_rows(_coco_documents(spark, sf_dir), "COCO"))
+
+
+@query(with_boxes(f""", {_COCO_ROWS_SQL},
+one AS (
+  SELECT image_filename, image_id, image_width, image_height, x_min, y_min, width, height, supercategory, category, category_id, min(annotation_id) AS annotation_id
+  FROM ranked WHERE file_pos = 0 GROUP BY ALL)
+SELECT CAST(annotation_id AS BIGINT) AS annotation_id, image_filename, CAST(image_id AS BIGINT) AS image_id, {_TABLE_COLUMNS} FROM one
+"""))
+def coco_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of one COCO document: it keeps the file's own numbers, with gaps where repeated rows went."""
+    docs = _coco_documents(spark, sf_dir).where("file_pos = 0")
+    return documents.single_file(documents.document_rows(docs, "COCO"))
+
+
+_OPTIONS = {"A": "accepted", "N": "none", "R": "returned"}
+
+
+def _via_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file_pos, file, value)``: a VIA document for each run of orders, an entry an order, named by its customer.
+
+    Widths are numbers with a fraction, heights digits in quotes or words; every eighth region has no attribute.
+    """
+    file = F.floor(F.col("l_orderkey") / ORDERS_A_FILE).cast("int").alias("file_pos")
+    attributes = F.when(F.col("l_partkey") % 8 == 0, F.lit("{}")).otherwise(F.format_string('{"flag": "%s", "state": "x"}', "l_returnflag"))
+    shape = F.to_json(F.struct(
+        F.lit("rect").alias("name"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("width"), F.col("l_tax").alias("height")))
+    region = F.concat(F.lit('{"shape_attributes": '), shape, F.lit(', "region_attributes": '), attributes, F.lit("}"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE, region.alias("region")))).alias("r"))
+    rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    height = F.when(F.col("l_orderkey") % 3 == 0, F.lit('"720"')).when(F.col("l_orderkey") % 3 == 1, F.lit('"tall"')).otherwise(F.lit("null"))
+    entry = F.format_string(
+        '"%s": {"filename": "%012d.jpg", "size": -1, "file_attributes": {"width": %s.7, "height": %s}, "regions": [%s]}',
+        "l_orderkey", "o_custkey", (F.col("l_orderkey") % 5000).cast("string"), height, F.array_join("r.region", ", "))
+    docs = rows.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", entry.alias("entry")))).alias("e"))
+    head, tail = F.lit('{"_via_img_metadata": {'), F.lit('}, "_via_attributes": {"region": {"flag": {"options": ' + json.dumps(_OPTIONS) + '}}, "file": {}}}')
+    return docs.select("file_pos", F.concat(F.lit("file "), F.col("file_pos").cast("string")).alias("file"), F.concat(head, F.array_join("e.entry", ", "), tail).alias("value"))
+
+
+_VIA_ROWS_SQL = f"""
+WITH entry AS (
+  SELECT o_orderkey AS l_orderkey, lpad(CAST(o_custkey AS VARCHAR), 12, '0') || '.jpg' AS image_filename, {_FILE.replace("l_orderkey", "o_orderkey")} AS file_pos,
+    CAST(o_orderkey % 5000 AS BIGINT) AS image_width, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 720 ELSE 0 END AS BIGINT) AS image_height
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+image AS (SELECT *, rank() OVER (PARTITION BY file_pos ORDER BY image_filename) - 1 AS image_id FROM entry),
+line AS (SELECT * FROM lineitem JOIN image USING (l_orderkey)),
+rows AS (
+  SELECT file_pos, CAST(row_number() OVER (PARTITION BY file_pos ORDER BY l_orderkey, {_LINE_SQL}) - 1 AS BIGINT) AS annotation_id, image_filename,
+    CAST(image_id AS BIGINT) AS image_id, image_width, image_height, l_quantity AS x_min, l_extendedprice AS y_min, l_discount AS width, l_tax AS height,
+    CASE WHEN l_partkey % 8 = 0 THEN '' ELSE 'flag' END AS supercategory,
+    CASE WHEN l_partkey % 8 = 0 THEN '' WHEN l_returnflag = 'A' THEN 'accepted' WHEN l_returnflag = 'N' THEN 'none' ELSE 'returned' END AS category,
+    CAST(CASE WHEN l_partkey % 8 = 0 THEN -1 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 2 ELSE 3 END AS BIGINT) AS category_id FROM line)
+"""
+
+
+@query(f"{_VIA_ROWS_SQL} SELECT * FROM rows")
+def via_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VIA documents parsed: equal filenames of a file share the first rank, sizes become integers, categories are looked up."""
+    return documents.document_rows(_via_documents(spark, sf_dir), "VIA")
+
+
+@query(f"""
+{_VIA_ROWS_SQL},
+one AS (
+  SELECT {_KEPT_SQL}, min((file_pos, annotation_id, image_width, image_height)) AS f FROM rows GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY image_filename, f) - 1 AS BIGINT) AS annotation_id, image_filename,
+  CAST(dense_rank() OVER (ORDER BY image_filename) - 1 AS BIGINT) AS image_id, f[3] AS image_width, f[4] AS image_height,
+  x_min, y_min, width, height, supercategory, category, category_id FROM one
+""")
+def via_several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of many VIA documents; sizes don't tell rows apart, the first row's stay."""
+    return documents.several_files(documents.document_rows(_via_documents(spark, sf_dir), "VIA"))
+
+
+#: Faults of small COCO documents, by ``user_id % 9``: what stands for the sections, and the message that is due.
+_FAULTS = {
+    "images": {5: "[]", 6: '[{"id": 1, "width": 2, "height": 2}]', 8: '[{"id": 1, "file_name": "a", "width": 2, "height": 2}, {"id": 1, "file_name": "b", "width": 2, "height": 2}]'},
+    "annotations": {2: "7", 3: '[{"id": 0, "image_id": 1, "bbox": [1, 2, "3", 4], "category_id": 1}]', 7: '[{"id": 0, "image_id": 1, "category_id": 1}]'},
+}
+_GOOD = {
+    "images": '[{"id": 1, "file_name": "a", "width": 2, "height": 2}]',
+    "annotations": '[{"id": 0, "image_id": 1, "bbox": [1, 2, 3, 4], "category_id": 1}]',
+}
+
+
+@query("""
+SELECT event_id AS file_pos, 'event ' || event_id AS file, CASE user_id % 9
+  WHEN 1 THEN 'Error decoding JSON data from file: event ' || event_id
+  WHEN 2 THEN '7 is not of type ' || chr(39) || 'array' || chr(39) WHEN 3 THEN '"3" is not of type ' || chr(39) || 'number' || chr(39)
+  WHEN 4 THEN 'Required key(s) [''categories''] not found.'
+  WHEN 5 THEN 'Empty value(s) found for the required key(s) [''images''].'
+  WHEN 6 THEN 'Required key(s) [''file_name''] not found for image {"height":2,"id":1,"width":2}.'
+  WHEN 7 THEN 'Required key(s) [''bbox''] not found for annotation {"category_id":1,"id":0,"image_id":1}.'
+  WHEN 8 THEN 'The image IDs in the input COCO file are not unique. There are 2 image entries, but only 1 unique image IDs.' END AS error
+FROM events
+""")
+def coco_document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small document for each event, most with a fault: the first thing wrong with each."""
+    fault = F.col("user_id") % 9
+
+    def part(name: str):
+        out = F.lit(_GOOD[name])
+        for k, text in _FAULTS[name].items():
+            out = F.when(fault == k, text).otherwise(out)
+        return out
+
+    rest = F.when(fault == 4, "").otherwise(', "categories": [{"id": 1, "name": "x"}]')
+    whole = F.concat(F.lit('{"images": '), part("images"), F.lit(', "annotations": '), part("annotations"), rest, F.when(fault == 1, "").otherwise("}"))
+    name = F.concat(F.lit("event "), F.col("event_id").cast("string"))
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_pos"), name.alias("file"), whole.alias("value"))
+    return document_errors(docs, "COCO")
+
+
+@query("""
+SELECT event_id AS file_pos, 'event ' || event_id AS file, CASE user_id % 5
+  WHEN 1 THEN 'Error decoding JSON data from file: event ' || event_id
+  WHEN 2 THEN 'Required key(s) [''_via_attributes''] not found.'
+  WHEN 3 THEN 'Required key(s) [''filename''] not found for k' || event_id || '.'
+  WHEN 4 THEN 'Required key(s) [''height'', ''y''] not found for region 0 under k' || event_id || '.' END AS error
+FROM events
+""")
+def via_document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fault = F.col("user_id") % 5
+    shape = F.when(fault == 4, '"x": 1, "width": 2').otherwise('"x": 1, "y": 2.5, "width": 2, "height": 3')
+    name = F.when(fault == 3, "").otherwise('"filename": "a.jpg", ')
+    rest = F.when(fault == 2, "").otherwise(', "_via_attributes": {"region": {"flag": {"options": {"1": "x"}}}}')
+    whole = F.concat(
+        F.lit('{"_via_img_metadata": {"k'), F.col("event_id").cast("string"), F.lit('": {'), name, F.lit('"regions": [{"shape_attributes": {'), shape,
+        F.lit('}, "region_attributes": {}}]}}'), rest, F.when(fault == 1, "").otherwise("}"))
+    file = F.concat(F.lit("event "), F.col("event_id").cast("string"))
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_pos"), file.alias("file"), whole.alias("value"))
+    return document_errors(docs, "VIA")

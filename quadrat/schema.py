@@ -46,12 +46,12 @@ COCO_FIELDS = {
 }
 
 COCO_DOCUMENT = (
-    "images array<struct<id:string,file_name:string,width:string,height:string>>,"
+    "images array<struct<id:string,file_name:string,width:variant,height:variant>>,"
     "annotations array<struct<image_id:string,bbox:array<double>,category_id:bigint>>,"
     "categories array<struct<id:bigint,name:string,supercategory:string>>"
 )
 VIA_DOCUMENT = (
-    "_via_img_metadata map<string,struct<filename:string,file_attributes:map<string,string>,regions:array<struct<"
+    "_via_img_metadata map<string,struct<filename:string,file_attributes:map<string,variant>,regions:array<struct<"
     "shape_attributes:struct<x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>>>>,"
     "_via_attributes struct<region:map<string,struct<options:map<string,string>>>>"
 )

@@ -1,7 +1,9 @@
 """Annotation documents: one file is one row, read by Spark and parsed there.
 
-A JSON document isn't splittable, so one document is one task's work up to the explode; many
-documents spread over tasks. Everything after the explode is keyed by file and image.
+A JSON document isn't splittable, so one task reads and parses it; many documents spread over tasks. The
+parsed documents are written once, and their images, boxes and entries are read from there. After that
+one file's images and boxes spread over tasks, too; only the names and box counts of a VIA file's entries
+meet in one task again.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from quadrat import schema
 from quadrat.functions import boxes as B
 from quadrat.operators.dedup import keep_first
-from quadrat.operators.numbering import positions, with_image_ids
+from quadrat.operators.numbering import numbered
+from quadrat.shared import written
 
 FORMATS = ("VIA", "COCO")
 
@@ -50,6 +53,10 @@ def _or_error(value, message: str, *of):
     return F.coalesce(value, F.raise_error(F.format_string(message, *of)).cast("string"))
 
 
+def _parsed(docs: DataFrame, kind: str) -> DataFrame:
+    return written(docs.select("file_pos", F.from_json("value", kind).alias("d")), "parsed")
+
+
 def coco_rows(docs: DataFrame) -> DataFrame:
     """Canonical rows with ``file_pos`` of COCO documents.
 
@@ -57,11 +64,12 @@ def coco_rows(docs: DataFrame) -> DataFrame:
     have annotations or not. Of categories with one id the last counts. An annotation whose image or
     category isn't in its file is an error, as is a box that hasn't four numbers.
     """
-    doc = docs.select("file_pos", F.from_json("value", schema.COCO_DOCUMENT).alias("d"))
-    ordered = F.array_sort(F.transform("d.images", lambda x, i: F.struct(x.file_name.alias("f"), i.alias("i"), x.alias("x"))))
+    doc = _parsed(docs, schema.COCO_DOCUMENT)
+    sized = lambda x: (B.size_as_integer(x[c]).alias(c) for c in ("width", "height"))
+    ordered = F.array_sort(F.transform("d.images", lambda x, i: F.struct(x.file_name.alias("f"), i.alias("i"), x.id.alias("id"), *sized(x))))
     image = doc.select("file_pos", F.posexplode(ordered).alias("image_id", "e")).select(
-        "file_pos", F.col("image_id").cast("bigint"), F.col("e.x.id").alias("__image"), F.col("e.f").alias("image_filename"),
-        B.size_as_integer(F.col("e.x.width")).alias("image_width"), B.size_as_integer(F.col("e.x.height")).alias("image_height"),
+        "file_pos", F.col("image_id").cast("bigint"), F.col("e.id").alias("source_image"), F.col("e.f").alias("image_filename"),
+        F.col("e.width").alias("image_width"), F.col("e.height").alias("image_height"),
     )
     category = (
         doc.select("file_pos", F.posexplode("d.categories").alias("pos", "c"))
@@ -70,13 +78,13 @@ def coco_rows(docs: DataFrame) -> DataFrame:
         .select("file_pos", "category_id", F.col("c.name").alias("category"), F.coalesce("c.supercategory", F.lit("")).alias("supercategory"))
     )
     box = doc.select("file_pos", F.posexplode("d.annotations").alias("pos", "a")).select(
-        "file_pos", F.col("pos").cast("bigint").alias("annotation_id"), F.col("a.image_id").alias("__image"), "a.category_id",
+        "file_pos", F.col("pos").cast("bigint").alias("annotation_id"), F.col("a.image_id").alias("source_image"), "a.category_id",
         F.when(F.size("a.bbox") == 4, F.col("a.bbox")).otherwise(F.raise_error(F.lit("A box needs four numbers."))).alias("b"),
     )
-    joined = box.join(image, ["file_pos", "__image"], "left").join(category, ["file_pos", "category_id"], "left")
+    joined = box.join(image, ["file_pos", "source_image"], "left").join(category, ["file_pos", "category_id"], "left")
     return joined.select(
         "file_pos", "annotation_id",
-        _or_error(F.col("image_filename"), "No image with id %s.", F.col("__image")).alias("image_filename"),
+        _or_error(F.col("image_filename"), "No image with id %s.", F.col("source_image")).alias("image_filename"),
         "image_id", "image_width", "image_height",
         *(F.col("b")[i].alias(c) for i, c in enumerate(("x_min", "y_min", "width", "height"))),
         "supercategory", _or_error(F.col("category"), "No category with id %s.", F.col("category_id")).alias("category"), "category_id",
@@ -90,37 +98,39 @@ def via_rows(docs: DataFrame) -> DataFrame:
     the first rank. A region's supercategory is its first attribute in alphabetical order; a region or file
     without attributes has no category. Of entries under one key the last counts, at the place of the first.
     """
-    doc = docs.select("file_pos", F.from_json("value", schema.VIA_DOCUMENT).alias("d"))
-    region = F.col("d._via_attributes.region").alias("categories")
-    entry = doc.select("file_pos", region, F.posexplode("d._via_img_metadata").alias("pos", "key", "e"))
-    entry = entry.groupBy("file_pos", "key").agg(
-        F.min("pos").alias("pos"), F.max_by(F.struct("e", "categories"), "pos").alias("x")
-    )
-    entry = entry.select("file_pos", "pos", "x.e", "x.categories")
-    by_name = Window.partitionBy("file_pos").orderBy("e.filename")  # the entries of one document
-    entry = entry.withColumn("image_id", (F.rank().over(by_name) - 1).cast("bigint"))
-    box = entry.select(
-        "file_pos", "pos", "image_id", "categories", F.col("e.filename").alias("image_filename"),
+    doc = _parsed(docs, schema.VIA_DOCUMENT)
+    entry = doc.select("file_pos", F.posexplode("d._via_img_metadata").alias("pos", "key", "e"))
+    narrow = entry.select("file_pos", "key", "pos", F.struct("pos", "e.filename", F.greatest(F.size("e.regions"), F.lit(0)).alias("n")).alias("x"))
+    kept = narrow.groupBy("file_pos", "key").agg(F.min("pos").alias("first"), F.max_by("x", "pos").alias("x"))
+    by_name = Window.partitionBy("file_pos").orderBy("x.filename")
+    before = Window.partitionBy("file_pos").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = kept.select(
+        "file_pos", F.col("x.pos").alias("pos"), (F.rank().over(by_name) - 1).cast("bigint").alias("image_id"),
+        F.coalesce(F.sum("x.n").over(before), F.lit(0)).alias("boxes_before"),
+    )
+    box = entry.join(numbers, ["file_pos", "pos"]).select(
+        "file_pos", "image_id", "boxes_before", F.col("e.filename").alias("image_filename"),
         B.size_as_integer(F.try_element_at("e.file_attributes", F.lit("width"))).alias("image_width"),
         B.size_as_integer(F.try_element_at("e.file_attributes", F.lit("height"))).alias("image_height"),
         F.posexplode("e.regions").alias("place", "r"),
     )
-    in_file = Window.partitionBy("file_pos").orderBy("pos", "place")
-    attributes = F.col("r.region_attributes")
-    has = F.coalesce((F.size(attributes) > 0) & (F.size("categories") > 0), F.lit(False))
-    box = box.withColumn("annotation_id", (F.row_number().over(in_file) - 1).cast("bigint")).withColumn("has", has)
-    box = box.withColumn("sc", F.when(F.col("has"), B.first_key(attributes)))
-    box = box.withColumn("cid", F.try_element_at(attributes, F.col("sc")))
-    box = box.withColumn("options", F.try_element_at("categories", F.col("sc"))["options"])
-    name = _or_error(F.try_element_at("options", F.col("cid")), "No category %s under %s.", F.col("cid"), F.col("sc"))
-    number = B.category_number(F.col("cid"), F.map_keys("options"))
+    box = box.withColumn("sc", B.first_key(F.col("r.region_attributes")))
+    box = box.withColumn("cid", F.try_element_at("r.region_attributes", F.col("sc")))
+    named = doc.select("file_pos", F.explode("d._via_attributes.region").alias("sc", "of"))
+    options = named.select("file_pos", "sc", F.map_keys("of.options").alias("keys"), F.explode("of.options").alias("cid", "name"))
+    options = options.select("file_pos", "sc", "cid", "name", B.category_number(F.col("cid"), F.col("keys")).alias("number"))
+    some = doc.select("file_pos", F.coalesce(F.size("d._via_attributes.region") > 0, F.lit(False)).alias("has_categories"))
+    box = box.join(options, ["file_pos", "sc", "cid"], "left").join(some, "file_pos")
+    has = F.col("sc").isNotNull() & F.col("has_categories")
+    name = _or_error(F.col("name"), "No category %s under %s.", F.col("cid"), F.col("sc"))
     return box.select(
-        "file_pos", "annotation_id", "image_filename", "image_id", "image_width", "image_height",
+        "file_pos", (F.col("boxes_before") + F.col("place")).cast("bigint").alias("annotation_id"),
+        "image_filename", "image_id", "image_width", "image_height",
         F.col("r.shape_attributes.x").alias("x_min"), F.col("r.shape_attributes.y").alias("y_min"),
         F.col("r.shape_attributes.width").alias("width"), F.col("r.shape_attributes.height").alias("height"),
-        F.when(F.col("has"), F.col("sc")).otherwise("").alias("supercategory"),
-        F.when(F.col("has"), name).otherwise("").alias("category"),
-        F.when(F.col("has"), number).otherwise(-1).cast("bigint").alias("category_id"),
+        F.when(has, F.col("sc")).otherwise("").alias("supercategory"),
+        F.when(has, name).otherwise("").alias("category"),
+        F.when(has, F.col("number")).otherwise(-1).cast("bigint").alias("category_id"),
     )
 
 
@@ -143,6 +153,5 @@ def several_files(rows: DataFrame) -> DataFrame:
     """
     free = ("annotation_id", "image_id", "image_width", "image_height")
     rows = keep_first(rows, [c for c in schema.COLUMNS if c not in free], ["file_pos", "annotation_id"])
-    rows = with_image_ids(rows).withColumnRenamed("annotation_id", "__source")
-    numbered = positions(rows, ["image_filename", "file_pos", "__source"], "annotation_id")
-    return numbered.select(*schema.COLUMNS)
+    rows = written(rows.withColumnRenamed("annotation_id", "source_id").drop("image_id"), "distinct")
+    return numbered(rows, "image_filename", ["file_pos", "source_id"], place="image_id", position="annotation_id").select(*schema.COLUMNS)

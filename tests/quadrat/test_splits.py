@@ -158,11 +158,25 @@ def test_numbers_of_nothing(spark):
     assert dense.without_empty_columns(none).columns == none.columns and numbering.positions(none, ["v"]).collect() == []
 
 
-def test_slots_of_a_hot_group(spark):
+def test_slots_of_a_hot_group(spark, monkeypatch):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as g", "cast(id as bigint) as o")
-    got = numbering.slots(df, "g", ["o"]).where("g is null or g = 7").orderBy("g", "o").collect()
-    for value in (None, 7):
-        assert [r["id"] for r in got if r["g"] == value] == list(range(sum(r["g"] == value for r in got)))
+    for big in (1 << 20, 1000):  # within one task, and by ranges
+        monkeypatch.setattr(numbering, "BIG", big)
+        rows = numbering.slots(df, "g", ["o"])
+        assert rows.count() == 5000
+        got = rows.where("g is null or g = 7").orderBy("g", "o").collect()
+        for value in (None, 7):
+            assert [r["id"] for r in got if r["g"] == value] == list(range(sum(r["g"] == value for r in got)))
+
+
+def test_numbers_with_clashing_names(spark, monkeypatch):
+    names = ["at", "part", "offset", "size", "rank", "start", "inside", "big", "place", "first"]
+    df = spark.createDataFrame([(k % 7, k, *([f"v{k}"] * len(names))) for k in range(200)], ", ".join(["g int", "o int", *(f"{n} string" for n in names)]))
+    for big in (1 << 20, 10):
+        monkeypatch.setattr(numbering, "BIG", big)
+        got = numbering.numbered(df, "g", ["o"], place="image_id", slot="id", position="annotation_id").collect()
+        assert {(r.o, r.image_id, r.id) for r in got} == {(k, k % 7, k // 7) for k in range(200)}
+        assert sorted(r.annotation_id for r in got) == list(range(200)) and all(r[n] == f"v{r.o}" for r in got for n in names)
 
 
 def test_keep_first_counts_nulls_as_equal(spark):
