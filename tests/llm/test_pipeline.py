@@ -54,3 +54,23 @@ def test_each_stage_on_its_input(spark):
 def test_run_repeats_itself(spark):
     out = [corpus_pipeline.run(spark, SF).agg(F.count("*"), F.sum("ids_crc32"), F.max("start")).first() for _ in range(2)]
     assert out[0] == out[1]
+
+
+def test_stages_on_awkward_rows(spark):
+    text = "the words of a text that nobody wrote and that stands here twice " * 3
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t", "en", None, 3), (4, text, "en", "s", len(text)), (4, text, "en", "s", len(text)),
+            (None, text, "en", "s", len(text)), (5, text + "x", None, "s", None), (6, "long " * 40_000, "en", "t", 200_000), (7, "tied words", "en", "t", 10), (8, "tied words", "en", "t", 10)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["row", "score", "keep", "sampled", "n_words", "spans", "items", "size", "name", "words", "times", "each", "__row", "__n"]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], ", ".join([kind, *(f"`{n}` string" for n in extra)]))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = corpus_pipeline.written(stage(spark, now, SF), name)
+            if stage is not corpus_pipeline.token_output:
+                assert now.columns == docs.columns
+                assert all(r[n] == n for r in now.collect() for n in extra)
+        if start is not docs:
+            assert now.count() == 0
+    unique = corpus_pipeline.simhash_dedup(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in unique) == [1, 4, 6, 7]
