@@ -11,7 +11,7 @@ from quadrat import schema
 from quadrat.operators import dense as _dense
 from quadrat.operators import split as _split
 from quadrat.operators.dedup import last_value
-from quadrat.operators.export import export_table
+from quadrat.operators.export import export_table, with_lookup
 from quadrat.shared import written
 from quadrat.sources import coco_sink, documents
 from quadrat.sources.checks import AnnotationsDataset, check_documents, check_export, check_table, checked_input, checked_output
@@ -45,6 +45,10 @@ class Dataset:
         """A row per image with padded arrays."""
         return _dense.dense_view(self.annotations)
 
+    def tracks(self) -> DataFrame:
+        """A row per time (image) and individual (slot), with centres, sizes and an unknown confidence."""
+        return _dense.track_table(self.annotations)
+
     def with_image_variable(self, values: DataFrame) -> Dataset:
         """The dataset with further columns of ``images``, joined by ``image_id``."""
         return replace(self, images=self.images.join(values, "image_id", "left"))
@@ -100,10 +104,8 @@ def from_files(
 def to_COCO_table(dataset: Dataset) -> DataFrame:
     """The exportable table of a dataset: names come from its maps, boxes with an undefined side are left out."""
     boxes = dataset.annotations.dropna("any", subset=["x_min", "y_min", "width", "height"])
-    boxes = boxes.drop("image_filename", "category")
-    boxes = boxes.join(dataset.images.select("image_id", "image_filename"), "image_id", "left")
-    boxes = boxes.join(dataset.categories.select("category_id", "category"), "category_id", "left")
-    return export_table(boxes)
+    boxes = with_lookup(boxes, dataset.images, "image_id", "image_filename")
+    return export_table(with_lookup(boxes, dataset.categories, "category_id", "category", ""))
 
 
 @checked_input(AnnotationsDataset)
@@ -119,8 +121,8 @@ def from_dense(dense: DataFrame, images: DataFrame, categories: DataFrame) -> Da
     boxes = _dense.long_view(dense)
     if "image_shape" in boxes.columns:
         boxes = boxes.withColumns({"image_width": F.col("image_shape")[0], "image_height": F.col("image_shape")[1]})
-    boxes = boxes.join(images.select("image_id", "image_filename"), "image_id", "left")
-    boxes = boxes.join(categories.select("category_id", "category"), "category_id", "left")
+    boxes = with_lookup(boxes, images, "image_id", "image_filename")
+    boxes = with_lookup(boxes, categories, "category_id", "category")
     keep = [c for c in (*schema.COLUMNS, "id") if c in boxes.columns]
     return Dataset(boxes.select(*keep), images, categories)
 

@@ -18,7 +18,7 @@ from quadrat.operators.dedup import keep_first, last_value, union_all
 from quadrat.schema import COCO_FIELDS, SENTINELS
 from quadrat.shared import written
 from quadrat.sources import documents
-from quadrat.sources.checks import document_errors, export_rule_counts
+from quadrat.sources.checks import document_errors, export_rule_counts, key_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -534,11 +534,8 @@ def _of_segments(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
 @query("SELECT event_id, json_exists(props, '$.k') AS has_k, json_exists(props, '$.absent') AS has_absent, json_valid(props) AS is_json FROM events")
 def json_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.try_parse_json("props")
-    keys = F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>"))
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.coalesce(F.array_contains(keys, "k"), F.lit(False)).alias("has_k"),
-        F.coalesce(F.array_contains(keys, "absent"), F.lit(False)).alias("has_absent"), doc.isNotNull().alias("is_json"),
-    )
+    has = lambda key: F.coalesce(key_error(doc, [key], F.lit("")).isNull() & doc.isNotNull(), F.lit(False))
+    return table(spark, sf_dir, "events").select("event_id", has("k").alias("has_k"), has("absent").alias("has_absent"), doc.isNotNull().alias("is_json"))
 
 
 @query("""
