@@ -104,10 +104,11 @@ def _tiles(leads: DataFrame, tile: int) -> DataFrame:
     """``label, node, dim, lead, tile``: bins along the lead, each dealt by hash by its own count, so equal leads split too."""
     probs = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
     stats = leads.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx("lead", probs, 2000).alias("cuts"))
+    stats = written(stats, "stats")
     bins = F.least(F.ceil(F.col("size") / tile), F.lit(CUTS + 1))
     fine = F.size(F.filter("cuts", lambda c: c < F.col("lead")))
     binned = leads.join(stats, ["label", "dim"]).withColumn("bin", F.floor(fine * bins / (CUTS + 1))).drop("cuts", "size")
-    counts = binned.groupBy("label", "dim", "bin").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    counts = written(binned.groupBy("label", "dim", "bin").agg(F.ceil(F.count("*") / tile).alias("parts")), "bins")
     part = F.pmod(F.xxhash64("node"), "parts")
     return binned.join(counts, ["label", "dim", "bin"]).select("label", "node", "dim", "lead", F.struct("bin", part.alias("part")).alias("tile"))
 

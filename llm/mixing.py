@@ -99,15 +99,14 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SE
     """
     units = docs.select("doc_id", "source", size_of().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     units = written(units.withColumn("words", F.col("n") * F.col("size")), "units")
-    goal = written(targets(units, weights), "targets")
-    counts = written(units.groupBy("source").agg(F.ceil(F.count("*") / BUCKET).alias("buckets")), "buckets")
-    goal = goal.join(counts, goal["source"].eqNullSafe(counts["source"])).drop(counts["source"])
-    goal = goal.withColumn("group", F.xxhash64("source", F.lit(seed))).withColumnRenamed("source", "named")
+    counts = units.groupBy("source").agg(F.ceil(F.count("*") / BUCKET).alias("buckets")).withColumnRenamed("source", "named")
+    goal = targets(units, weights).withColumn("group", F.xxhash64("source", F.lit(seed)))
+    goal = written(goal.join(counts, goal["source"].eqNullSafe(counts["named"])).drop("source"), "targets")
     rows = units.join(goal, units["source"].eqNullSafe(goal["named"])).drop("named")
     rate = F.when(F.col("words") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "buckets"))
-    most = counts.agg(F.max("buckets")).first()[0] or 1
+    most = goal.agg(F.max("buckets")).first()[0] or 1
     columns = ["doc_id", "source", "size", "n", "words", "source_size", "target", "group", "bucket", "order", "whole", "p"]
     rows, done, level = rows.select(*columns), None, 0
     kind = ", ".join(f"`{c}` {ddl(rows, c)}" for c in columns)

@@ -117,6 +117,7 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: dict[str, int] | None =
     rows = ledger.where(F.col("rule").isin(*rules) & (F.col("version") == version[F.col("rule")]) & (F.size("spans") > 0))
     own = F.transform("spans", lambda s: F.struct(s[0].alias("start"), order[F.col("rule")].alias("order"), F.col("rule").alias("rule"), s[1].alias("end")))
     by_blob = rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("found"))
+    by_blob = written(by_blob, "found")
     joined = paths.join(by_blob, "blob", "left")
     return joined.select("doc_id", "blob", F.coalesce("found", F.array().cast(by_blob.schema["found"].dataType)).alias("found"))
 

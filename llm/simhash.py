@@ -272,7 +272,8 @@ def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
     edges = near_links(nodes.select(F.col("fp").alias("node"), "fp"), tau)
     rows = marks.groupBy("doc_id", "row", "fp").agg(F.count("*").alias("n"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
-    keep = rows.join(_roots(nodes, edges), "fp").groupBy("root").agg(F.min(place).alias("first"))
+    rooted = written(_roots(nodes, edges), "roots")
+    keep = rows.join(rooted, "fp").groupBy("root").agg(F.min(place).alias("first"))
     keep = written(keep.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__kept"), F.col("first.n").alias("n")), "kept")
     (row,) = fresh(docs.columns, "row")
     out = docs.withColumn(row, F.xxhash64("doc_id", "text"))

@@ -132,7 +132,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     prior, _ = naive_bayes([], {r["bad"]: r["n"] for r in both.groupBy("bad").agg(F.count("*").alias("n")).collect()})
     found = both.select("host", "path", "tokens").distinct().select("host", "path", F.explode("tokens").alias("token")).join(weight, "token")
     inorder = F.array_sort(F.collect_list("weight"))  # so that sums don't depend on the order of rows
-    sums = found.groupBy("host", "path").agg(F.aggregate(inorder, F.lit(0.0), lambda x, y: x + y).alias("sum"))
+    sums = written(found.groupBy("host", "path").agg(F.aggregate(inorder, F.lit(0.0), lambda x, y: x + y).alias("sum")), "sums")
     rule, verdict = ruled(rules)
     out = both.join(sums, ["host", "path"], "left").withColumn("score", F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
