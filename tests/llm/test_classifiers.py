@@ -107,3 +107,41 @@ def test_surest_of_all_rows(spark, monkeypatch):
         z = {r: x * (1 if label else -1) * (1 if view == 0 else -1) for r, x in odds.items() if (view, r) not in taken}
         want = sorted((-float(sigmoid(float(x))), r) for r, x in z.items() if sigmoid(float(x)) >= 0.6)[: quality.GIVEN]
         assert sorted(r for _, r in some) == sorted(r for _, r in want)
+
+
+def plain_toxicity_features(text):
+    """Distinct words, their beginnings, and beginnings that several distinct words share, without hashing tricks."""
+    found = {}
+    for w in set(toxicity.words(text)):
+        for part in [w, *(b"^" + w[:k] for k in (4, 5, 6, 7, 8) if len(w) >= k)]:
+            place = toxicity.xxhash.xxh32_intdigest(part) % 2**18
+            found[place] = found.get(place, 0) + 1
+    return set(found) | {(p * 31 + 7) % 2**18 for p, n in found.items() if n >= 3}
+
+
+def test_scores_match_plain_scoring(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    chain = toxicity.train(docs, labels)
+    one = lambda z: 1 / (1 + np.exp(-z))
+    for r in toxicity.scored(docs, labels).collect():
+        own, z = sorted(plain_toxicity_features(rows[r.doc_id].text)), []
+        for k, (w, v, b) in enumerate(chain.models):
+            score = sum(w[i] for i in own) + sum(x * y for x, y in zip(v, z)) + b
+            z.append(min(6, max(-6, score)) if k < 2 else score + chain.shift)
+        assert [r.p_insult, r.p_contempt, r.p_toxic] == pytest.approx([one(x) for x in z], abs=1e-9)
+    model = quality.train(docs, labels)
+    for r in quality.scored(docs, labels).collect():
+        x = rows[r.doc_id]
+        if not (x.text or "").strip():
+            assert r.score == r.p_text == r.p_meta == 0 and not r.keep
+            continue
+        raw, z = x.text.encode(), []
+        share = [np.log1p(1000 * raw.count(bytes([c])) / len(raw)) for c in range(128)]
+        assert quality.text_view(x.text)[:128] == pytest.approx(share, rel=1e-6)
+        meta = [float(repr(v) == name) for column, v in zip(model.encode.columns, (x.lang, x.source)) for name in column] + [np.log1p(x.n_chars), np.log1p(x.n_chars) ** 2 / 10, 0]
+        for m, scale, view in zip(model.models, model.scales, (quality.text_view(x.text), meta)):
+            raw_odds = sum(w * (a - mean) / s for w, a, mean, s in zip(m.w, view, m.mean, m.scale)) + m.w[-1]
+            z.append(min(12, max(-12, scale.w[0] * (raw_odds - scale.mean[0]) / scale.scale[0] + scale.w[1])))
+        mixed = sum(w * (a - mean) / s for w, a, mean, s in zip(model.mix.w, z, model.mix.mean, model.mix.scale)) + model.mix.w[-1]
+        assert [r.score, r.p_text, r.p_meta] == pytest.approx([one(v + model.shift) for v in (mixed, *z)], abs=1e-6)
