@@ -3,6 +3,7 @@
 import itertools
 import logging
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from quadrat.operators import dense, numbering, regions, split
 from quadrat.operators.dedup import keep_first
 from quadrat.operators.split import group_folds, group_split, random_split, subset_sum
 from quadrat.schema import TYPES, check_property_names, property_names
+from quadrat.shared import scratch
 
 
 @pytest.mark.parametrize(
@@ -223,3 +225,9 @@ def test_property_names():
     check_property_names(["images", "images/id"], TYPES["COCO"])
     with pytest.raises(ValueError, match=r"Required key\(s\) \['d', 'e'\] not found in schema\."):
         check_property_names(["e", "d", "a"], rules)
+
+
+def test_no_local_scratch_folder_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(session, "x")
