@@ -35,12 +35,16 @@ def boxes_per_image(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.count("*").alias("n_boxes"))
 
 
+def conflicting_sizes(boxes: DataFrame) -> DataFrame:
+    """``image_filename`` of the images that have several sizes."""
+    size = F.struct("image_width", "image_height")
+    sizes = boxes.groupBy("image_filename").agg(F.min(size).alias("a"), F.max(size).alias("b"))
+    return sizes.where("a <> b").select("image_filename")
+
+
 def check_image_sizes(boxes: DataFrame) -> None:
     """An image must have one size; names up to ten images that have several."""
-    sizes = boxes.groupBy("image_filename").agg(
-        F.min(F.struct("image_width", "image_height")).alias("a"), F.max(F.struct("image_width", "image_height")).alias("b")
-    )
-    bad = [r[0] for r in sizes.where("a <> b").select("image_filename").orderBy("image_filename").limit(10).collect()]
+    bad = [r[0] for r in conflicting_sizes(boxes).orderBy("image_filename").limit(10).collect()]
     if bad:
         raise ValueError(f"Images with more than one size: {bad}")
 

@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.dataset import Dataset, from_files, maps, split_dataset_group_by, split_dataset_random, to_COCO_file
 from quadrat.functions import boxes as B
 from quadrat.operators import dense, export, numbering, regions, split
 from quadrat.operators.dedup import keep_first, last_value, union_all
 from quadrat.schema import COCO_FIELDS, SENTINELS
-from quadrat.shared import written
+from quadrat.shared import scratch, written
 from quadrat.sources import documents
 from quadrat.sources.checks import document_errors, export_rule_counts, key_error
 
@@ -266,6 +267,31 @@ def drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "value").dropna("any", subset=["value"])
 
 
+@query("SELECT DISTINCT l_returnflag || l_linenumber AS image_filename FROM lineitem GROUP BY l_returnflag || l_linenumber HAVING count(DISTINCT l_tax) > 1")
+def image_size_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("image_filename"),
+        F.col("l_tax").alias("image_width"), F.lit(1).alias("image_height"),
+    )
+    return dense.conflicting_sizes(rows)
+
+
+@query(with_boxes(f"""
+SELECT CAST(image_id AS BIGINT) AS image_id, CAST((SELECT max(id) + 1 FROM slotted) AS INTEGER) AS slots, CAST(count(*) AS INTEGER) AS boxes,
+  CAST({SIZE[0]} AS BIGINT) AS image_width, CAST({SIZE[1]} AS BIGINT) AS image_height, min(x_min + width / 2) AS least_x, max(category_id) AS last_category
+FROM slotted GROUP BY image_id
+""").replace("max(category_id) AS last", "CAST(max(category_id) AS BIGINT) AS last"))
+def dense_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padded view with all of its arrays: their common length, what isn't padding, and the image's shape."""
+    rows = slotted(spark, sf_dir, "image_filename", "category", "category_id", "x_min", "y_min", "width", "height")
+    wide = dense.dense_view(rows.withColumns({"image_width": F.lit(SIZE[0]).cast("bigint"), "image_height": F.lit(SIZE[1]).cast("bigint")}))
+    some = F.filter("position_x", lambda x: ~F.isnan(x))
+    return wide.select(
+        "image_id", F.size("shape_y").alias("slots"), F.size(some).alias("boxes"), F.col("image_shape")[0].alias("image_width"),
+        F.col("image_shape")[1].alias("image_height"), F.array_min(some).alias("least_x"), F.array_max("category").alias("last_category"),
+    )
+
+
 # --- export ------------------------------------------------------------------------------------------
 
 
@@ -512,6 +538,38 @@ def split_auto_many_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(split.group_split(rows, "c_nationkey", [0.25, 0.75], "c_custkey", "auto", SEED), "c_custkey", "c_nationkey")
 
 
+def _orders_as_images(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Orders are images, with a variable of their own, and lines their boxes."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_quantity").alias("x_min"))
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "image_id")
+    return Dataset(lines, orders.select("image_id"), lines.limit(0)).with_image_variable(orders.select("image_id", "o_orderpriority"))
+
+
+def _boxes_of_parts(parts: tuple[Dataset, ...]) -> DataFrame:
+    """A row per part and image: how many boxes went with it."""
+    rows = [p.images.select("image_id").join(p.annotations.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left") for p in parts]
+    return union_all(rows).select(F.col("file_pos").alias("part"), "image_id", F.coalesce("n", F.lit(0)).alias("n_boxes"))
+
+
+def _with_lines(split_sql: str) -> str:
+    return f"""
+WITH p AS ({split_sql}), l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT part, o_orderkey AS image_id, coalesce(n, 0) AS n_boxes FROM p LEFT JOIN l ON l_orderkey = o_orderkey
+"""
+
+
+@query(_with_lines(subset_sql(_ORDERS, "o_orderpriority", "o_orderkey", [0.55, 0.45])))
+def dataset_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole datasets split by an image variable: boxes go with their images."""
+    ds = _orders_as_images(spark, sf_dir)
+    return _boxes_of_parts(split_dataset_group_by(ds, "o_orderpriority", [0.55, 0.45], method="apss"))
+
+
+@query(_with_lines(ORACLE_SQL["split_random_k"]))
+def dataset_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes_of_parts(split_dataset_random(_orders_as_images(spark, sf_dir), _THREE, SEED))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))")
 def semi_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_segments(spark, sf_dir, "left_semi")
@@ -673,6 +731,29 @@ def via_several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.several_files(documents.document_rows(_via_documents(spark, sf_dir), "VIA"))
 
 
+@query("""
+WITH r AS (
+  SELECT p_brand || '.jpg' AS image_filename, CAST(dense_rank() OVER (ORDER BY p_brand || '.jpg') - 1 AS BIGINT) AS image_id,
+    CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS BIGINT) AS id,
+    CAST(row_number() OVER (ORDER BY p_brand || '.jpg', p_partkey) - 1 AS BIGINT) AS annotation_id, p_partkey, p_retailprice, p_size FROM part)
+SELECT annotation_id, image_filename, image_id, CAST(640 AS BIGINT) AS image_width, CAST(480 AS BIGINT) AS image_height, p_retailprice AS x_min,
+  CAST(p_partkey AS DOUBLE) AS y_min, CAST(p_size AS DOUBLE) AS width, p_size / 2 AS height, 'kind' AS supercategory,
+  'kind ' || (p_partkey % 7) AS category, CAST(p_partkey % 7 AS BIGINT) AS category_id, id FROM r
+""")
+def coco_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset written as one COCO file, checked, and loaded from that file again; parts are boxes, brands images."""
+    kind = (F.col("p_partkey") % 7).cast("bigint")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat("p_brand", F.lit(".jpg")).alias("image_filename"), F.lit(640).cast("bigint").alias("image_width"), F.lit(480).cast("bigint").alias("image_height"),
+        F.col("p_retailprice").alias("x_min"), F.col("p_partkey").cast("double").alias("y_min"), F.col("p_size").cast("double").alias("width"),
+        (F.col("p_size") / 2).alias("height"), F.lit("kind").alias("supercategory"), F.concat(F.lit("kind "), kind.cast("string")).alias("category"),
+        kind.alias("category_id"),
+    )
+    boxes = written(numbering.numbered(rows, "image_filename", ["y_min"], place="image_id", slot="id", position="annotation_id"), "parts")
+    path = to_COCO_file(Dataset(boxes, *maps(boxes)), scratch(spark, "file") + ".json")
+    return from_files(path, "COCO", spark=spark).annotations
+
+
 #: Faults of small COCO documents, by ``user_id % 9``: what stands for the sections, and the message that is due.
 _FAULTS = {
     "images": {5: "[]", 6: '[{"id": 1, "width": 2, "height": 2}]', 8: '[{"id": 1, "file_name": "a", "width": 2, "height": 2}, {"id": 1, "file_name": "b", "width": 2, "height": 2}]'},
