@@ -85,7 +85,7 @@ def _turned(x: np.ndarray, basis: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def _leads(classes: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
-    """``label, node, dim, lead``: the first coordinate in the principal basis."""
+    """``classes`` with ``dim`` and ``lead``, the first coordinate in the principal basis."""
 
     def run(batches):
         for b in batches:
@@ -94,14 +94,14 @@ def _leads(classes: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
                 lead[at] = _turned(_matrix(b.column("embedding").take(pa.array(at)), len(at)), basis)[:, 0]
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("node"), pa.array(sizes), pa.array(lead)], ["label", "node", "dim", "lead"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(lead)], [*b.schema.names, "dim", "lead"])
 
-    kind = T.StructType([classes.schema["label"], classes.schema["node"], T.StructField("dim", T.LongType()), T.StructField("lead", T.DoubleType())])
-    return classes.select("label", "embedding", "node").mapInArrow(run, kind)
+    more = [T.StructField("dim", T.LongType()), T.StructField("lead", T.DoubleType())]
+    return bounded(classes).mapInArrow(run, T.StructType([*classes.schema.fields, *more]))
 
 
 def _tiles(leads: DataFrame, tile: int) -> DataFrame:
-    """``label, node, dim, lead, tile``: bins along the lead, each dealt by hash by its own count, so equal leads split too."""
+    """``leads`` with ``tile``: bins along the lead, each dealt by hash by its own count, so equal leads split too."""
     probs = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
     stats = leads.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx("lead", probs, 2000).alias("cuts"))
     stats = written(stats, "stats")
@@ -110,17 +110,15 @@ def _tiles(leads: DataFrame, tile: int) -> DataFrame:
     binned = leads.join(stats, ["label", "dim"]).withColumn("bin", F.floor(fine * bins / (CUTS + 1))).drop("cuts", "size")
     counts = written(binned.groupBy("label", "dim", "bin").agg(F.ceil(F.count("*") / tile).alias("parts")), "bins")
     part = F.pmod(F.xxhash64("node"), "parts")
-    return binned.join(counts, ["label", "dim", "bin"]).select("label", "node", "dim", "lead", F.struct("bin", part.alias("part")).alias("tile"))
+    return binned.join(counts, ["label", "dim", "bin"]).select(*leads.columns, F.struct("bin", part.alias("part")).alias("tile"))
 
 
-def _packed(classes: DataFrame, tiles: DataFrame) -> DataFrame:
+def _packed(tiles: DataFrame, exact) -> DataFrame:
     """``label, dim, tile, lo, hi, nodes, counts, block``: a row per tile with its floats as bytes."""
-    rows = classes.select("node", "n", "embedding").join(tiles, "node")
     kind = T.StructType([
         *(tiles.schema[c] for c in ("label", "dim", "tile")), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
         T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("block", T.BinaryType()),
     ])
-    exact = np.float32 if isinstance(classes.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
 
     def run(table: pa.Table) -> pa.Table:
         lead = table["lead"].to_numpy()
@@ -129,7 +127,8 @@ def _packed(classes: DataFrame, tiles: DataFrame) -> DataFrame:
         first = table.slice(0, 1)
         return pa.table([*(first[c] for c in ("label", "dim", "tile")), *more], names=kind.names)
 
-    return rows.groupBy("label", "dim", "tile").applyInArrow(run, kind)
+    columns = ("label", "dim", "tile", "lead", "node", "n", "embedding")
+    return tiles.select(*columns).groupBy("label", "dim", "tile").applyInArrow(run, kind)
 
 
 def _compare(pairs: DataFrame, basis: dict[int, np.ndarray], threshold: float, exact) -> DataFrame:
@@ -180,17 +179,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     )
     # two hashes from different seeds stand for the vector wherever only equality counts
     rows = rows.select("*", F.coalesce(fit, F.lit(False)).alias("fit"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    key = ["label", "h1", "h2"]
-    grouped = rows.where("fit").groupBy(*key).agg(F.first("embedding").alias("embedding"), F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("n"))
-    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    fitting = rows.where("fit")
     sample: dict[int, list] = {}
-    for r in classes.orderBy("h1", "h2", "label").select("embedding").limit(SAMPLE).collect():
+    for r in fitting.orderBy(F.xxhash64("h1", "vec_id"), "h2").select("embedding").limit(SAMPLE).collect():
         sample.setdefault(len(r[0]), []).append(r[0])
     basis = {d: principal_basis(np.array(x)) for d, x in sample.items()}
     exact = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
-
-    tiles = _tiles(written(_leads(classes, basis), "leads"), tile)
-    packed = written(_packed(classes, tiles), "tiles")
+    key = ["label", "h1", "h2"]
+    grouped = fitting.groupBy(*key).agg(F.first("embedding").alias("embedding"), F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("n"))
+    classes = written(_leads(grouped.withColumn("node", F.monotonically_increasing_id()), basis), "classes")
+    packed = written(_packed(_tiles(classes, tile), exact), "tiles")
     box = packed.select("label", "dim", "tile", "lo", "hi")
     far = float(np.sqrt(2 - 2 * threshold)) + SLACK
     other = box.select("label", "dim", F.col("tile").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -207,7 +205,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     named = classes.select(*key, "node", "id", "n").join(links, "node", "left").join(roots, "node", "left")
     named = written(named.select(*key, "id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    joined = rows.where("fit").select("vec_id", *key).join(named.join(least, "root"), key)
+    joined = fitting.select("vec_id", *key).join(named.join(least, "root"), key)
     lone = rows.where("not fit").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
     out = joined.select("vec_id", "n_links", "component_id").unionByName(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
