@@ -32,7 +32,7 @@ def test_quality_held_out(spark):
 
 
 def test_edges(spark):
-    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, toxic int"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, at double, y int"  # names that training uses, too
     rows = [(1, None, None, None, None, None, 1), (2, "", "en", "s", 0, 0.0, 0), (3, " \n", "en", "s", 2, 0.0, 0), (None, "word " * 50_000, "en", None, -1, 0.0, 0), (2, "", "en", "s", 0, 0.0, 0)]
     docs = spark.createDataFrame(rows, kind)
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
