@@ -4,6 +4,10 @@ Fingerprints are 64 bits wide. Bits are grouped into partitions, correlated bits
 thresholds of the m partitions add up to tau - m + 1 (-1 leaves a partition out), two fingerprints
 within tau differ by at most the threshold in one partition at least; a dynamic programme picks the
 thresholds, and the number of partitions, by estimated candidates and probes.
+
+``near_duplicates`` takes fingerprints within three bits as links. ``keep_first`` takes them as candidates
+only, with fingerprints made of shorter shingles and a wider threshold, so that texts of a Jaccard similarity
+of 0.8 rarely fall outside, and links the texts whose shingle sets are that similar.
 """
 
 from __future__ import annotations
@@ -24,23 +28,29 @@ SEED = 42
 TAU = 3
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated
 BLOCK = 2048  # fingerprints of one key that a task compares at once with as many others
+WIDE = 7  # bits within which texts are candidates for a comparison of their shingles
+NARROW = 2  # words of the shingles that candidates' fingerprints are made of
+SHINGLE = 5  # words of the shingles that are compared
+SIMILAR = 0.8  # Jaccard similarity of shingle sets from which texts link
+TEXTS = 512  # texts of a candidate group that a task compares at once with as many others
+SET_BYTES = 16 << 20  # bytes of shingle sets of a block of texts, on average
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 
 
-def _hashes(text: str | None) -> list[int]:
+def _hashes(text: str | None, words: int = 3) -> list[int]:
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
         return []
     line = b" ".join(parts)
-    if len(parts) < 3:
+    if len(parts) < words:
         return [xxhash.xxh64_intdigest(line, SEED)]
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    return [digest(line[i:j], SEED) for i, j in zip(starts, ends[2:].tolist())]
+    return [digest(line[i:j], SEED) for i, j in zip(starts, ends[words - 1 :].tolist())]
 
 
-def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
+def fingerprint_batch(texts: list[str | None], words: int = 3) -> np.ndarray:
     """Unsigned fingerprints: a bit is set if it is set in over half the shingle hashes."""
     out = np.zeros(len(texts), np.uint64)
     group, size = [], 0
@@ -50,7 +60,7 @@ def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
             out[[i for i, _ in group]] = _majority([h for _, h in group])
         group, size = [], 0
     for i, text in enumerate(texts):
-        if hashes := _hashes(text):
+        if hashes := _hashes(text, words):
             group.append((i, hashes))
             size += len(hashes)
             if size > 200_000:
@@ -121,7 +131,9 @@ def plan_partitions(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[li
     bits = np.unpackbits(sample.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     scale = (n / max(1, len(sample))) ** 2 / 2
     options = []
-    for m in range(2, tau + 2):
+    for m in range(-(-(tau + 1) // 3), tau + 2):  # a partition's threshold is 2 at most
+        if m < 2:
+            continue
         groups = correlated_partitions(bits.astype(float), m)
         cost = []
         for g in groups:
@@ -144,9 +156,8 @@ def _squeeze(fp: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
-def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows ``(key, own, node, fp)``: own marks a fingerprint's own key, the others are probes near it."""
-    kind = ddl(nodes, "node")
+def _keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
+    """Rows ``(key, own, fp)``: own marks a fingerprint's own key, the others are probes near it."""
 
     def run(batches):
         for b in batches:
@@ -158,89 +169,85 @@ def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
                         mask = np.uint64(sum(1 << f for f in flips))
                         key = (value ^ mask) | (np.uint64(part) << np.uint64(60))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key.view(np.int64)), pa.array(np.full(len(fp), d == 0)), b.column("node"), b.column("fp")],
-                            ["key", "own", "node", "fp"],
+                            [pa.array(key.view(np.int64)), pa.array(np.full(len(fp), d == 0)), b.column("fp")], ["key", "own", "fp"]
                         )
 
-    return nodes.mapInArrow(run, f"key bigint, own boolean, node {kind}, fp bigint")
+    return fps.mapInArrow(run, "key bigint, own boolean, fp bigint")
 
 
-def _pairs(key: np.ndarray, own: np.ndarray, node: np.ndarray, fp: np.ndarray, tau: int):
+def _pairs(key: np.ndarray, own: np.ndarray, fp: np.ndarray, tau: int):
     """Linked pairs of rows with equal keys; keys are sorted."""
     alive, d, found_a, found_b = np.arange(len(key)), 1, [], []
     while len(alive := alive[alive + d < len(key)]) and len(alive := alive[(key[alive] == key[alive + d]).all(axis=1)]):
         other = alive + d
-        hit = (np.bitwise_count(fp[alive] ^ fp[other]) <= tau) & (own[alive] | own[other]) & (node[alive] != node[other])
-        found_a.append(node[alive[hit]])
-        found_b.append(node[other[hit]])
+        hit = (np.bitwise_count((fp[alive] ^ fp[other]).view(np.uint64)) <= tau) & (own[alive] | own[other]) & (fp[alive] != fp[other])
+        found_a.append(fp[alive[hit]])
+        found_b.append(fp[other[hit]])
         d += 1
     if not found_a:
-        return node[:0], node[:0]
+        return fp[:0], fp[:0]
     return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _verified(keys: DataFrame, tau: int, kind: str) -> DataFrame:
+def _runs(batches, keys: int, columns: list[str]):
+    """Lists of arrays, a run of equal first ``keys`` columns never split; rows come sorted by these."""
+    rest = None
+    for batch in batches:
+        x = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(x[0]):
+            continue
+        if rest is not None:
+            x = [np.concatenate(p) for p in zip(rest, x)]
+        last = np.logical_and.reduce([k == k[-1] for k in x[:keys]])
+        cut = len(last) - int(last.sum())
+        if cut:
+            yield [c[:cut] for c in x]
+        rest = [c[cut:] for c in x]
+    if rest is not None:
+        yield rest
+
+
+def _verified(keys: DataFrame, tau: int) -> DataFrame:
     """Rows sorted by (key, p, q) within partitions, compared one run of equal keys at a time."""
 
     def run(batches):
-        rest = None
-        def solve(x):
-            node = x[4] if x[4].dtype.kind != "O" else x[4].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e) for e in _pairs(np.stack(x[:3], 1), x[3], node, x[5].view(np.uint64), tau)], ["a", "b"])
-        for batch in batches:
-            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "p", "q", "own", "node", "fp")]
-            if rest is not None:
-                x = [np.concatenate(p) for p in zip(rest, x)]
-            last = (x[0] == x[0][-1]) & (x[1] == x[1][-1]) & (x[2] == x[2][-1]) if len(x[0]) else np.zeros(0, bool)
-            cut = len(last) - int(last.sum())
-            if cut:
-                yield solve([c[:cut] for c in x])
-            rest = [c[cut:] for c in x]
-        if rest is not None and len(rest[0]):
-            yield solve(rest)
+        for x in _runs(batches, 3, ["key", "p", "q", "own", "fp"]):
+            yield pa.RecordBatch.from_arrays([pa.array(e) for e in _pairs(np.stack(x[:3], 1), x[3].astype(bool), x[4], tau)], ["a", "b"])
 
     return (
-        keys.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "own", "node", "fp")
-        .mapInArrow(run, f"a {kind}, b {kind}")
+        keys.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "own", "fp")
+        .mapInArrow(run, "a bigint, b bigint")
     )
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row, fp)``: fingerprints with the hash by which a row is known."""
-
-    def run(batches):
-        for b in batches:
-            fp = pa.array(fingerprint_batch(b.column("text").to_pylist()).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), fp], ["doc_id", "row", "fp"])
-
-    return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, row bigint, fp bigint")
-
-
-def near_links(nodes: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
-    """``nodes(node, fp)`` with distinct fingerprints to edges ``(a, b)`` that connect all within tau bits.
+def near_links(fps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """Distinct fingerprints ``fps(fp)`` to edges ``(a, b)`` that connect all within tau bits.
 
     Keys shared by more than ``block`` fingerprints are dealt out as pairs of blocks, so that no task
     holds more than two blocks; every pair still meets. Only a spanning forest of each comparison
     is emitted, never all pairs of a group.
     """
-    n = nodes.count()
-    rows = nodes.orderBy(F.xxhash64("fp")).select("fp").limit(SAMPLE).collect()
+    n = fps.count()
+    rows = fps.orderBy(F.xxhash64("fp")).select("fp").limit(SAMPLE).collect()
     plan = plan_partitions(np.array([r.fp for r in rows], np.int64).view(np.uint64), n, tau)
-    keys = written(_keys(nodes, plan), "keys")
+    keys = written(_keys(fps.select("fp"), plan), "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any")
     sizes = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (
-        keys.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "own", "node", "fp")
-    )
-    return _verified(dealt, tau, ddl(nodes, "node"))
+    dealt = _in_block_pairs(keys.join(sizes, "key"), F.xxhash64("fp")).select("key", "p", "q", "own", "fp")
+    return _verified(dealt, tau)
 
 
-def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` with ``root``, the least fingerprint that links reach; fingerprints themselves are the nodes, null ids or not."""
+def _in_block_pairs(rows: DataFrame, dealt_by: F.Column) -> DataFrame:
+    """Rows with ``blocks``, once for each pair of blocks ``(p, q)`` that holds their block ``mine``."""
+    rows = rows.withColumn("mine", F.pmod(dealt_by, F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")})
+
+
+def _roots(nodes: DataFrame, name: str, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``, the least ``name`` that links reach; no ids are needed, null or not."""
     roots = connected_components(edges).withColumnRenamed("node", "__node")
-    return nodes.join(roots, nodes["fp"] == roots["__node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("__node")
+    return nodes.join(roots, nodes[name] == roots["__node"], "left").withColumn("root", F.coalesce("root", name)).drop("__node")
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -253,27 +260,115 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """
     marks = written(fingerprints(docs), "fingerprints")
     nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    rooted = written(_roots(nodes, near_links(nodes.select(F.col("fp").alias("node"), "fp"), tau)), "roots")
+    rooted = written(_roots(nodes, "fp", near_links(nodes, tau)), "roots")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return marks.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """One row of each component, that of the smallest id; columns as they came.
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, node, fp)``: candidates' fingerprints with the hashes by which a row and a text are known."""
+    names = ["doc_id", "row", "node"]
+
+    def run(batches):
+        for b in batches:
+            fp = pa.array(fingerprint_batch(b.column("text").to_pylist(), NARROW).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), fp], [*names, "fp"])
+
+    return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, row bigint, node bigint, fp bigint")
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """``(node, shingles)``: the sorted distinct hashes of a text's shingles, as bytes; blank texts have none."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(_hashes(t, SHINGLE), np.uint64)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return bounded(texts.select("node", "text")).mapInArrow(run, "node bigint, shingles binary")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _alike(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], cross: np.ndarray | None, tau: int, least: float):
+    """Edges that connect all texts within tau bits whose sets are similar; texts connected already aren't compared.
+
+    With ``cross``, a mask of the first of two blocks, only its texts are compared with those of the other.
+    """
+    found, label, size = [], np.arange(len(node)), np.array([len(x) for x in sets])
+    bits = fp.view(np.uint64)
+    for i in range(len(node)) if cross is None else np.flatnonzero(cross):
+        near = np.bitwise_count(bits ^ bits[i]) <= tau
+        near &= np.minimum(size, size[i]) >= least * np.maximum(size, size[i])
+        near &= ~cross if cross is not None else np.arange(len(node)) > i
+        for j in np.flatnonzero(near & (label != label[i])):
+            if label[i] != label[j] and similarity(sets[i], sets[j]) >= least:
+                label[label == label[j]] = label[i]
+                found.append((node[i], node[j]))
+    return np.array(found, np.int64).reshape(-1, 2).T
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, tau: int = WIDE, least: float = SIMILAR, block: int = TEXTS) -> DataFrame:
+    """Edges ``(a, b)`` between texts: fingerprints within ``tau`` bits and shingle sets ``least`` similar.
+
+    ``docs(node, text)`` are texts by their hash, repeats allowed, ``nodes(node, fp)`` each hash once. Texts
+    are compared inside the groups that near fingerprints connect, as pairs of blocks of about ``block`` texts
+    or SET_BYTES; a block pair gives a spanning forest of its links, so all links connect what they would.
+    """
+    fps = written(nodes.select("fp").distinct(), "fps")
+    rooted = written(_roots(fps, "fp", near_links(fps, tau)), "candidates")
+    sizes = written(nodes.join(rooted, "fp").groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    members = written(nodes.join(rooted.join(sizes.select("root"), "root"), "fp").select("node", "fp", "root"), "members")
+    texts = docs.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = written(_shingle_sets(texts).join(members, "node"), "shingles")
+    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / SET_BYTES, F.lit(1.0))).cast("int")
+    dealt = _in_block_pairs(sets.join(written(sizes.select("root", blocks.alias("blocks")), "blocks"), "root"), F.xxhash64("node"))
+    columns = ["root", "p", "q", "mine", "node", "fp", "shingles"]
+
+    def solve(x):
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in x[:3]])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(x[0])]):
+            _, p, q, mine, node, fp, shingles = (c[lo:hi] for c in x)
+            cross = None if p[0] == q[0] else mine == p[0]
+            yield _alike(node, fp, [np.frombuffer(b, np.uint64) for b in shingles], cross, tau, least)
+
+    def run(batches):
+        for x in _runs(batches, 3, columns):
+            for a, b in solve(x):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = bounded(dealt).repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").select(*columns)
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def keep_first(docs: DataFrame, tau: int = WIDE, least: float = SIMILAR) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id; columns as they came.
 
-    Rows with a null doc_id are dropped if their component has an id, else one of them is kept. A row is
-    known by id and text, so different texts that share an id stay apart, and rows equal in both are the same
-    row, of which one stays. Kept rows grow with the corpus, so they are merged with
-    it and never broadcast: the plan is the same at every size.
+    Texts link if their sets of five-word shingles have a Jaccard similarity of ``least`` or more and their
+    fingerprints of two-word shingles differ in ``tau`` bits or fewer; a text of fewer words is one shingle,
+    null, empty and blank texts link with each other. Groups are what links reach. Rows with a null doc_id
+    are dropped if their group has an id, else one of them is kept. A row is known by id and text, so different
+    texts that share an id stay apart unless they link, and rows equal in both are the same row, of which one
+    stays. An empty table gives an empty result. Kept rows grow with the corpus, so they are merged with it
+    and never broadcast: the plan is the same at every size.
     """
-    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    marks = written(_marked(named), "fingerprints")
-    nodes = written(marks.select("fp").distinct(), "nodes")
-    edges = near_links(nodes.select(F.col("fp").alias("node"), "fp"), tau)
-    rows = marks.groupBy("doc_id", "row", "fp").agg(F.count("*").alias("n"))
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(node.alias("node"), "text")
+    marks = written(_marked(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), node.alias("node"), "text")), "fingerprints")
+    nodes = written(marks.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
+    rooted = written(_roots(nodes, "node", similar_links(texts, nodes, tau, least)), "roots")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
-    rooted = written(_roots(nodes, edges), "roots")
-    keep = rows.join(rooted, "fp").groupBy("root").agg(F.min(place).alias("first"))
+    firsts = marks.groupBy("doc_id", "row", "node").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(place).alias("first"))
+    keep = firsts.join(rooted, "node").groupBy("root").agg(F.min("first").alias("first"))
     keep = written(keep.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__kept"), F.col("first.n").alias("n")), "kept")
     (row,) = fresh(docs.columns, "row")
     out = docs.withColumn(row, F.xxhash64("doc_id", "text"))

@@ -9,7 +9,7 @@ import corpus_pipeline
 from llm import decontaminate, quality
 from tests.llm.test_decontaminate import plain
 from tests.llm.test_mixing import plain_targets
-from tests.llm.test_simhash import plain_fingerprint, roots
+from tests.llm.test_simhash import plain_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +26,8 @@ def test_each_stage_on_its_input(spark):
     first, kept, unique, clean, mix, tokens = rows
     said = quality.scored(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     assert {r.doc_id for r in kept} == {r.doc_id for r in said.where("keep").collect()}
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in kept}
-    component = roots(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
-    assert {r.doc_id for r in unique} == set(component.values()) and len(unique) == len(set(component.values()))
+    groups = set(plain_groups([(r.doc_id, r.text) for r in kept]).values())
+    assert {r.doc_id for r in unique} == groups and len(unique) == len(groups)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     was = {r.doc_id: r.text for r in unique}
     for r in clean:

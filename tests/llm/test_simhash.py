@@ -21,13 +21,42 @@ def roots(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
-def plain_fingerprint(text):
+def plain_shingles(text, words):
     parts = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
-    shingles = [b" ".join(parts[i : i + 3]) for i in range(max(1, len(parts) - 2))] if parts else []
-    hs = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+    return [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
+
+
+def plain_fingerprint(text, words=3):
+    hs = [xxhash.xxh64(s, seed=42).intdigest() for s in plain_shingles(text, words)]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs))
 
 
+def plain_similarity(a, b):
+    a, b = (set(plain_shingles(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def plain_groups(rows):
+    """The least id of each id's group; ``rows`` are ids and texts."""
+    texts = sorted({t or "" for _, t in rows})
+    fps = {t: plain_fingerprint(t, 2) for t in texts}
+    near = [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= 7 and plain_similarity(a, b) >= 0.8]
+    group, least = roots(texts, near), {}
+    for i, t in rows:
+        least[group[t or ""]] = min(i, least.get(group[t or ""], i))
+    return {i: least[group[t or ""]] for i, t in rows}
+
+
+def edited(rnd, n, vocab, share=0.7):
+    rows = []
+    for i in range(n):
+        base = rows[rnd.randrange(len(rows))][1].split() if rows and rnd.random() < share else rnd.choices(vocab, k=rnd.randint(1, 300))
+        if base and rnd.random() < 0.8:
+            base[rnd.randrange(len(base))] = rnd.choice(vocab)
+        rows.append((i, " ".join(base)))
+    return rows
+
+
 def check(spark, rows, **more):
     out = {}
     for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, fp string"), **more).collect():
@@ -41,12 +70,7 @@ def check(spark, rows, **more):
 def test_matches_brute_force(spark):
     rnd = random.Random(5)
     vocab = [f"Wört{i}" for i in range(50)]
-    rows = []
-    for i in range(150):
-        base = rows[rnd.randrange(len(rows))][1].split() if rows and rnd.random() < 0.7 else rnd.choices(vocab, k=rnd.randint(1, 300))
-        if base and rnd.random() < 0.8:
-            base[rnd.randrange(len(base))] = rnd.choice(vocab)
-        rows.append((i, " ".join(base), "x"))
+    rows = [(*r, "x") for r in edited(rnd, 150, vocab)]
     rows += [(200, None, "x"), (201, "", "x"), (202, " \t\n", "x"), (203, "one", "x"), (203, "one", "x"), (204, "long " * 40_000, "x")]
     check(spark, rows)
 
@@ -58,10 +82,12 @@ def test_empty(spark):
 def test_hot_keys_in_blocks(spark):
     rnd = random.Random(1)
     fps = list({rnd.getrandbits(20) << 3 | 7 for _ in range(400)} | {rnd.getrandbits(64) for _ in range(100)})
-    nodes = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
-    got = connected_components(simhash.near_links(nodes, block=32)).collect()
-    expect = roots(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
-    assert {i: expect[i] for i in expect} == {i: i for i in expect} | {r.node: r.root for r in got}
+    fps = [f - 2**64 if f >= 2**63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    for tau in (3, 7):
+        got = connected_components(simhash.near_links(table, tau, block=32)).collect()
+        expect = roots(fps, [(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= tau])
+        assert expect == {i: i for i in expect} | {r.node: r.root for r in got}
 
 
 def test_every_allocation_finds_all(spark):
@@ -76,6 +102,46 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3] and out.columns == ["doc_id", "text", "component_id", "node"]
 
 
+def test_keep_first_matches_brute_force(spark):
+    rnd = random.Random(8)
+    rows = edited(rnd, 200, [f"Wört{i}" for i in range(400)]) + [(300, None), (301, ""), (302, " \n"), (303, "one"), (304, "two"), (305, "one")]
+    rows += [(306, "so few words"), (307, "So  few words"), (308, "long " * 40_000), (309, "long " * 40_000 + "end")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    groups = plain_groups(rows)
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups.values()))
+    assert 20 < len(set(groups.values())) < len({t for _, t in rows})
+
+
+def test_keep_first_of_an_empty_table(spark):
+    assert simhash.keep_first(spark.createDataFrame([], "doc_id bigint, text string, root string")).collect() == []
+
+
+def test_one_large_group_in_blocks(spark):
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(500)}" for _ in range(200)]
+    texts = [(i, " ".join(base[:at] + [f"x{i}"] + base[at:])) for i, at in enumerate(rnd.choices(range(200), k=150))]
+    texts += [(200 + i, " ".join(f"y{rnd.randrange(500)}" for _ in range(200))) for i in range(5)]
+    docs = spark.createDataFrame(texts, "node bigint, text string")
+    nodes = spark.createDataFrame([(i, plain_fingerprint(t, 2) - 2**63) for i, t in texts], "node bigint, fp bigint")
+    got = connected_components(simhash.similar_links(docs, nodes, tau=20, block=16)).collect()
+    assert {r.node: r.root for r in got} == {i: 0 for i in range(150)}
+
+
+def test_recall_of_candidates():
+    """Edited copies of a similarity just above the threshold lie within the candidates' bits."""
+    rnd, near, found = random.Random(4), 0, 0
+    for _ in range(300):
+        base = [f"w{rnd.randrange(800)}" for _ in range(rnd.randint(60, 400))]
+        copy = list(base)
+        for at in rnd.sample(range(len(base)), len(base) // 60):
+            copy[at] = "changed"
+        a, b = " ".join(base), " ".join(copy)
+        if plain_similarity(a, b) >= 0.8:
+            near += 1
+            found += (plain_fingerprint(a, 2) ^ plain_fingerprint(b, 2)).bit_count() <= 7
+    assert near > 100 and found >= 0.75 * near
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {(r.node, r.root) for r in connected_components(edges).collect()} == {(i, 0) for i in range(60)}
