@@ -126,6 +126,15 @@ def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
+def _near_pairs(values: np.ndarray, rows: int = 128) -> np.ndarray:
+    """The number of ordered pairs, of different places, that differ in 0, 1 and 2 bits; some rows at a time."""
+    counts = np.zeros(65, np.int64)
+    for lo in range(0, len(values), rows):
+        counts += np.bincount(np.bitwise_count(values[lo : lo + rows, None] ^ values).ravel(), minlength=65)
+    counts[0] -= len(values)
+    return counts[:3]
+
+
 def plan_partitions(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[list[int], int]]:
     """Bit groups with their thresholds for n fingerprints, estimated from ``sample``."""
     bits = np.unpackbits(sample.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -137,13 +146,10 @@ def plan_partitions(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[li
         groups = correlated_partitions(bits.astype(float), m)
         cost = []
         for g in groups:
-            own = bits[:, g].astype(np.float32)
-            at = own.sum(axis=1)
-            far = at[:, None] + at[None, :] - 2 * own @ own.T
-            np.fill_diagonal(far, 64)
+            at = _near_pairs(_squeeze(sample.astype(np.uint64), g))
             probes = [sum(comb(len(g), d) for d in range(t + 1)) for t in range(3)]
             # one probe row costs about as much as a thousand comparisons of packed integers
-            cost.append([0.0, *(1000.0 * n * p + scale * int((far <= t + 0.5).sum()) for t, p in enumerate(probes))])
+            cost.append([0.0, *(1000.0 * n * p + scale * int(at[: t + 1].sum()) for t, p in enumerate(probes))])
         options.append((*allocate(cost, tau - m + 1), groups))
     _, thresholds, groups = min(options, key=lambda x: x[0])
     return [(g, t) for g, t in zip(groups, thresholds) if t >= 0]
@@ -313,7 +319,7 @@ def _alike(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], cross: np.n
             if label[i] != label[j] and similarity(sets[i], sets[j]) >= least:
                 label[label == label[j]] = label[i]
                 found.append((node[i], node[j]))
-    return np.array(found, np.int64).reshape(-1, 2).T
+    return forest(*np.array(found, np.int64).reshape(-1, 2).T)
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, tau: int = WIDE, least: float = SIMILAR, block: int = TEXTS) -> DataFrame:
