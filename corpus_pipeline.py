@@ -1,7 +1,7 @@
 """The corpus pipeline: stages that each call one operator of ``llm``, written and read between stages.
 
 1. quality classifier: documents that it rejects go;
-2. SimHash near-dedup: the document of smallest id of each group stays;
+2. SimHash near-dedup: the document of smallest id of each group stays; texts of five-word similarity 0.8 or more link;
 3. benchmark decontamination: removal spans are cut out of the texts;
 4. mixing: documents are repeated or left out, so that sources meet their target weights;
 5. token output: all ids as binary shards, and what a reader gets back, one row per document.
