@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontaminate, embeddings, linededup, mixing, quality, secrets, simhash, tokenbin, toxicity, urls
+from llm import alignment, decontaminate, embeddings, linededup, mixing, quality, repair, secrets, simhash, tokenbin, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,8 +146,18 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.Repair(repair.damaged(table(spark, sf_dir, "conversations"))).report()
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_chain, op2_decontamination, op3_url_filter, op4_secret_ledger, op5_pivotal_mixing,
     op6_quality_cotraining, op7_token_output, op8_line_dedup, op9_simhash_neardup, op10_embedding_neardup,
+    op12_conversation_repair, op13_tokenizer_alignment,
 )}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op4_secret_ledger": _op4_sql(), "op8_line_dedup": OP8_SQL, "op10_embedding_neardup": OP10_SQL}
