@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import alignment, decontaminate, embeddings, linededup, mixing, quality, repair, secrets, simhash, tokenbin, toxicity, urls
+from llm import alignment, decontaminate, embeddings, knn, linededup, mixing, quality, repair, secrets, simhash, tokenbin, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,6 +146,23 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
 """
 
 
+def op11_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products for each vector whose id is divisible by 100, over all others."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.row, q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.row <> v.row AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pair) WHERE rank <= 10
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.Repair(repair.damaged(table(spark, sf_dir, "conversations"))).report()
 
@@ -158,6 +175,6 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_chain, op2_decontamination, op3_url_filter, op4_secret_ledger, op5_pivotal_mixing,
     op6_quality_cotraining, op7_token_output, op8_line_dedup, op9_simhash_neardup, op10_embedding_neardup,
-    op12_conversation_repair, op13_tokenizer_alignment,
+    op11_voronoi_knn, op12_conversation_repair, op13_tokenizer_alignment,
 )}
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op4_secret_ledger": _op4_sql(), "op8_line_dedup": OP8_SQL, "op10_embedding_neardup": OP10_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op4_secret_ledger": _op4_sql(), "op8_line_dedup": OP8_SQL, "op10_embedding_neardup": OP10_SQL, "op11_voronoi_knn": OP11_SQL}
