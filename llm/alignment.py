@@ -28,6 +28,7 @@ from tokenizers import Tokenizer
 from llm.common import bounded, ddl, written
 
 MEMO = 2_000_000  # transitions that a worker keeps
+SLICE = 1 << 20  # bytes of texts whose tokens a worker holds at once
 WIDE = 4096  # links of a group from which equal ids are counted before they are paired
 LONG_RUN = 4096  # characters; pieces that may be longer are left to the tokenizer library
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: how the byte-level vocabulary splits text
@@ -121,8 +122,7 @@ class Aligner:
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for piece, k in vocabulary.items():
             tokens[k] = bytes(byte[c] for c in piece) if set(piece) <= byte.keys() else piece.encode()
-        self._library = Tokenizer.from_file(first)
-        self._library.encode_special_tokens = True
+        self._file, self._library = first, None
         special = {x["id"] for x in data["added_tokens"]}
         merges = [m if isinstance(m, str) else " ".join(m) for m in data["model"]["merges"]]
         ordered = all(vocabulary.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges))
@@ -139,6 +139,9 @@ class Aligner:
     def first(self, text: str) -> list[int]:
         if self._fast and max(map(len, text.split(" "))) < LONG_RUN and " " * LONG_RUN not in text:
             return self._fast.encode_ordinary(text)
+        if not self._library:
+            self._library = Tokenizer.from_file(self._file)
+            self._library.encode_special_tokens = True
         return self._library.encode(text, add_special_tokens=False).ids
 
     def groups(self, texts: list[str | None]) -> Groups:
@@ -150,7 +153,7 @@ class Aligner:
             a = self.first(" " + text) if text else []
             spelt = a and b"".join(itemgetter(*a)(self.pair.tokens[0]) if len(a) > 1 else (self.pair.tokens[0][a[0]],)) == (" " + text).encode("utf-8", "replace")
             ends = self.pair.ends(a, b) if spelt else None
-            out.append((a, b, *ends) if ends else ([], [], [], []))
+            out.append(tuple(np.array(x, np.int32) for x in ((a, b, *ends) if ends else ([], [], [], []))))
         return Groups(self, out)
 
 
@@ -159,7 +162,7 @@ class Groups:
 
     def __init__(self, own: Aligner, texts: list[tuple]):
         self.own = own
-        flat = lambda k: np.concatenate([np.array(t[k], np.int64) for t in texts] or [np.zeros(0, np.int64)])
+        flat = lambda k: np.concatenate([t[k] for t in texts] or [np.zeros(0, np.int32)]).astype(np.int64)
         self.a, self.b = flat(0), flat(1)
         self.n_a, self.n_b, self.n_groups = (np.array([len(t[k]) for t in texts], np.int64) for k in (0, 1, 2))
         self.text = np.repeat(np.arange(len(texts)), self.n_groups)  # of each group
@@ -182,6 +185,13 @@ class Groups:
             parts.append((np.full(len(x) * len(y), self.text[g]), np.add.outer(x << 32, y).ravel(), np.outer(p, q).ravel()))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The links, summed by text and pair."""
+        text, pair, n = self.links()
+        pairs, place = np.unique(pair, return_inverse=True)
+        both, own = np.unique(text * max(1, len(pairs)) + place, return_inverse=True)
+        return both // max(1, len(pairs)), pairs[both % max(1, len(pairs))], np.bincount(own, n, len(both)).astype(np.int64)
+
     def written(self) -> list[bytes]:
         """The groups of each text in the order of the text: ``a1,a2|b1;a3|b2,b3``."""
         line = np.empty(len(self.a) + len(self.b), object)
@@ -218,6 +228,13 @@ def groups(docs: DataFrame, first: str, second: str) -> DataFrame:
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows of about SLICE bytes."""
+    ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts]) // SLICE
+    cuts = np.flatnonzero(ends[1:] != ends[:-1]) + 1 if len(ends) else []
+    return [(int(lo), int(hi)) for lo, hi in zip([0, *cuts], [*cuts, len(texts)])] if len(texts) else []
+
+
 def _batches(docs: DataFrame, first: str, second: str) -> DataFrame:
     """A row for each batch of documents: what is known of each, its distinct pairs, and in how many documents these are."""
     arrays = "".join(f", {c} array<bigint>" for c in (*_COUNTS, "pairs", "n"))
@@ -225,15 +242,17 @@ def _batches(docs: DataFrame, first: str, second: str) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
-            g = aligner(first, second).groups(b.column("text").to_pylist())
-            text, pair, n = g.links()
+        for k, b in enumerate(x for x in batches if x.num_rows):
+            known, links, sha = [], [], []
+            for lo, hi in slices(b.column("text")):
+                g = aligner(first, second).groups(b.column("text").slice(lo, hi - lo).to_pylist())
+                known.append((g.n_a, g.n_b, g.n_groups))
+                text, pair, n = g.distinct()
+                links.append((text + lo, pair, n))
+                sha += [hashlib.sha256(x).hexdigest() if x else "" for x in g.written()]
+            of, pair, times = (np.concatenate(x) for x in zip(*links))
             pairs, place = np.unique(pair, return_inverse=True)
-            both, own = np.unique(text * max(1, len(pairs)) + place, return_inverse=True)  # distinct pairs of a text
-            times = np.bincount(own, n, len(both)).astype(np.int64)
-            of, place = both // max(1, len(pairs)), both % max(1, len(pairs))
-            sha = [hashlib.sha256(x).hexdigest() if x else "" for x in g.written()]
-            counts = [g.n_a, g.n_b, g.n_groups, np.bincount(text, n, b.num_rows).astype(np.int64), pairs, np.bincount(place, minlength=len(pairs))]
+            counts = [*(np.concatenate(x) for x in zip(*known)), np.bincount(of, times, b.num_rows).astype(np.int64), pairs, np.bincount(place, minlength=len(pairs))]
             packed = [of.astype("<u4"), place.astype("<u4"), times.astype("<u8")]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             columns = [pa.array([part << 33 | k]), one(b.column("doc_id")), *(one(pa.array(x)) for x in counts), one(pa.array(sha, pa.string()))]
