@@ -20,6 +20,7 @@ MOST = 3  # copies of a document at most
 BUCKET = 4096  # documents that one pairing run goes through
 FAN_IN = 64
 SEED = 20
+AT_ONCE = 1 << 16  # rows of a unit that are listed at once
 
 
 def size_of(text: str = "text") -> Column:
@@ -80,7 +81,7 @@ def pivot(rows: list[tuple[object, int, float]], seed: int = SEED, level: int =
 def _round(seed: int, level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
-        rows = list(zip(table["order"].to_pylist(), table["words"].to_pylist(), table["p"].to_pylist()))
+        rows = list(zip(table["order"].to_pylist(), table["size"].to_pylist(), table["p"].to_pylist()))
         p = pivot(rows, seed, level)
         if last:  # what is left of a source stays by its own chance
             p = [float(_uniform(seed, -1, r[0], r[1]) < x) if 0 < x < 1 else x for r, x in zip(rows, p)]
@@ -92,10 +93,12 @@ def _round(seed: int, level: int, last: bool):
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, n, source_size, target, copies``: how often the mix takes each document.
 
-    Rows with equal id, source and size are one unit of ``n`` rows and are taken alike. Documents
-    without words are never taken; null sources are one source, null ids are ids. Units are dealt to
-    buckets by id and size, which tell the units of a source apart, so a bucket has about BUCKET of them,
-    whatever the size of the source and however many ids are null. The same input gives the same mix.
+    Rows with equal id, source and size are one unit of ``n`` rows, which wants ``n`` times the copies
+    of a row. The whole part is certain and only what is left, less than one copy, is rounded; ``share`` deals
+    ``copies``, those of all rows together, to the rows evenly. Documents without words are never taken;
+    null sources are one source, null ids are ids. Units are dealt to buckets by id and size, which tell the
+    units of a source apart, so a bucket has about BUCKET of them, whatever the size of the source and
+    however many ids are null. The same input gives the same mix.
     """
     units = docs.select("doc_id", "source", size_of().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     units = written(units.withColumn("words", F.col("n") * F.col("size")), "units")
@@ -103,11 +106,11 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SE
     goal = targets(units, weights).withColumn("group", F.xxhash64("source", F.lit(seed)))
     goal = written(goal.join(counts, goal["source"].eqNullSafe(counts["named"])).drop("source"), "targets")
     rows = units.join(goal, units["source"].eqNullSafe(goal["named"])).drop("named")
-    rate = F.when(F.col("words") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("words") > 0, F.col("n") * (F.col("target") / F.col("source_size"))).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)).withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "buckets"))
     most = goal.agg(F.max("buckets")).first()[0] or 1
-    columns = ["doc_id", "source", "size", "n", "words", "source_size", "target", "group", "bucket", "order", "whole", "p"]
+    columns = ["doc_id", "source", "size", "n", "source_size", "target", "group", "bucket", "order", "whole", "p"]
     rows, done, level = rows.select(*columns), None, 0
     kind = ", ".join(f"`{c}` {ddl(rows, c)}" for c in columns)
     while True:
@@ -118,20 +121,39 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SE
             break
         rows = now.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
         most, level = -(-most // FAN_IN), level + 1
-    return done.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("p")).cast("int").alias("copies"))
+    return done.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("p")).cast("bigint").alias("copies"))
+
+
+def share(copies: str | Column, n: str | Column, place: str | Column) -> Column:
+    """The copies of the row at ``place`` (from 0) of ``n`` rows that have ``copies`` together."""
+    copies, n, place = (F.col(x) if isinstance(x, str) else x for x in (copies, n, place))
+    return (F.floor(copies / n) + (place < copies % n).cast("bigint")).cast("bigint")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: the words that the mix takes of each document."""
-    rows = copies(docs).withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    units = copies(docs).withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(AT_ONCE))))
+    rows = units.withColumn("place", F.explode(F.sequence("from", F.least(F.col("from") + AT_ONCE, "n") - 1)))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * share("copies", "n", "place")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken; columns as they came."""
-    size, name, source, same, times, each = fresh(docs.columns, "size", "name", "from", "words", "times", "each")
+    """The mix itself: each document as often as it is taken; columns as they came.
+
+    Of rows with equal id, source and size, those of lesser text hash get a copy more where copies don't come out
+    even. Such rows are numbered by a range sort over all of them.
+    """
+    size, name, source, same, n, times, place, first, each, *own = fresh(
+        docs.columns, "size", "name", "from", "words", "n", "times", "place", "first", "each", "its_name", "its_source", "its_size")
     plan = copies(docs).where("copies > 0").select(
-        F.col("doc_id").alias(name), F.col("source").alias(source), F.col("size").alias(same), F.col("copies").alias(times))
+        F.col("doc_id").alias(name), F.col("source").alias(source), F.col("size").alias(same), F.col("n").alias(n), F.col("copies").alias(times))
     at = F.col("doc_id").eqNullSafe(F.col(name)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(same))
-    rows = docs.withColumn(size, size_of()).join(plan, at)
-    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    rows = docs.withColumn(size, size_of())
+    unit = [name, source, same]
+    single = rows.join(plan.where(F.col(n) == 1), at).withColumn(place, F.lit(0).cast("bigint"))
+    several = ranked(rows.join(plan.where(F.col(n) > 1), at), [*map(F.col, unit), F.xxhash64("text"), F.xxhash64(*docs.columns), F.rand(SEED)], place)
+    least = written(several.groupBy(*unit).agg(F.min(place).alias(first)), "first").toDF(*own, first)
+    is_of = F.col(name).eqNullSafe(F.col(own[0])) & F.col(source).eqNullSafe(F.col(own[1])) & (F.col(same) == F.col(own[2]))
+    several = several.join(least, is_of).withColumn(place, F.col(place) - F.col(first)).select(*single.columns)
+    rows = single.unionByName(several).withColumn(times, share(times, n, place)).where(F.col(times) > 0)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

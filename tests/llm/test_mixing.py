@@ -88,3 +88,23 @@ def test_null_ids_are_dealt_and_names_may_clash(spark, monkeypatch):
     assert {tuple(r) for r in mix.collect()} <= known
     got = {r.source: r.n for r in mix.groupBy("source").agg(F.sum(m.size_of()).alias("n")).collect()}
     assert all(abs(got[s] - t) <= 300 for s, t in plain_targets({"a": 300 * 301 // 2, "b": 12_000}).items())
+
+
+@pytest.mark.parametrize("at_once", [1 << 16, 100])
+def test_equal_rows_meet_the_target(spark, monkeypatch, at_once):
+    monkeypatch.setattr(m, "AT_ONCE", at_once)
+    text = "w " * 10
+    rows = [(None, text, "a", i) for i in range(1000)] + [(i, text, "b", i) for i in range(1000)] + [(7, text if i % 2 else text.upper(), "c", i % 3) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, u1 int").repartition(5)
+    got = m.taken(docs).collect()
+    want = plain_targets({"a": 10_000, "b": 10_000, "c": 10_000})
+    by_target = {t: s for s, t in want.items()}
+    sums, most = {}, {}
+    for r in got:
+        s = next(s for t, s in by_target.items() if t == pytest.approx(r.target))
+        sums[s], most[s] = sums.get(s, 0) + r.taken, max(most.get(s, 0), r.taken)
+    assert len(got) == 3000 and all(abs(sums[s] - want[s]) <= 10 for s in want) and max(most.values()) <= 30
+    mix = m.mixed(docs)
+    assert mix.columns == docs.columns
+    assert {r.source: 10 * r.n for r in mix.groupBy("source").agg(F.count("*").alias("n")).collect()} == sums
+    assert max(r["n"] for r in mix.where("source = 'b'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()) <= 3
