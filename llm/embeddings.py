@@ -1,7 +1,9 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Unit vectors are turned into a principal basis, so that leading dimensions say most. Rows of one label
-are cut into tiles along the first of them; tiles too far apart never meet. Within a pair of tiles,
+are cut into tiles along the first of them; tiles whose boxes over the leading dimensions are too far
+apart never meet. Tiles next to each other go to a task together, so each is sent to as many tasks as
+there are such blocks of tiles, not as there are tiles. Within a pair of tiles,
 products are summed dimension block by dimension block; what the rest can add is at most the product
 of the suffix norms, and a pair stops as soon as that can't reach the threshold. A tile is one row of
 packed floats; the turned vectors are made where two tiles meet and are never stored.
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,8 @@ from llm.components import connected_components, forest
 THRESHOLD = 0.93
 SAMPLE = 4096  # vectors from which the basis is fitted; any orthogonal basis gives the same links
 TILE = 2048
+BLOCK = 4  # tiles of a label that go to tasks together
+BOX = 8  # leading dimensions by which tiles are told apart
 CUTS = 255  # cut points along the first component for a label; bins over a tile also deal by hash
 SLACK = 1e-9
 
@@ -113,17 +117,23 @@ def _tiles(leads: DataFrame, tile: int) -> DataFrame:
     return binned.join(counts, ["label", "dim", "bin"]).select(*leads.columns, F.struct("bin", part.alias("part")).alias("tile"))
 
 
-def _packed(tiles: DataFrame, exact) -> DataFrame:
-    """``label, dim, tile, lo, hi, nodes, counts, block``: a row per tile with its floats as bytes."""
+def apart(lo, hi, lo2, hi2) -> float:
+    """The squared distance of two boxes."""
+    gap = np.maximum(0, np.maximum(np.subtract(lo2, hi), np.subtract(lo, hi2)))
+    return float((gap * gap).sum())
+
+
+def _packed(tiles: DataFrame, basis: dict[int, np.ndarray], exact) -> DataFrame:
+    """``label, dim, tile, lo, hi, nodes, counts, block``: a row per tile with its box and its floats as bytes."""
     kind = T.StructType([
-        *(tiles.schema[c] for c in ("label", "dim", "tile")), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+        *(tiles.schema[c] for c in ("label", "dim", "tile")), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lo", "hi")),
         T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("block", T.BinaryType()),
     ])
 
     def run(table: pa.Table) -> pa.Table:
-        lead = table["lead"].to_numpy()
-        block = _matrix(table["embedding"].combine_chunks(), table.num_rows).astype(exact).tobytes()
-        more = [lead.min()], [lead.max()], [table["node"].to_pylist()], [table["n"].to_pylist()], pa.array([block], pa.binary())
+        x = _matrix(table["embedding"].combine_chunks(), table.num_rows).astype(exact)
+        lead = _turned(x, basis)[:, :BOX]
+        more = *([e.tolist()] for e in (lead.min(axis=0), lead.max(axis=0))), [table["node"].to_pylist()], [table["n"].to_pylist()], pa.array([x.tobytes()], pa.binary())
         first = table.slice(0, 1)
         return pa.table([*(first[c] for c in ("label", "dim", "tile")), *more], names=kind.names)
 
@@ -131,49 +141,76 @@ def _packed(tiles: DataFrame, exact) -> DataFrame:
     return tiles.select(*columns).groupBy("label", "dim", "tile").applyInArrow(run, kind)
 
 
-def _compare(pairs: DataFrame, basis: dict[int, np.ndarray], threshold: float, exact) -> DataFrame:
-    """``node, links, other``: for each pair of tiles how many rows each node links to, and edges that connect them."""
-
-    def solve(row) -> tuple[np.ndarray, ...]:
-        same = row["nodes2"] is None
-        sides = [(np.array(row["nodes"]), np.array(row["counts"]), np.frombuffer(row["block"], exact).reshape(-1, row["dim"]))]
-        if not same:
-            sides.append((np.array(row["nodes2"]), np.array(row["counts2"]), np.frombuffer(row["block2"], exact).reshape(-1, row["dim"])))
-        (a, na, x), (b, nb, y) = sides[0], sides[-1]
-        turned = [_turned(s[2], basis) for s in sides]
-        i, j = linked(turned[0], turned[-1], threshold, same)
-        ok = np.zeros(len(i), bool)
-        for s in range(0, len(i), 100_000):
-            ok[s : s + 100_000] = cosine(x[i[s : s + 100_000]], y[j[s : s + 100_000]]) >= threshold
-        i, j = i[ok], j[ok]
-        ends = [np.bincount(i, nb[j], len(a)), np.bincount(j, na[i], len(b))]
-        some = [np.flatnonzero(e) for e in ends]
-        node = np.concatenate([a[some[0]], b[some[1]]])
-        links = np.concatenate([ends[0][some[0]], ends[1][some[1]]]).astype(np.int64)
-        far, near = forest(a[i], b[j])
-        return np.r_[node, far], np.r_[links, np.zeros(len(far), np.int64)], np.r_[node, near]
+def _compare(packed: DataFrame, meet: DataFrame, basis: dict[int, np.ndarray], threshold: float, exact) -> DataFrame:
+    """``node, links, other``: for each pair of blocks of tiles how many rows each node links to, and edges that connect them.
 
-    def run(batches):
-        for b in batches:
-            for row in (r for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in solve(row)], ["node", "links", "other"])
+    ``meet(label, dim, a, b)`` names the pairs of blocks; a task holds the tiles of two.
+    """
+    far = 2 - 2 * threshold + SLACK
+
+    def solve(rows: list[dict]) -> tuple[np.ndarray, ...]:
+        for r in rows:
+            r["nodes"], r["counts"] = np.array(r["nodes"]), np.array(r["counts"])
+            r["x"] = np.frombuffer(r["block"], exact).reshape(-1, r["dim"])
+            r["turned"] = _turned(r["x"], basis)
+        out = [np.zeros(0, np.int64)] * 3, [np.zeros(0, np.int64)] * 2
+        for r in (r for r in rows if r["at"] == r["a"]):
+            for s in (s for s in rows if s["at"] == s["b"] and r["number"] <= s["number"] and apart(r["lo"], r["hi"], s["lo"], s["hi"]) <= far):
+                same = r["number"] == s["number"]
+                i, j = linked(r["turned"], s["turned"], threshold, same)
+                ok = np.zeros(len(i), bool)
+                for k in range(0, len(i), 100_000):
+                    ok[k : k + 100_000] = cosine(r["x"][i[k : k + 100_000]], s["x"][j[k : k + 100_000]]) >= threshold
+                i, j = i[ok], j[ok]
+                for own, n in ((r, np.bincount(i, s["counts"][j], len(r["x"]))), (s, np.bincount(j, r["counts"][i], len(s["x"])))):
+                    own["links"] = own.get("links", 0) + n
+                edges = forest(np.r_[out[1][0], r["nodes"][i]], np.r_[out[1][1], s["nodes"][j]])
+                out = out[0], list(edges)
+        some = [(r["nodes"][e], r["links"][e].astype(np.int64)) for r in rows if "links" in r for e in [np.flatnonzero(r["links"])]]
+        node, links = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in some)]) for k in (0, 1))
+        far_end, near_end = out[1]
+        return np.r_[node, far_end], np.r_[links, np.zeros(len(far_end), np.int64)], np.r_[node, near_end]
 
-    return bounded(pairs).mapInArrow(run, "node bigint, links bigint, other bigint")
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(x, pa.int64()) for x in solve(table.to_pylist())], names=["node", "links", "other"])
 
+    at = F.explode(F.array_distinct(F.array("a", "b"))).alias("at")
+    rows = meet.select("label", "dim", "a", "b", at).join(packed.withColumnRenamed("own", "at"), ["label", "dim", "at"])
+    columns = ["label", "dim", "a", "b", "at", "number", "lo", "hi", "nodes", "counts", "block"]
+    return rows.select(*columns).groupBy("label", "dim", "a", "b").applyInArrow(run, "node bigint, links bigint, other bigint")
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``.
 
-    Only rows with equal labels are compared, by cosine in double precision. Vectors with a null label
-    or id, null, empty or zero vectors, and those with null or non-finite components link with nothing
-    and keep their own id as component. Vectors of different lengths never link. Equal vectors of a
-    label are compared once, as one class, and counted as often as they occur; different vectors under
-    one id are different rows. Further columns are not carried; an empty table gives an empty result.
-    Every task holds two tiles at a time.
-    """
+def _blocks(packed: DataFrame) -> DataFrame:
+    """``packed`` with the tile's ``number`` within its label and the block ``own`` that it belongs to; over rows of tiles."""
+    number = F.row_number().over(Window.partitionBy("label", "dim").orderBy("tile")) - 1
+    numbers = packed.select("label", "dim", "tile", number.alias("number"))
+    return packed.join(numbers, ["label", "dim", "tile"]).withColumn("own", F.floor(F.col("number") / BLOCK))
+
+
+def _meeting(boxes: DataFrame, threshold: float) -> DataFrame:
+    """``label, dim, p, q``: pairs of tiles, by number, whose boxes are near enough to hold a link."""
+    other = boxes.select("label", "dim", F.col("number").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    gap = F.zip_with(
+        F.arrays_zip("lo", "hi"), F.arrays_zip("lo2", "hi2"),
+        lambda x, y: F.pow(F.greatest(F.lit(0.0), y["lo2"] - x["hi"], x["lo"] - y["hi2"]), F.lit(2.0)),
+    )
+    near = F.aggregate(gap, F.lit(0.0), lambda x, y: x + y) <= 2 - 2 * threshold + SLACK
+    return boxes.withColumnRenamed("number", "p").join(other, ["label", "dim"]).where((F.col("p") <= F.col("q")) & near).select("label", "dim", "p", "q")
+
+
+def compared_share(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[int, int]:
+    """How many pairs of tiles are compared, and how many there are."""
+    packed = _prepared(vectors, tile)[2].select("label", "dim", "number", "lo", "hi")
+    n = F.count("*").cast("bigint")
+    every = packed.groupBy("label", "dim").agg((n * (n + 1) / 2).cast("bigint").alias("n")).agg(F.sum("n")).first()[0] or 0
+    return _meeting(packed, threshold).count(), every
+
+
+def _prepared(vectors: DataFrame, tile: int):
+    """All rows with ``fit`` and their hashes, what names a class of equal ones, tiles of classes, classes, basis and number type."""
     rows = vectors.select("vec_id", "label", "embedding")
     fit = (
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
+        F.col("label").isNotNull() & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
@@ -188,17 +225,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     key = ["label", "h1", "h2"]
     grouped = fitting.groupBy(*key).agg(F.first("embedding").alias("embedding"), F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("n"))
     classes = written(_leads(grouped.withColumn("node", F.monotonically_increasing_id()), basis), "classes")
-    packed = written(_packed(_tiles(classes, tile), exact), "tiles")
-    box = packed.select("label", "dim", "tile", "lo", "hi")
-    far = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    other = box.select("label", "dim", F.col("tile").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = box.withColumnRenamed("tile", "p").join(other, ["label", "dim"])
-    meet = meet.where((F.col("p") <= F.col("q")) & (F.col("lo2") - F.col("hi") <= far) & (F.col("lo") - F.col("hi2") <= far)).select("label", "dim", "p", "q")
-    one = packed.select("label", "dim", F.col("tile").alias("p"), "nodes", "counts", "block")
-    two = packed.select("label", "dim", F.col("tile").alias("q"), F.col("nodes").alias("nodes2"), F.col("counts").alias("counts2"), F.col("block").alias("block2"))
-    alone = meet.where("p = q").join(one, ["label", "dim", "p"]).select("dim", "nodes", "counts", "block", *(F.lit(None).cast(two.schema[c].dataType).alias(c) for c in ("nodes2", "counts2", "block2")))
-    both = meet.where("p < q").join(one, ["label", "dim", "p"]).join(two, ["label", "dim", "q"]).select(*alone.columns)
-    pairs = written(_compare(alone.unionByName(both), basis, threshold, exact), "links")
+    packed = written(_blocks(written(_packed(_tiles(classes, tile), basis, exact), "tiles")), "blocks")
+    return rows, key, packed, classes, basis, exact
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """One row per vector: ``vec_id, n_links, component_id, kept``.
+
+    Only rows with equal labels are compared, by cosine in double precision. Vectors with a null label,
+    null, empty or zero vectors, and those with null or non-finite components link with nothing
+    and keep their own id as component. Rows with a null id link like others; they name a component (null)
+    only if no other id is in it. Vectors of different lengths never link. Equal vectors of a
+    label are compared once, as one class, and counted as often as they occur; different vectors under
+    one id are different rows. Further columns are not carried; an empty table gives an empty result.
+    Every task holds two blocks of tiles at a time.
+    """
+    rows, key, packed, classes, basis, exact = _prepared(vectors, tile)
+    fitting = rows.where("fit")
+    meet = _meeting(packed.select("label", "dim", "number", "lo", "hi"), threshold)
+    meet = meet.select("label", "dim", F.floor(F.col("p") / BLOCK).alias("a"), F.floor(F.col("q") / BLOCK).alias("b")).distinct()
+    pairs = written(_compare(packed, meet, basis, threshold, exact), "links")
 
     links = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(pairs.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))

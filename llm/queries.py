@@ -131,18 +131,19 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH RECURSIVE own AS (SELECT row_number() OVER () AS row, * FROM embeddings),
+v AS (
+  SELECT row, label, CAST(embedding AS DOUBLE[]) AS e FROM own
   WHERE label IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  SELECT a.row AS a, b.row AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.row <> b.row AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
-reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+reach AS (SELECT row AS a, row AS b FROM own UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
-c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
-SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(c AS BIGINT) AS component_id, vec_id = c AS kept
-FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
+c AS (SELECT a, min(vec_id) AS c FROM reach JOIN own ON b = row GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(c AS BIGINT) AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM own LEFT JOIN n ON n.a = row JOIN c ON c.a = row
 """
 
 
