@@ -2,13 +2,12 @@
 
 Host names are split into words by unigram Viterbi search; a multinomial naive Bayes model scores the
 words of host and path, each distinct word by itself. Unigrams are counted over what all pages show,
-without markup, scripts and styles. The model learns from weak labels: a page counts as blocked if its
-split host holds a word of SEEDS.
+without markup, scripts and styles. The model learns from the pages that a rule decides, and judges the rest.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import inf, log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,12 +17,7 @@ from llm.common import written
 
 # Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SEEDS = (
-    "adult", "ads", "bet", "bets", "bingo", "casino", "cheap", "dating", "escort", "gambling", "jackpot", "loans", "lottery",
-    "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "xxx",
-)
-SEED_COUNT = 1000  # how often each seed counts as a word besides its occurrences
-LONGEST = 20  # letters of a word
+PIECE = 20  # letters of the pieces that are looked up; longer words are found by their first PIECE letters
 ALPHA = 0.05
 BUCKETS = 1 << 14  # distinct tokens that smoothing takes to exist at least; larger tables count their own
 
@@ -48,13 +42,18 @@ def ruled(rules=RULES) -> tuple[Column, Column]:
 
 
 def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest split into words; unknown ones cost more for every letter."""
+    """The likeliest split into words; an unknown one, of any length, costs more for every letter."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    sizes, letter = sorted({len(w) for w in counts}), log(10)
+    unknown = (-inf, 0)  # the best way to be inside an unknown word, and where it begins
     for e in range(1, len(label) + 1):
-        options = []
-        for s in range(max(0, e - LONGEST), e):
-            n = counts.get(label[s:e])
-            options.append((best[s][0] + (log(n / total) if n else log(10 / total) - (e - s) * log(10)), s))
+        unknown = max((unknown[0] - letter, unknown[1]), (best[e - 1][0] + log(10 / total) - letter, e - 1))
+        options = [unknown]
+        for size in sizes:
+            if size > e:
+                break
+            if n := counts.get(label[e - size : e]):
+                options.append((best[e - size][0] + log(n / total), e - size))
         best.append(max(options))
     out, e = [], len(label)
     while e:
@@ -67,20 +66,20 @@ def segments(hosts: DataFrame, pages: DataFrame) -> DataFrame:
     """``host, tokens`` for distinct ``hosts(host)``: the words of all labels, without the last.
 
     Unigrams stay a table: the pieces of distinct labels are joined with it, so that each label gets only
-    the counts of its own pieces.
+    the counts of the words that it holds. A word longer than PIECE is looked up by its first letters.
     """
     shown = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(shown, F.lit("[a-z]+"), F.lit(0))).alias("word")).where(F.length("word") <= LONGEST)
-    seeds = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in SEEDS], "word string, n long")
-    unigrams = words.groupBy("word").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
-    unigrams = written(unigrams, "unigrams")
-    total = unigrams.agg(F.sum("n")).first()[0]
+    words = pages.select(F.explode(F.regexp_extract_all(shown, F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    unigrams = written(words.groupBy("word").agg(F.count("*").alias("n")), "unigrams")
+    total = unigrams.agg(F.sum("n")).first()[0] or 1
     named = hosts.select("host", F.posexplode(F.regexp_extract_all(F.regexp_replace("host", r"\.?[^.]*$", ""), F.lit("[a-z]+|[^a-z.-]+"), F.lit(0))).alias("at", "label"))
     labels = named.select("label").distinct()
-    pieces = F.expr(
-        f"flatten(transform(sequence(1, length(label)), s -> transform(sequence(1, least({LONGEST}, length(label) - s + 1)), n -> substring(label, s, n))))"
-    )
-    found = labels.withColumn("word", F.explode(F.array_distinct(pieces))).join(unigrams, "word")
+    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("s"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("label") - F.col("s") + 1))
+    pieces = starts.select("label", "s", F.explode(sizes).alias("size")).select("label", F.substring("label", F.col("s"), F.col("size")).alias("piece"))
+    known = unigrams.withColumn("piece", F.substring("word", 1, PIECE))
+    held = (F.length("word") <= PIECE) | F.contains("label", F.col("word"))
+    found = pieces.join(known, "piece").where(held).select("label", "word", "n").distinct()
     counts = labels.join(found.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts")), "label", "left")
 
     def run(batches):
@@ -115,25 +114,28 @@ def weights(tokens: DataFrame) -> DataFrame:
     return model.select("token", (odds("block", block) - odds("allow", allow)).alias("weight"))
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, learn: Column | None = None) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, score``.
 
-    A rule decides if one fits; else the sign of the log odds of blocking, ``score``, which all pages get.
-    Null urls, and urls without host, have no tokens; the class odds alone decide. Repeated rows and
-    null ids come out as they came in; further columns are not carried; empty html counts no words.
+    A rule decides if one fits; else the sign of the log odds of blocking, ``score``, which all pages get. The
+    model learns from the pages that a rule decides; ``learn``, a condition on ``host``, leaves some of them out.
+    Null urls, and urls without host, have no tokens; the class odds alone decide, as they do for all pages if no
+    rule fits any (then 0: allow). Repeated rows and null ids come out as they came in; further columns are not
+    carried; empty html counts no words.
     """
     rows = written(parts(pages), "urls")
     hosts = written(segments(rows.select("host").distinct(), pages), "hosts")
-    both = rows.select("page_id", "host", "path").join(hosts, "host", "left")
+    rule, verdict = ruled(rules)
+    both = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")).join(hosts, "host", "left")
     own = F.coalesce("tokens", F.array().cast("array<string>"))
     token = F.concat(own, F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    both = written(both.select("page_id", "host", "path", F.arrays_overlap(own, F.array(*map(F.lit, SEEDS))).alias("bad"), token.alias("tokens")), "tokens")
-    weight = weights(both.select("bad", F.explode("tokens").alias("token")))
-    prior, _ = naive_bayes([], {r["bad"]: r["n"] for r in both.groupBy("bad").agg(F.count("*").alias("n")).collect()})
+    both = written(both.select("page_id", "host", "path", "rule", "ruled", token.alias("tokens")), "tokens")
+    taught = both.where(F.col("ruled").isNotNull() & (F.lit(True) if learn is None else learn)).withColumn("bad", F.col("ruled") == "block")
+    weight = weights(taught.select("bad", F.explode("tokens").alias("token")))
+    prior, _ = naive_bayes([], {r["bad"]: r["n"] for r in taught.groupBy("bad").agg(F.count("*").alias("n")).collect()})
     found = both.select("host", "path", "tokens").distinct().select("host", "path", F.explode("tokens").alias("token")).join(weight, "token")
     inorder = F.array_sort(F.collect_list("weight"))  # so that sums don't depend on the order of rows
     sums = written(found.groupBy("host", "path").agg(F.aggregate(inorder, F.lit(0.0), lambda x, y: x + y).alias("sum")), "sums")
-    rule, verdict = ruled(rules)
     out = both.join(sums, ["host", "path"], "left").withColumn("score", F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")

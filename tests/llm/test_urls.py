@@ -2,6 +2,8 @@ import re
 from itertools import combinations
 from math import log
 
+from pyspark.sql import functions as F
+
 from llm import urls as u
 
 
@@ -29,8 +31,24 @@ def test_rules_and_verdicts(spark):
     for r in got:
         host, path, rule, verdict = want[r.page_id]
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.score > 0 else "allow"))
-    by = {r.page_id: r.verdict for r in got}
-    assert by[8] == by[16] == "block" and by[9] == by[110] == "allow"
+
+
+def test_learns_from_the_pages_that_rules_decide(spark):
+    html = "<p>cheap pills casino good words of science and a very long word pneumonoultramicroscopicsilicovolcanoconiosis</p>"
+    rows = [(i, f"http://cheappills{i % 9}.net/x/{i}", html) for i in range(60)] + [(i, f"http://goodwords{i % 9}.org/fr/{i}", html) for i in range(60, 120)]
+    rows += [(200, "http://pillscheap.com/a", html), (201, "http://wordsscience.com/a", html), (202, "http://good.example.org/en/", html)]
+    got = {r.page_id: r for r in u.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[200].rule, got[200].verdict, got[201].verdict, got[202].verdict) == (None, "block", "allow", "allow")
+    held_out = u.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), learn=~F.col("host").rlike("[012]\\.")).where("rule is not null").collect()
+    assert all((r.score > 0) == (r.verdict == "block") for r in held_out)
+
+
+def test_long_words_are_known(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    pages = spark.createDataFrame([(1, None, f"<p>{long} cheap {long[:30]} and more</p>" * 60)], "page_id long, url string, html string")
+    hosts = spark.createDataFrame([(f"cheap{long}.com",), (f"{'z' * 50}.{long}cheap.com",), ("q" * 12_000 + ".com",)], "host string")
+    got = {r.host: r.tokens for r in u.segments(hosts, pages).collect()}
+    assert sorted(got.values(), key=len) == sorted([["cheap", long], ["z" * 50, long, "cheap"], ["q" * 12_000]], key=len)
 
 
 def test_segmentation_is_the_best_split():
@@ -56,8 +74,8 @@ def test_empty(spark):
 
 def test_every_token_has_its_own_weight(spark):
     path = lambda i: "/".join(f"w{i}x{k}" for k in range(450)) + f"/{i % 3}/Пример/q"
-    rows = [(i, f"http://{'ads' if i % 4 == 0 else 'h'}.com/{path(i)}", "") for i in range(40)]
-    tokens = {i: [url[7:].split(".")[0], *url.lower().split("/")[3:]] for i, url, _ in rows}
+    rows = [(i, f"http://h.{'net' if i % 4 == 0 else 'org'}/{'' if i % 4 == 0 else 'fr/'}{path(i)}", "") for i in range(40)]
+    tokens = {i: ["h", *url.lower().split("/")[3:]] for i, url, _ in rows}
     distinct = {t for x in tokens.values() for t in x}
     assert len(distinct) > u.BUCKETS
     counts = [(t, i % 4 == 0, 1) for i, x in tokens.items() for t in x]
