@@ -2,8 +2,7 @@
 
 Categories are predicted in turn; the models of later ones also see the probabilities of earlier ones.
 They are trained on out-of-fold probabilities, so that a later model meets at training what it will
-meet at scoring. The last link is toxicity as a whole. The labels tell only that; a labelled document
-is of a narrower category if it is toxic and holds one of that category's seed words.
+meet at scoring. The chain has a link for each thing that the labels tell: poor quality, then toxicity.
 """
 
 from __future__ import annotations
@@ -12,16 +11,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from llm.common import bounded, ddl, words
 from llm.labelled import labelled, sample_ids
 from llm.linear import Rows, fit_sparse, folds, sigmoid
 
-# Seed words of the narrower categories, in the order of the chain.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool", "imbecile"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "filth", "vermin"),
-}
+CATEGORIES = ("poor", "toxic")  # in the order of the chain
 SAMPLE = 3000  # labelled rows of each class that train the chain, at most
 FOLDS = 3
 BITS = 18  # words and their beginnings are hashed into 2**BITS features
@@ -48,22 +44,32 @@ def features(text: str | None) -> np.ndarray:
 
 
 class Chain:
-    """Models of all categories in turn; ``ones`` weigh words, ``links`` weigh earlier log odds."""
+    """Models of all categories in turn: weights of words, of earlier categories' log odds, and an intercept.
+
+    A target may be NaN where it isn't known; such rows don't train its link, but get its prediction. A category
+    of which nothing or only one class is known has a link that says nothing.
+    """
 
     def __init__(self, x: Rows, targets: list[np.ndarray], shift: float = 0.0):
         fold = folds(x.n, FOLDS)
         earlier = np.zeros((x.n, 0))
         self.models = []
         for y in targets:
-            unseen = np.zeros(x.n)
+            unseen, known = np.zeros(x.n), ~np.isnan(y)
             for k in range(FOLDS):
-                rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                if len(rest) and len(own):
-                    unseen[own] = self._logit(x.take(own), earlier[own], fit_sparse(x.take(rest), earlier[rest], y[rest]))
-            self.models.append(fit_sparse(x, earlier, y))
+                rest, own = np.flatnonzero((fold != k) & known), np.flatnonzero(fold == k)
+                if len(own):
+                    unseen[own] = self._logit(x.take(own), earlier[own], self._fit(x, earlier, y, rest))
+            self.models.append(self._fit(x, earlier, y, np.flatnonzero(known)))
             earlier = np.c_[earlier, np.clip(unseen, -6, 6)]
         self.out_of_fold, self.shift = sigmoid(earlier), shift
 
+    @staticmethod
+    def _fit(x: Rows, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray):
+        if not len(rows) or y[rows].min() == y[rows].max():
+            return np.zeros(x.width), np.zeros(earlier.shape[1]), 0.0
+        return fit_sparse(x.take(rows), earlier[rows], y[rows])
+
     @staticmethod
     def _logit(x: Rows, earlier: np.ndarray, model) -> np.ndarray:
         w, v, b = model
@@ -79,38 +85,34 @@ class Chain:
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
     """A chain fitted on at most SAMPLE labelled rows of each class; None if a class has no row."""
-    ids, counts = sample_ids(labels, "toxic", SAMPLE)
-    rows = labelled(docs.select("doc_id", "text"), ids).select("doc_id", "y", "text")
+    ids, counts = sample_ids(labels, "toxic", SAMPLE, "quality")
+    rows = labelled(docs.select("doc_id", "text"), ids).select("doc_id", "y", F.col("quality").cast("double").alias("quality"), "text")
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            own = [set(words(t)) for t in texts]
-            seeds = [[bool(s & {w.encode() for w in seed}) for seed in CATEGORIES.values()] for s in own]
-            places = pa.array([features(t).astype(np.int32).tobytes() for t in texts], pa.binary())  # packed, as they go to the driver
-            columns = [b.column("doc_id"), b.column("y"), places, pa.array(seeds, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "at", "seeds"])
-
-    got = rows.mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, y int, at binary, seeds array<boolean>").collect()
+            places = [features(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]  # packed, as they go to the driver
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "y", "quality")), pa.array(places, pa.binary())], ["doc_id", "y", "quality", "at"])
+
+    got = rows.mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, y int, quality double, at binary").collect()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id))
     y = np.array([r.y for r in got], float)
     if not len(y) or y.min() == y.max():
         return None
     x = Rows([np.frombuffer(r["at"], np.int32) for r in got], 1 << BITS)
-    seeds = np.array([r.seeds for r in got], float)
+    poor = np.array([np.nan if r.quality is None else float(r.quality <= 0) for r in got])
     shift = np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))) - np.log(y.sum() / (len(y) - y.sum()))
-    return Chain(x, [*(y * seeds[:, k] for k in range(len(CATEGORIES))), y], float(shift))
+    return Chain(x, [poor, y], float(shift))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``p_`` of each category, ``p_toxic``, ``toxic`` (over one half).
+    """One row per document: ``doc_id, p_poor, p_toxic, toxic`` (over one half).
 
     Null and blank texts have no words: probabilities of the intercepts, never toxic. Without labels of
     both classes all probabilities are zero. Repeated rows and null ids come out as they came in;
     further columns are not carried. Each task scores its own documents; nothing is shuffled.
     """
     chain = train(docs, labels)
-    names = [f"p_{c}" for c in (*CATEGORIES, "toxic")]
+    names = [f"p_{c}" for c in CATEGORIES]
 
     def run(batches):
         for b in batches:
