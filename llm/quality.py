@@ -1,8 +1,9 @@
 """Quality by co-training two views.
 
 One classifier sees what a text consists of, the other only the page's metadata (language, source,
-length). In rounds each gives its most confident pseudo-labels of unlabelled documents to the other.
-All unlabelled documents are scored in every round, and the surest of each view and class are found by
+length). In rounds each gives its most confident pseudo-labels of unlabelled documents to the other:
+those that it finds most unlike the base rate, by a margin, with its own probability as the label, so that a
+weak view says no more than it knows. What makes the other view worse on held-out rows is taken back. All unlabelled documents are scored in every round, and the surest of each view and class are found by
 a reduction over tasks. Both views are calibrated on one held-out fold, and a last model combines the
 calibrated views on another.
 """
@@ -25,7 +26,8 @@ from llm.linear import Dense, sigmoid
 SAMPLE = 3000  # labelled rows of each class, at most
 ROUNDS = 3
 GIVEN = 200  # the surest documents of a class that a view gives to the other in a round
-SURE = {1: 0.98, 0: 0.95}  # calibrated probability from which a view is confident
+MARGIN = 0.1  # log odds beyond the base rate from which a view is confident
+HARM = 0.005  # rise of the other view's held-out log loss, if beyond its standard error, from which pseudo-labels are taken back
 FOLDS = 5  # of the labelled rows: one calibrates, one fits the mix, the others fit the views
 OFTEN = 20  # fitting rows from which a language or source has a column of its own; at most SAMPLE / 10 have
 PARTS = 16  # groups in which the surest documents of all tasks meet before the last selection
@@ -78,7 +80,8 @@ def _meta(b: pa.RecordBatch) -> list[tuple]:
 class CoTrained:
     """Two views of labelled rows, ``x`` of the text and ``meta``; ``shift`` undoes the sample's balance.
 
-    ``given[k]`` counts the pseudo-labels that view k gave to the other (0 text, 1 metadata);
+    ``given[k]`` counts the pseudo-labels that view k gave to the other (0 text, 1 metadata), ``refused[k]`` those
+    of them that were taken back;
     ``accuracy`` has each calibrated view's and the mix's on the last fold, which fitted only the mix.
     """
 
@@ -86,11 +89,12 @@ class CoTrained:
         fold = np.zeros(len(y), np.int64)
         for c in (0, 1):  # every fold has both classes
             fold[y == c] = np.arange((y == c).sum()) % FOLDS
-        self.shift, self.given = shift, [0, 0]
+        self.shift, self.given, self.refused = shift, [0, 0], [0, 0]
+        self.base = float(shift + np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum())))
         fit, self._tune, self._last = fold < FOLDS - 2, fold == FOLDS - 2, fold == FOLDS - 1
         self.encode = MetaView([m for m, f in zip(meta, fit) if f])
         self._known = (x, self.encode(meta)), y
-        self._own = [[(v[fit], y[fit])] for v in self._known[0]]
+        self._own, self._kept = [[(v[fit], y[fit])] for v in self._known[0]], [1, 1]
         self._fit()
 
     def _fit(self) -> None:
@@ -102,18 +106,35 @@ class CoTrained:
         said = [*logits.T, self.mix.logits(logits)]
         self.accuracy = [float(((z + self.shift > 0) == (y[self._last] > 0)).mean()) for z in said]
 
-    def learn(self, view: int, label: int, x: np.ndarray, meta: list[tuple]) -> None:
-        """Pseudo-labels that ``view`` gives to the other; ``refit`` puts them to use."""
-        self._own[1 - view].append((self.encode(meta) if view == 0 else x, np.full(len(x), float(label))))
-        self.given[view] += len(x)
+    def _loss(self, k: int) -> np.ndarray:
+        """The log loss of view k on each of the rows that calibrate it."""
+        z, y = self._view(k, self._known[0][k][self._tune]), self._known[1][self._tune]
+        return np.logaddexp(0, np.where(y > 0, -z, z))
+
+    def learn(self, view: int, target: np.ndarray, x: np.ndarray, meta: list[tuple]) -> None:
+        """Pseudo-labels, probabilities of good quality, that ``view`` gives to the other; ``refit`` puts them to use."""
+        own = target if not self.shift else sigmoid(np.log(target / (1 - target)) - self.shift)  # on the sample's balance
+        self._own[1 - view].append((self.encode(meta) if view == 0 else x, own))
 
     def refit(self) -> None:
+        """Fit with what was learnt since, or without it where it makes a view worse."""
+        before, sizes = [self._loss(k) for k in (0, 1)], list(self._kept)
+        self._fit()
+        for k in (0, 1):
+            n = sum(len(t) for _, t in self._own[k][sizes[k] :])
+            rise = self._loss(k) - before[k]
+            if n and rise.mean() > max(HARM, rise.std() / len(rise) ** 0.5):
+                del self._own[k][sizes[k] :]
+                self.refused[1 - k] += n
+            else:
+                self.given[1 - k] += n
         self._fit()
+        self._kept = [len(o) for o in self._own]
 
     def trimmed(self) -> CoTrained:
         """Without the training rows, as tasks need it."""
         out = object.__new__(CoTrained)
-        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("_known", "_own", "_tune", "_last")}
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("_known", "_own", "_kept", "_tune", "_last")}
         return out
 
     def _view(self, k: int, x: np.ndarray) -> np.ndarray:
@@ -172,9 +193,10 @@ def _surest(pool: DataFrame, model: CoTrained, taken: set[tuple[int, int]]) -> l
             rows = b.column("row").to_numpy()
             for view in (0, 1):
                 had = np.array([r for v, r in taken if v == view], np.int64)
-                for label, sure in SURE.items():
-                    p = sigmoid(odds[view] if label else -odds[view])
-                    at = np.flatnonzero((p >= sure) & ~np.isin(rows, had))
+                for label in (0, 1):
+                    sign = 1 if label else -1
+                    p = sigmoid(sign * odds[view])
+                    at = np.flatnonzero((sign * (odds[view] - slim.base) >= MARGIN) & ~np.isin(rows, had))
                     n = len(at)
                     more = [pa.array(np.full(n, view, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(p[at]), pa.array((rows[at] % PARTS).astype(np.int32))]
                     new = pa.table([*more, *(b.column(c).take(pa.array(at)) for c in _NAMES)], names=["view", "label", "sure", "part", *_NAMES])
@@ -207,9 +229,10 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
         if not got:
             break
         for view in (0, 1):
-            for label in SURE:
+            for label in (0, 1):
                 if rows := [r for r in got if (r.view, r.label) == (view, label)]:
-                    model.learn(view, label, stacked(rows), [(r.lang, r.source, r.n_chars) for r in rows])
+                    p = np.clip([r.sure if label else 1 - r.sure for r in rows], 1e-6, 1 - 1e-6)
+                    model.learn(view, p, stacked(rows), [(r.lang, r.source, r.n_chars) for r in rows])
                     taken.update((view, r.row) for r in rows)
         model.refit()
     return model

@@ -95,11 +95,28 @@ def test_views_teach_each_other(spark):
     assert quality.kept(docs, labels).columns == docs.columns
 
 
+def test_harmful_labels_are_taken_back():
+    rng = np.random.default_rng(8)
+    y = (rng.random(400) < 0.5).astype(float)
+    x = np.c_[y + rng.normal(size=400) * 0.3, rng.normal(size=400)].astype(np.float32)
+    model = quality.CoTrained(x, [("en", "a" if v else "b", 5) for v in y], y)
+    before = list(model.accuracy)
+    model.learn(1, np.full(400, 0.99), np.c_[np.zeros(400), np.zeros(400)].astype(np.float32), [("en", "b", 5)] * 400)
+    model.refit()
+    assert (model.given, model.refused, model.accuracy) == ([0, 0], [0, 400], before)
+    good = np.c_[np.ones(50), rng.normal(size=50)].astype(np.float32)
+    model.learn(1, np.full(50, 0.95), good, [("en", "a", 5)] * 50)
+    model.refit()
+    assert model.given == [0, 50] and model.refused == [0, 400]
+
+
 def test_surest_of_all_rows(spark, monkeypatch):
     """The selection over tasks and groups gives what sorting all rows gives."""
-    monkeypatch.setattr(quality, "SURE", {1: 0.6, 0: 0.6})
+    monkeypatch.setattr(quality, "MARGIN", 0.4)
 
     class Model:
+        base = 0.1
+
         def trimmed(self):
             return self
 
@@ -116,7 +133,8 @@ def test_surest_of_all_rows(spark, monkeypatch):
         got[r.view, r.label].append((-r.sure, r.row))
     for (view, label), some in got.items():
         z = {r: x * (1 if label else -1) * (1 if view == 0 else -1) for r, x in odds.items() if (view, r) not in taken}
-        want = sorted((-float(sigmoid(float(x))), r) for r, x in z.items() if sigmoid(float(x)) >= 0.6)[: quality.GIVEN]
+        base = 0.1 if label else -0.1
+        want = sorted((-float(sigmoid(float(x))), r) for r, x in z.items() if float(x) - base >= 0.4)[: quality.GIVEN]
         assert sorted(r for _, r in some) == sorted(r for _, r in want)
 
 
