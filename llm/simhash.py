@@ -28,7 +28,7 @@ SEED = 42
 TAU = 3
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated
 BLOCK = 2048  # fingerprints of one key that a task compares at once with as many others
-WIDE = 7  # bits within which texts are candidates for a comparison of their shingles
+WIDE = 9  # bits within which texts are candidates for a comparison of their shingles
 NARROW = 2  # words of the shingles that candidates' fingerprints are made of
 SHINGLE = 5  # words of the shingles that are compared
 SIMILAR = 0.8  # Jaccard similarity of shingle sets from which texts link
@@ -272,15 +272,15 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row, node, fp)``: candidates' fingerprints with the hashes by which a row and a text are known."""
-    names = ["doc_id", "row", "node"]
+    """``docs(doc_id, row, row2, node, text)`` with candidates' fingerprints ``fp`` in place of texts."""
+    names = ["doc_id", "row", "row2", "node"]
 
     def run(batches):
         for b in batches:
             fp = pa.array(fingerprint_batch(b.column("text").to_pylist(), NARROW).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), fp], [*names, "fp"])
 
-    return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, row bigint, node bigint, fp bigint")
+    return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, row bigint, row2 bigint, node bigint, fp bigint")
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -362,22 +362,24 @@ def keep_first(docs: DataFrame, tau: int = WIDE, least: float = SIMILAR) -> Data
     Texts link if their sets of five-word shingles have a Jaccard similarity of ``least`` or more and their
     fingerprints of two-word shingles differ in ``tau`` bits or fewer; a text of fewer words is one shingle,
     null, empty and blank texts link with each other. Groups are what links reach. Rows with a null doc_id
-    are dropped if their group has an id, else one of them is kept. A row is known by id and text, so different
-    texts that share an id stay apart unless they link, and rows equal in both are the same row, of which one
-    stays. An empty table gives an empty result. Kept rows grow with the corpus, so they are merged with it
-    and never broadcast: the plan is the same at every size.
+    are dropped if their group has an id, else one of them is kept. Of rows that share the smallest id, the one
+    whose hash over all columns is least stays; rows equal in all columns are the same row. A row is known by
+    two such hashes. Equal rows are made one by an aggregate, combined before the shuffle, that deals documents as
+    the join with the kept rows needs them; kept rows grow with the corpus, so they are never broadcast. The plan
+    is the same at every size. An empty table gives an empty result.
     """
+    columns = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in docs.dtypes]
+    hashes = (F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(node.alias("node"), "text")
-    marks = written(_marked(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), node.alias("node"), "text")), "fingerprints")
+    marks = written(_marked(docs.select("doc_id", hashes[0].alias("row"), hashes[1].alias("row2"), node.alias("node"), "text")), "fingerprints")
     nodes = written(marks.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
     rooted = written(_roots(nodes, "node", similar_links(texts, nodes, tau, least)), "roots")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
-    firsts = marks.groupBy("doc_id", "row", "node").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(place).alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "row2")
+    firsts = marks.groupBy("node").agg(F.min(place).alias("first"))
     keep = firsts.join(rooted, "node").groupBy("root").agg(F.min("first").alias("first"))
-    keep = written(keep.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__kept"), F.col("first.n").alias("n")), "kept")
-    (row,) = fresh(docs.columns, "row")
-    out = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    same = out["doc_id"].eqNullSafe(keep["__id"]) & (out[row] == keep["__kept"])
-    out = out.join(keep.select("__id", "__kept").hint("merge"), same, "left_semi")
-    return (out.dropDuplicates(["doc_id", row]) if keep.where("n > 1").head(1) else out).drop(row)
+    row, row2, one = fresh(docs.columns, "row", "row2", "one")
+    keep = written(keep.select(F.col("first.row").alias(row), F.col("first.row2").alias(row2)), "kept")
+    own = F.first(F.struct(*docs.columns)).alias(one)
+    out = docs.withColumns({row: hashes[0], row2: hashes[1]}).groupBy(row, row2).agg(own)
+    return out.join(keep.hint("merge"), [row, row2], "left_semi").select(*(F.col(one)[c].alias(c) for c in docs.columns))
