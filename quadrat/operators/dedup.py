@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.shared import fresh
+
 
 def keep_first(df: DataFrame, same: list[str], order: list[str]) -> DataFrame:
     """One row for each distinct ``same``: the one first in ``order``. Nulls count as equal.
@@ -14,8 +16,9 @@ def keep_first(df: DataFrame, same: list[str], order: list[str]) -> DataFrame:
     A minimum per key, so it is combined before the shuffle, however often one row repeats.
     """
     rest = [c for c in df.columns if c not in same and c not in order]
-    least = F.min(F.struct(*order, *rest)).alias("__first")
-    return df.groupBy(*same).agg(least).select(*(c if c in same else F.col(f"__first.{c}").alias(c) for c in df.columns))
+    (first,) = fresh(df.columns, "first")
+    least = F.min(F.struct(*order, *rest)).alias(first)
+    return df.groupBy(*same).agg(least).select(*(F.col(c) if c in same else F.col(first)[c].alias(c) for c in df.columns))
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:

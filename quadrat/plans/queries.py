@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from quadrat.operators.dedup import keep_first, last_value, union_all
 from quadrat.schema import COCO_FIELDS, SENTINELS
 from quadrat.shared import scratch, written
 from quadrat.sources import documents
-from quadrat.sources.checks import document_errors, export_rule_counts, key_error
+from quadrat.sources.checks import document_errors, export_rule_counts, index_rule, key_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -517,11 +518,44 @@ def split_apss_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(split.subset_sum_split(rows, "o_orderpriority", [0.55, 0.45], 0, "o_orderkey"), "o_orderkey", "o_orderpriority")
 
 
-@query(subset_sql(_ORDERS, "o_orderpriority", "o_orderkey", [0.55, 0.45]))
+def trimmed_sql(rows: str, group: str, key: str, fractions: list[float], epsilon: float) -> str:
+    """Ascending sums with their masks, group by group; a sum that is no more than a step above the last one kept goes."""
+    small = 0 if fractions[0] <= fractions[1] else 1
+    step = f"(1 + {epsilon}::DOUBLE / (2 * (SELECT count(*) FROM c)))"
+    return f"""
+WITH RECURSIVE s AS ({rows}),
+c AS (SELECT {group} AS g, count(*) AS n, min({key}) AS first FROM s GROUP BY ALL),
+o AS (SELECT g, n, row_number() OVER (ORDER BY n, first DESC) - 1 AS bit FROM c),
+goal AS (SELECT CAST(floor({min(fractions)}::DOUBLE * (SELECT count(*) FROM s)) AS BIGINT) AS target, {step} AS step),
+t AS (
+  SELECT CAST(0 AS BIGINT) AS bit, [{{'s': CAST(0 AS BIGINT), 'g': 0, 'm': CAST(0 AS BIGINT)}}] AS held
+  UNION ALL
+  SELECT t.bit + 1, list_reduce(
+    list_sort(list_concat(list_transform(held, lambda x: {{'s': x.s, 'g': 0, 'm': x.m}}), list_transform(
+      list_filter(held, lambda x: x.s + n <= target), lambda x: {{'s': CAST(x.s + n AS BIGINT), 'g': 1, 'm': x.m | (CAST(1 AS BIGINT) << t.bit)}}))),
+    lambda kept, x: CASE WHEN x.s > kept[len(kept)].s * step THEN list_append(kept, x) ELSE kept END,
+    [{{'s': CAST(0 AS BIGINT), 'g': 0, 'm': CAST(0 AS BIGINT)}}])
+  FROM t JOIN o ON o.bit = t.bit, goal),
+best AS (SELECT held[len(held)].m AS mask FROM t ORDER BY bit DESC LIMIT 1)
+SELECT s.*, CASE WHEN ((SELECT mask FROM best) >> bit) & 1 = 1 THEN {small} ELSE {1 - small} END AS part
+FROM s JOIN o ON s.{group} IS NOT DISTINCT FROM o.g
+"""
+
+
+_STATUS = "SELECT o_orderkey, o_custkey % 17 AS site FROM orders"
+
+
+@query(trimmed_sql(_STATUS, "site", "o_orderkey", [0.4, 0.6], 0.6))
 def split_apss_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums that differ by less than this epsilon are merged; at these counts the best one stays."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return _parts(split.subset_sum_split(rows, "o_orderpriority", [0.55, 0.45], 1e-6, "o_orderkey"), "o_orderkey", "o_orderpriority")
+    """Nearly equal sums are merged, so that far fewer than 2**17 are held."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 17).alias("site"))
+    return _parts(split.subset_sum_split(rows, "site", [0.4, 0.6], 0.6, "o_orderkey"), "o_orderkey", "site")
+
+
+@query(subset_sql(_STATUS, "site", "o_orderkey", [0.4, 0.6]))
+def split_apss_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 17).alias("site"))
+    return _parts(split.subset_sum_split(rows, "site", [0.4, 0.6], 0, "o_orderkey"), "o_orderkey", "site")
 
 
 @query(subset_sql(_DOCS, "lang", "doc_id", [0.9, 0.1]))
@@ -607,6 +641,23 @@ def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+_INDEXES = {
+    "numbered": "p", "repeats": "l_linenumber - 1", "gaps": "2 * p", "both": "CASE WHEN p = 7 THEN 8 ELSE p END", "from one": "p + 1",
+}
+
+
+@query("WITH t AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS p FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS n_rows, CAST(min({x}) AS BIGINT) AS least, CAST(max({x}) AS BIGINT) AS greatest, "
+    f"count(DISTINCT {x}) = count(*) AND min({x}) = 0 AND max({x}) = count(*) - 1 AS is_index FROM t" for name, x in _INDEXES.items()
+))
+def validate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a column number the rows from 0? One with repeats, one with gaps, one with a repeat that hides a gap."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = written(numbering.positions(rows, rows.columns, "p"), "numbered")
+    parts = [index_rule(rows.select(F.expr(x).alias("x")), "x").select(F.lit(name).alias("name"), "*") for name, x in _INDEXES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- documents ---------------------------------------------------------------------------------------
 
 ORDERS_A_FILE = 2000

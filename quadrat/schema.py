@@ -45,16 +45,15 @@ COCO_FIELDS = {
     },
 }
 
-COCO_DOCUMENT = (
-    "images array<struct<id:string,file_name:string,width:variant,height:variant>>,"
-    "annotations array<struct<image_id:string,bbox:array<double>,category_id:bigint>>,"
-    "categories array<struct<id:bigint,name:string,supercategory:string>>"
-)
-VIA_DOCUMENT = (
-    "_via_img_metadata map<string,struct<filename:string,file_attributes:map<string,variant>,regions:array<struct<"
-    "shape_attributes:struct<x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>>>>,"
-    "_via_attributes struct<region:map<string,struct<options:map<string,string>>>>"
-)
+#: What is read of an element of each section.
+ELEMENTS = {
+    "images": "struct<id:string,file_name:string,width:variant,height:variant>",
+    "annotations": "struct<image_id:string,bbox:array<double>,category_id:bigint>",
+    "categories": "struct<id:bigint,name:string,supercategory:string>",
+    "_via_img_metadata": "struct<filename:string,file_attributes:map<string,variant>,regions:array<struct<"
+    "shape_attributes:struct<x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>>>",
+    "_via_attributes": "map<string,struct<options:map<string,string>>>",
+}
 
 _ID, _TEXT, _INT, _NUMBER, _OBJECT = (
     {"type": t} for t in (["integer", "string"], ["string"], ["integer"], ["number"], ["object"])

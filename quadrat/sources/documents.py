@@ -1,21 +1,22 @@
-"""Annotation documents: one file is one row, read by Spark and parsed there.
+"""Annotation documents as canonical rows.
 
-A JSON document isn't splittable, so one task reads and parses it; many documents spread over tasks. The
-parsed documents are written once, and their images, boxes and entries are read from there. After that
-one file's images and boxes spread over tasks, too; only the names and box counts of a VIA file's entries
-meet in one task again.
+Documents come taken apart into elements, so one large file is read, checked and parsed by many tasks. Images
+and entries are numbered by range sorts over (file, name), whatever the size of a file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat import schema
 from quadrat.functions import boxes as B
 from quadrat.operators.dedup import keep_first
-from quadrat.operators.numbering import numbered
+from quadrat.operators.numbering import numbered, positions, slots
 from quadrat.shared import written
+from quadrat.sources.elements import Documents, of_texts, read_documents
+
+__all__ = ["FORMATS", "Documents", "check_format", "coco_rows", "document_rows", "of_texts", "read_documents", "several_files", "single_file", "via_rows"]
 
 FORMATS = ("VIA", "COCO")
 
@@ -25,61 +26,37 @@ def check_format(format: str) -> None:
         raise ValueError(f"Unsupported format: {format}")
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        raise FileNotFoundError(f"File not found: {path}")
-    return fs.makeQualified(p).toUri().toString()
-
-
-def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(file_pos, file, value)``: each file's place in ``paths``, its path and its whole text.
-
-    One scan, however many paths. A path given twice is read once, at its first place: all its rows
-    would be duplicates.
-    """
-    unique = {}
-    for path in paths:
-        unique.setdefault(_qualified(spark, path).replace("file:///", "file:/"), (len(unique), path))
-    rows = [(p, uri, path) for uri, (p, path) in unique.items()]
-    names = spark.createDataFrame(rows, "file_pos int, __uri string, file string")
-    uri = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
-    text = spark.read.text([path for _, path in unique.values()], wholetext=True)
-    return text.select("value", uri.alias("__uri")).join(F.broadcast(names), "__uri").select("file_pos", "file", "value")
-
-
 def _or_error(value, message: str, *of):
     return F.coalesce(value, F.raise_error(F.format_string(message, *of)).cast("string"))
 
 
-def _parsed(docs: DataFrame, kind: str) -> DataFrame:
-    return written(docs.select("file_pos", F.from_json("value", kind).alias("d")), "parsed")
+def _section(docs: Documents, name: str, kind: str) -> DataFrame:
+    """``file_pos, place, key, e``: the parsed elements of a section that is an array (``[``) or an object."""
+    rows = docs.elements.where((F.col("section") == name) & (F.col("kind") == kind))
+    return rows.select("file_pos", "place", "key", F.from_json("value", schema.ELEMENTS[name]).alias("e"))
 
 
-def coco_rows(docs: DataFrame) -> DataFrame:
+def coco_rows(docs: Documents) -> DataFrame:
     """Canonical rows with ``file_pos`` of COCO documents.
 
     Images are numbered by the order of filenames in their file, then by their place in the file, whether they
     have annotations or not. Of categories with one id the last counts. An annotation whose image or
     category isn't in its file is an error, as is a box that hasn't four numbers.
     """
-    doc = _parsed(docs, schema.COCO_DOCUMENT)
-    sized = lambda x: (B.size_as_integer(x[c]).alias(c) for c in ("width", "height"))
-    ordered = F.array_sort(F.transform("d.images", lambda x, i: F.struct(x.file_name.alias("f"), i.alias("i"), x.id.alias("id"), *sized(x))))
-    image = doc.select("file_pos", F.posexplode(ordered).alias("image_id", "e")).select(
-        "file_pos", F.col("image_id").cast("bigint"), F.col("e.id").alias("source_image"), F.col("e.f").alias("image_filename"),
-        F.col("e.width").alias("image_width"), F.col("e.height").alias("image_height"),
+    image = _section(docs, "images", "[").select(
+        "file_pos", "place", F.col("e.id").alias("source_image"), F.col("e.file_name").alias("image_filename"),
+        *(B.size_as_integer(F.col(f"e.{c}")).alias(f"image_{c}") for c in ("width", "height")),
     )
+    image = slots(image, "file_pos", ["image_filename", "place"], "image_id").drop("place")
     category = (
-        doc.select("file_pos", F.posexplode("d.categories").alias("pos", "c"))
-        .groupBy("file_pos", F.col("c.id").alias("category_id"))
-        .agg(F.max_by("c", "pos").alias("c"))
+        _section(docs, "categories", "[")
+        .groupBy("file_pos", F.col("e.id").alias("category_id"))
+        .agg(F.max_by("e", "place").alias("c"))
         .select("file_pos", "category_id", F.col("c.name").alias("category"), F.coalesce("c.supercategory", F.lit("")).alias("supercategory"))
     )
-    box = doc.select("file_pos", F.posexplode("d.annotations").alias("pos", "a")).select(
-        "file_pos", F.col("pos").cast("bigint").alias("annotation_id"), F.col("a.image_id").alias("source_image"), "a.category_id",
-        F.when(F.size("a.bbox") == 4, F.col("a.bbox")).otherwise(F.raise_error(F.lit("A box needs four numbers."))).alias("b"),
+    box = _section(docs, "annotations", "[").select(
+        "file_pos", F.col("place").alias("annotation_id"), F.col("e.image_id").alias("source_image"), "e.category_id",
+        F.when(F.size("e.bbox") == 4, F.col("e.bbox")).otherwise(F.raise_error(F.lit("A box needs four numbers."))).alias("b"),
     )
     joined = box.join(image, ["file_pos", "source_image"], "left").join(category, ["file_pos", "category_id"], "left")
     return joined.select(
@@ -91,24 +68,23 @@ def coco_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def via_rows(docs: DataFrame) -> DataFrame:
+def via_rows(docs: Documents) -> DataFrame:
     """Canonical rows with ``file_pos`` of VIA documents.
 
     Images are numbered by the rank of their filename among all entries of their file; equal filenames share
     the first rank. A region's supercategory is its first attribute in alphabetical order; a region or file
     without attributes has no category. Of entries under one key the last counts, at the place of the first.
     """
-    doc = _parsed(docs, schema.VIA_DOCUMENT)
-    entry = doc.select("file_pos", F.posexplode("d._via_img_metadata").alias("pos", "key", "e"))
-    narrow = entry.select("file_pos", "key", "pos", F.struct("pos", "e.filename", F.greatest(F.size("e.regions"), F.lit(0)).alias("n")).alias("x"))
-    kept = narrow.groupBy("file_pos", "key").agg(F.min("pos").alias("first"), F.max_by("x", "pos").alias("x"))
-    by_name = Window.partitionBy("file_pos").orderBy("x.filename")
-    before = Window.partitionBy("file_pos").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    numbers = kept.select(
-        "file_pos", F.col("x.pos").alias("pos"), (F.rank().over(by_name) - 1).cast("bigint").alias("image_id"),
-        F.coalesce(F.sum("x.n").over(before), F.lit(0)).alias("boxes_before"),
-    )
-    box = entry.join(numbers, ["file_pos", "pos"]).select(
+    entry = written(_section(docs, "_via_img_metadata", "{"), "entries")
+    narrow = written(entry.select("file_pos", "place", F.col("e.filename").alias("name"), F.greatest(F.size("e.regions"), F.lit(0)).cast("bigint").alias("n")), "names")
+    names = positions(narrow.groupBy("file_pos", "name").agg(F.count("*").alias("entries")), ["file_pos", "name"], "at", {"entries": "entries_before"})
+    places = positions(narrow, ["file_pos", "place"], "at", {"n": "boxes_before"})
+    of_file = lambda df, c, name: df.groupBy("file_pos").agg(F.min(c).alias(name))
+    starts = of_file(names, "entries_before", "first_entry").join(of_file(places, "boxes_before", "first_box"), "file_pos")
+    numbers = places.join(names.select(F.col("file_pos").alias("f"), F.col("name").alias("of"), "entries_before"), (F.col("f") == F.col("file_pos")) & F.col("of").eqNullSafe(F.col("name")))
+    numbers = numbers.join(starts, "file_pos").select(
+        "file_pos", "place", (F.col("entries_before") - F.col("first_entry")).alias("image_id"), (F.col("boxes_before") - F.col("first_box")).alias("boxes_before"))
+    box = entry.select("file_pos", "place", "e").join(numbers, ["file_pos", "place"]).select(
         "file_pos", "image_id", "boxes_before", F.col("e.filename").alias("image_filename"),
         B.size_as_integer(F.try_element_at("e.file_attributes", F.lit("width"))).alias("image_width"),
         B.size_as_integer(F.try_element_at("e.file_attributes", F.lit("height"))).alias("image_height"),
@@ -116,12 +92,14 @@ def via_rows(docs: DataFrame) -> DataFrame:
     )
     box = box.withColumn("sc", B.first_key(F.col("r.region_attributes")))
     box = box.withColumn("cid", F.try_element_at("r.region_attributes", F.col("sc")))
-    named = doc.select("file_pos", F.explode("d._via_attributes.region").alias("sc", "of"))
+    regions = docs.elements.where("section = '_via_attributes' and kind = '{' and key = 'region'")
+    regions = regions.select("file_pos", F.from_json("value", schema.ELEMENTS["_via_attributes"]).alias("region"))
+    named = regions.select("file_pos", F.explode("region").alias("sc", "of"))
     options = named.select("file_pos", "sc", F.map_keys("of.options").alias("keys"), F.explode("of.options").alias("cid", "name"))
     options = options.select("file_pos", "sc", "cid", "name", B.category_number(F.col("cid"), F.col("keys")).alias("number"))
-    some = doc.select("file_pos", F.coalesce(F.size("d._via_attributes.region") > 0, F.lit(False)).alias("has_categories"))
-    box = box.join(options, ["file_pos", "sc", "cid"], "left").join(some, "file_pos")
-    has = F.col("sc").isNotNull() & F.col("has_categories")
+    some = regions.select("file_pos", (F.size("region") > 0).alias("has_categories"))
+    box = box.join(options, ["file_pos", "sc", "cid"], "left").join(some, "file_pos", "left")
+    has = F.col("sc").isNotNull() & F.coalesce("has_categories", F.lit(False))
     name = _or_error(F.col("name"), "No category %s under %s.", F.col("cid"), F.col("sc"))
     return box.select(
         "file_pos", (F.col("boxes_before") + F.col("place")).cast("bigint").alias("annotation_id"),
@@ -134,8 +112,10 @@ def via_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def document_rows(docs: DataFrame, format: str) -> DataFrame:
+def document_rows(docs: Documents | DataFrame, format: str) -> DataFrame:
+    """Canonical rows of documents taken apart, or of whole texts as ``(file_pos, file, value)``."""
     check_format(format)
+    docs = docs if isinstance(docs, Documents) else of_texts(docs)
     rows = via_rows(docs) if format == "VIA" else coco_rows(docs)
     return rows.select("file_pos", *schema.COLUMNS)
 

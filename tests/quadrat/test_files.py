@@ -1,6 +1,7 @@
 """Readers, checks, numbering, export and ingest on small documents."""
 
 import json
+import re
 
 import pytest
 
@@ -12,7 +13,9 @@ from quadrat.sources.checks import (
     check_export,
     check_table,
     checked_input,
+    document_errors,
 )
+from quadrat.sources.documents import read_documents
 from quadrat.streaming.ingest import ingest
 
 
@@ -194,27 +197,37 @@ def changed(section, **values):
     return doc
 
 
-@pytest.mark.parametrize(
-    "format, doc, message",
-    [
-        ("COCO", "just-a-string", "Error decoding JSON data from file"),
-        ("COCO", GOOD | {"annotations": [1, 2, 3]}, "1 is not of type 'object'"),
-        ("COCO", changed("annotations", category_id=None), "null is not of type 'integer'"),
-        ("COCO", changed("annotations", category_id="1"), "is not of type 'integer'"),
-        ("COCO", changed("annotations", bbox=[1, 2, "3", 4]), "is not of type 'number'"),
-        ("COCO", {"images": GOOD["images"]}, r"Required key\(s\) \['annotations', 'categories'\] not found\."),
-        ("COCO", GOOD | {"annotations": [], "categories": []}, r"Empty value\(s\) found for the required key\(s\) \['annotations', 'categories'\]\."),
-        ("COCO", GOOD | {"images": [{"id": 1, "width": 1, "height": 1}]}, r"Required key\(s\) \['file_name'\] not found for image "),
-        ("COCO", GOOD | {"images": GOOD["images"] * 4}, "There are 4 image entries, but only 1 unique image IDs"),
-        ("VIA", {"_via_img_metadata": {}}, r"Required key\(s\) \['_via_attributes'\] not found"),
-        ("VIA", via([]), r"Empty value\(s\) found for the required key\(s\) \['_via_img_metadata'\]"),
-        ("VIA", via([("k", "a.jpg", [((1, 2, "49", 4), "1")])]), "\"49\" is not of type 'number'"),
-        ("BAD", GOOD, "Unsupported format: BAD"),
-    ],
-)
-def test_bad_documents(spark, put, format, doc, message):
-    with pytest.raises(ValueError, match=message):
-        table_from_files(spark, put(doc), format)
+BAD = [
+    ("COCO", "just-a-string", "Error decoding JSON data from file"),
+    ("COCO", GOOD | {"annotations": [1, 2, 3]}, "1 is not of type 'object'"),
+    ("COCO", changed("annotations", category_id=None), "null is not of type 'integer'"),
+    ("COCO", changed("annotations", category_id="1"), "is not of type 'integer'"),
+    ("COCO", changed("annotations", bbox=[1, 2, "3", 4]), "is not of type 'number'"),
+    ("COCO", {"images": GOOD["images"]}, r"Required key\(s\) \['annotations', 'categories'\] not found\."),
+    ("COCO", GOOD | {"annotations": [], "categories": []}, r"Empty value\(s\) found for the required key\(s\) \['annotations', 'categories'\]\."),
+    ("COCO", GOOD | {"images": [{"id": 1, "width": 1, "height": 1}]}, r"Required key\(s\) \['file_name'\] not found for image "),
+    ("COCO", GOOD | {"images": GOOD["images"] * 4}, "There are 4 image entries, but only 1 unique image IDs"),
+    ("VIA", {"_via_img_metadata": {}}, r"Required key\(s\) \['_via_attributes'\] not found"),
+    ("VIA", via([]), r"Empty value\(s\) found for the required key\(s\) \['_via_img_metadata'\]"),
+    ("VIA", via([("k", "a.jpg", [((1, 2, "49", 4), "1")])]), "\"49\" is not of type 'number'"),
+]
+
+
+@pytest.mark.parametrize("format", ["COCO", "VIA"])
+def test_bad_documents(spark, put, format):
+    """All in one read; the first of them is the one that loading raises."""
+    some = [(doc, message) for f, doc, message in BAD if f == format]
+    paths = [put(doc, f"{k}.json") for k, (doc, _) in enumerate(some)]
+    got = {r.file_pos: r.error for r in document_errors(read_documents(spark, paths), format).collect()}
+    for k, (_, message) in enumerate(some):
+        assert re.search(message, got[k]), (k, got[k])
+    with pytest.raises(ValueError, match=some[0][1]):
+        table_from_files(spark, paths[0], format)
+
+
+def test_unknown_format(spark, put):
+    with pytest.raises(ValueError, match="Unsupported format: BAD"):
+        table_from_files(spark, put(GOOD), "BAD")
 
 
 def test_via_region_without_a_side_is_named(spark, put):

@@ -15,6 +15,7 @@ from quadrat.operators.dedup import keep_first
 from quadrat.operators.split import group_folds, group_split, random_split, subset_sum
 from quadrat.schema import TYPES, check_property_names, property_names
 from quadrat.shared import scratch
+from quadrat.sources.checks import index_rule
 
 
 @pytest.mark.parametrize(
@@ -36,9 +37,9 @@ def test_subset_sum(counts, target, epsilon, want):
 def test_subset_sum_has_a_bound(monkeypatch):
     monkeypatch.setattr(split, "MAX_SUMS", 3000)
     counts = [(k, 2**k) for k in range(12)]
-    with pytest.raises(ValueError, match="epsilon above 0"):
-        subset_sum(counts, 4000)
-    assert subset_sum(counts, 4000, 0.9)["sum"] >= 400
+    with pytest.raises(ValueError, match="larger epsilon"):
+        subset_sum(counts, 4000, 1e-6)
+    assert subset_sum(counts, 4000, 0.9)["sum"] >= 400 and subset_sum(counts, 4000)["sum"] == 4000
 
 
 def test_subset_sum_is_the_best_or_within_its_bound():
@@ -231,3 +232,49 @@ def test_no_local_scratch_folder_on_a_cluster():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(session, "x")
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["part", "_part", "key", "order", "place", "group", "first", "n"]
+    rows = spark.createDataFrame([(i, i % 5, *(["x"] * len(names))) for i in range(40)], "image_id int, fold int, " + ", ".join(f"{c} string" for c in names))
+    parts = split.random_split(rows, [0.5, 0.25, 0.25])
+    assert [p.columns for p in parts] == [rows.columns] * 3 and [p.count() for p in parts] == [20, 10, 10]
+    for method in ("kfold", "apss"):
+        small, rest = split.group_split(rows, "fold", [0.2, 0.8], method=method)
+        assert small.columns == rows.columns and small.count() == 8 and rest.count() == 32
+        assert not {r["fold"] for r in small.collect()} & {r["fold"] for r in rest.collect()}
+    for c in ("group", "n", "first"):
+        a, b = split.group_split(rows.withColumn(c, rows["fold"]), c, [0.4, 0.6], method="apss")
+        assert (a.count(), b.count()) == (16, 24)
+    got = keep_first(rows.withColumnRenamed("n", "__first"), ["fold"], ["image_id"])
+    assert sorted(r["image_id"] for r in got.collect()) == [0, 1, 2, 3, 4] and "__first" in got.columns
+
+
+@pytest.mark.parametrize("kept", [256 << 20, 1])
+def test_exact_subset_sums(monkeypatch, kept):
+    """The greatest sum; of equal ones the subset that is least as a number with a bit per count."""
+    monkeypatch.setattr(split, "KEPT_BYTES", kept)
+    rnd = random.Random(0)
+    for _ in range(200):
+        counts, target = [(f"g{i}", rnd.randint(1, 20)) for i in range(rnd.randint(1, 9))], rnd.randint(0, 80)
+        total = lambda mask: sum(n for i, (_, n) in enumerate(counts) if mask >> i & 1)  # noqa: B023, E731
+        best = min((-total(mask), mask) for mask in range(1 << len(counts)) if total(mask) <= target)
+        assert split.subset_sum(counts, target) == {"sum": -best[0], "ids": [g for i, (g, _) in enumerate(counts) if best[1] >> i & 1]}
+
+
+def test_many_groups_and_samples():
+    rnd = random.Random(2)
+    counts = [(i, rnd.randint(1, 2000)) for i in range(3000)]
+    got = split.subset_sum(counts, 1_000_000)
+    assert got["sum"] == sum(counts[i][1] for i in got["ids"]) == 1_000_000
+    with pytest.raises(ValueError, match="kfold"):
+        split.subset_sum([(0, 1), (1, split.MAX_TARGET)], split.MAX_TARGET + 1)
+
+
+@pytest.mark.parametrize(
+    "values, want",
+    [([2, 0, 1], True), ([], True), ([0, 1, 1, 3], False), ([0, 2], False), ([1, 2], False), ([0, None], False), ([0, 1, 1, 2, 4], False), ([-1, 0], False)],
+)
+def test_index_rule(spark, values, want):
+    row = index_rule(spark.createDataFrame([(v,) for v in values], "annotation_id long")).first()
+    assert (row["is_index"], row["n_rows"]) == (want, len(values))
