@@ -250,8 +250,8 @@ def _with_states(pieces: DataFrame, states: DataFrame) -> DataFrame:
     return known.sortWithinPartitions("file_pos", "block", "id").drop("id")
 
 
-def _cut(known: DataFrame) -> DataFrame:
-    """Elements, section starts, skeleton parts and the ends of blocks, of each block by itself."""
+def _cut(known: DataFrame, whole: bool) -> DataFrame:
+    """Elements, section starts, skeleton parts and, unless blocks are ``whole`` documents, their ends, of each block by itself."""
     schema = _schema(known, f"block bigint, {_CUT}")
     arrow = to_arrow_schema(schema)
 
@@ -261,8 +261,10 @@ def _cut(known: DataFrame) -> DataFrame:
         def rows(end: bool):
             if end and cuts.known:
                 cuts.count()
+            if end and whole:
+                cuts._put("outer", cuts.rest)
             out = cuts.out
-            if end:
+            if end and not whole:
                 what = "tail" if cuts.known else "middle"
                 text = cuts.rest.decode("utf-8", "replace")
                 out = [*out, (cuts.seq, what, cuts.section, cuts.kind, cuts.place, None, text, cuts.depth, cuts.open, cuts.since, None, size, first["size"])]
@@ -323,8 +325,8 @@ class Documents:
     def __init__(self, names: DataFrame, pieces: DataFrame, whole: bool = False):
         self.names = names
         start = (F.lit(x).cast(t).alias(c) for c, t, x in (("inside", "boolean", False), ("depth", "int", 0), ("section", "string", None), ("kind", "string", None), ("open", "boolean", False), ("known", "boolean", True)))
-        cut = _cut(pieces.select("*", *start) if whole else _with_states(pieces, _states(_summaries(pieces))))
-        rows = cut.unionByName(_joined(cut))
+        rows = _cut(pieces.select("*", *start) if whole else _with_states(pieces, _states(_summaries(pieces))), whole)
+        rows = rows if whole else rows.unionByName(_joined(rows))
         outer = rows.where("what in ('outer', 'bad')").groupBy("file_pos").agg(
             F.array_sort(F.collect_list(F.when(F.col("what") == "outer", F.struct("block", "seq", "text")))).alias("parts"), F.count_if(F.col("what") == "bad").alias("bad"))
         self.skeletons = outer.select("file_pos", F.array_join("parts.text", "").alias("skeleton"), "bad")
