@@ -151,7 +151,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn(size, size_of())
     unit = [name, source, same]
     single = rows.join(plan.where(F.col(n) == 1), at).withColumn(place, F.lit(0).cast("bigint"))
-    several = ranked(rows.join(plan.where(F.col(n) > 1), at), [*map(F.col, unit), F.xxhash64("text"), F.xxhash64(*docs.columns), F.rand(SEED)], place)
+    many = written(plan.where(F.col(n) > 1), "repeated")  # small as a rule, and then documents aren't shuffled for it
+    several = ranked(rows.join(many, at), [*map(F.col, unit), F.xxhash64("text"), F.xxhash64(*docs.columns), F.rand(SEED)], place)
     least = written(several.groupBy(*unit).agg(F.min(place).alias(first)), "first").toDF(*own, first)
     is_of = F.col(name).eqNullSafe(F.col(own[0])) & F.col(source).eqNullSafe(F.col(own[1])) & (F.col(same) == F.col(own[2]))
     several = several.join(least, is_of).withColumn(place, F.col(place) - F.col(first)).select(*single.columns)
