@@ -284,14 +284,18 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """``(node, shingles)``: the sorted distinct hashes of a text's shingles, as bytes; blank texts have none."""
+    """``texts(node, fp, root, text)`` with ``shingles``, the sorted distinct hashes of a text's shingles, as bytes, in place of texts.
+
+    Blank texts have none.
+    """
+    names = ["node", "fp", "root"]
 
     def run(batches):
         for b in batches:
             sets = [np.unique(np.array(_hashes(t, SHINGLE), np.uint64)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    return bounded(texts.select("node", "text")).mapInArrow(run, "node bigint, shingles binary")
+    return bounded(texts.select(*names, "text")).mapInArrow(run, "node bigint, fp bigint, root bigint, shingles binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -333,8 +337,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, tau: int = WIDE, least: flo
     rooted = written(_roots(fps, "fp", near_links(fps, tau)), "candidates")
     sizes = written(nodes.join(rooted, "fp").groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     members = written(nodes.join(rooted.join(sizes.select("root"), "root"), "fp").select("node", "fp", "root"), "members")
-    texts = docs.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(_shingle_sets(texts).join(members, "node"), "shingles")
+    texts = docs.join(members, "node").dropDuplicates(["node"])  # members are distinct; sets need no join of their own then
+    sets = written(_shingle_sets(texts), "shingles")
     sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / SET_BYTES, F.lit(1.0))).cast("int")
     dealt = _in_block_pairs(sets.join(written(sizes.select("root", blocks.alias("blocks")), "blocks"), "root"), F.xxhash64("node"))
