@@ -278,3 +278,25 @@ def test_many_groups_and_samples():
 def test_index_rule(spark, values, want):
     row = index_rule(spark.createDataFrame([(v,) for v in values], "annotation_id long")).first()
     assert (row["is_index"], row["n_rows"]) == (want, len(values))
+
+
+@pytest.mark.parametrize("digits", [(1, 1), (4, 2)])
+@pytest.mark.parametrize("sizes", [[3, 4, 5], [0, 12, 0], [1, 0, 11], [12], [2, 2, 2, 2, 2, 2]])
+@pytest.mark.parametrize("keys", [[*range(11), None], [7] * 5 + [1, 2, None] + [None] * 2 + [3] * 2, ["a"] * 12])
+def test_parts_by_selection_are_those_of_a_sort(spark, monkeypatch, digits, sizes, keys):
+    monkeypatch.setattr(split, "FIRST_DIGITS", digits[0])
+    monkeypatch.setattr(split, "MORE_DIGITS", digits[1])
+    rows = spark.createDataFrame([(None if k is None else str(k), i) for i, k in enumerate(keys)], "k string, place int")
+    got = split.in_parts(rows, "k", 5, lambda n: sizes, "order")
+    assert got.columns == ["k", "place", "order"]
+    ordered = [r.k for r in rows.orderBy(split._key("k", 5)).collect()]
+    want = list(zip(ordered, itertools.chain.from_iterable([part] * n for part, n in enumerate(sizes))))
+    assert sorted(((r.k, r.order) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_splits_move_no_rows(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    parts = split.with_random_part(rows, "k", [0.2, 0.3, 0.5])
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert [r["count"] for r in parts.groupBy("part").count().orderBy("part").collect()] == [200, 300, 500]
+    assert split.with_random_part(rows.limit(0), "k", [0.5, 0.5]).count() == 0
