@@ -66,15 +66,17 @@ def in_rectangle(x: Column, y: Column, low: tuple[float, float], high: tuple[flo
 
 
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
-    """Even-odd rule; points on an edge count as inside, null or NaN points as outside."""
-    crossings, on_edge = [], []
-    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
-        side = (F.lit(bx - ax)) * (y - ay) - F.lit(by - ay) * (x - ax)
-        on_edge.append((side == 0) & x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by)))
-        if ay != by:
-            straddles = (y >= min(ay, by)) & (y < max(ay, by))
-            crossings.append((straddles & (side > 0 if by > ay else side < 0)).cast("int"))
-    odd = reduce(Column.__add__, crossings) % 2 == 1 if crossings else F.lit(False)
+    """Even-odd rule, by the edges above a point; points on an edge count as inside, null or NaN points as outside."""
+    above, on_edge = [], []
+    for a, b in zip(corners, corners[1:] + corners[:1]):
+        (ax, ay), (bx, by) = sorted((a, b))
+        if ax == bx:
+            on_edge.append((x == ax) & y.between(ay, by))
+            continue
+        height = F.lit(ay) + (x - ax) * F.lit((by - ay) / (bx - ax))  # of the edge at x, from its left end
+        on_edge += [x.between(ax, bx) & (y == height), (x == bx) & (y == by)]
+        above.append(((x >= ax) & (x < bx) & (height > y)).cast("int"))
+    odd = reduce(Column.__add__, above) % 2 == 1 if above else F.lit(False)
     inside = reduce(Column.__or__, on_edge, odd)
     return F.coalesce(inside & ~F.isnan(x) & ~F.isnan(y), F.lit(False))
 

@@ -214,6 +214,14 @@ def test_polygon(spark):
     assert got[0] and [r[0] for r in df.select(B.in_polygon(F.col("x"), F.col("y"), notched[::-1])).collect()] == got
 
 
+def test_points_on_a_sloping_edge(spark):
+    """Of points whose coordinates are rounded, those at the edge's height are on it."""
+    df = spark.createDataFrame([(8.005, 46995.0), (12.005, 42995.0), (8.005, 46995.01), (25.0, 30000.0), (45.0, 50000.0), (5.0, 50000.0)], "x double, y double")
+    corners = [(5.0, 10000.0), (45.0, 10000.0), (45.0, 50000.0), (25.0, 30000.0), (5.0, 50000.0)]
+    for c in (corners, corners[::-1]):
+        assert [r[0] for r in df.select(B.in_polygon(F.col("x"), F.col("y"), c)).collect()] == [True, True, False, True, True, True]
+
+
 def test_occupancy_of_nothing_and_of_one_point(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (float("nan"), 1.0)], "x double, y double")
     assert regions.occupancy(df.where("y > 5"), "x", "y", (3, 3)).collect() == []
