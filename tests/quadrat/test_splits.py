@@ -12,6 +12,7 @@ from quadrat import Dataset, split_dataset_group_by, split_dataset_random
 from quadrat.functions import boxes as B
 from quadrat.operators import dense, numbering, regions, split
 from quadrat.operators.dedup import keep_first
+from quadrat.operators.export import with_lookup
 from quadrat.operators.split import group_folds, group_split, random_split, subset_sum
 from quadrat.schema import TYPES, check_property_names, property_names
 from quadrat.shared import scratch
@@ -204,6 +205,13 @@ def test_expressions(spark):
     assert [r[0] for r in got] == [1, 2, None, None, None]
 
 
+def test_few_names_are_looked_up_without_a_shuffle(spark):
+    rows = spark.range(100).selectExpr("id", "id % 3 as k")
+    out = with_lookup(rows, spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, name string"), "k", "name", "")
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.select("id", "k", "name").collect())) == [(i, i % 3, ("a", "b", "")[i % 3]) for i in range(100)]
+
+
 def test_polygon(spark):
     nan = float("nan")
     points = [(1.0, 1.0), (0.0, 0.0), (2.0, 1.0), (5.0, 5.0), (4.0, 1.0), (nan, 1.0), (None, 1.0), (2.0, 3.0), (2.0, 2.0)]
