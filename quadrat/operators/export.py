@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from quadrat import schema
 from quadrat.functions import boxes as B
 from quadrat.operators.numbering import numbered
-from quadrat.shared import fresh, written
-
-FEW = 100_000  # rows of a lookup table that is broadcast
-
+from quadrat.shared import fresh, lookup, written
 
 def with_lookup(df: DataFrame, names: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:
     """``df`` with ``value`` looked up by ``key``; ``default`` (or null) where ``names`` hasn't the key.
@@ -21,9 +18,7 @@ def with_lookup(df: DataFrame, names: DataFrame, key: str, value: str, default:
     ``names`` is written once. If it has few rows, each may have a large part of ``df``, so it goes to all tasks and
     ``df`` isn't shuffled: adaptive execution doesn't broadcast what a shuffle left in few partitions.
     """
-    names = written(names.select(key, value), "lookup")
-    names = F.broadcast(names) if names.limit(FEW + 1).count() <= FEW else names
-    out = df.drop(value).join(names, key, "left")
+    out = df.drop(value).join(lookup(names.select(key, value)), key, "left")
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 

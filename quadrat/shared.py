@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,6 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 100_000  # rows of a lookup table that is broadcast
+
+
+def lookup(names: DataFrame, name: str = "lookup") -> DataFrame:
+    """``names``, written once, and broadcast to a join if it has few rows; each may have a large part of the other side."""
+    names = written(names, name)
+    return F.broadcast(names) if names.limit(FEW + 1).count() <= FEW else names
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names``, with underscores in front of those that ``columns`` has."""
     taken, out = {c.lower() for c in columns}, []

@@ -13,7 +13,7 @@ from quadrat import schema
 from quadrat.functions import boxes as B
 from quadrat.operators.dedup import keep_first
 from quadrat.operators.numbering import numbered, positions, slots
-from quadrat.shared import written
+from quadrat.shared import lookup, written
 from quadrat.sources.elements import Documents, of_texts, read_documents
 
 __all__ = ["FORMATS", "Documents", "check_format", "coco_rows", "document_rows", "of_texts", "read_documents", "several_files", "single_file", "via_rows"]
@@ -58,7 +58,7 @@ def coco_rows(docs: Documents) -> DataFrame:
         "file_pos", F.col("place").alias("annotation_id"), F.col("e.image_id").alias("source_image"), "e.category_id",
         F.when(F.size("e.bbox") == 4, F.col("e.bbox")).otherwise(F.raise_error(F.lit("A box needs four numbers."))).alias("b"),
     )
-    joined = box.join(image, ["file_pos", "source_image"], "left").join(category, ["file_pos", "category_id"], "left")
+    joined = box.join(image, ["file_pos", "source_image"], "left").join(lookup(category, "categories"), ["file_pos", "category_id"], "left")
     return joined.select(
         "file_pos", "annotation_id",
         _or_error(F.col("image_filename"), "No image with id %s.", F.col("source_image")).alias("image_filename"),
@@ -98,7 +98,7 @@ def via_rows(docs: Documents) -> DataFrame:
     options = named.select("file_pos", "sc", F.map_keys("of.options").alias("keys"), F.explode("of.options").alias("cid", "name"))
     options = options.select("file_pos", "sc", "cid", "name", B.category_number(F.col("cid"), F.col("keys")).alias("number"))
     some = regions.select("file_pos", (F.size("region") > 0).alias("has_categories"))
-    box = box.join(options, ["file_pos", "sc", "cid"], "left").join(some, "file_pos", "left")
+    box = box.join(lookup(options, "options"), ["file_pos", "sc", "cid"], "left").join(lookup(some, "regions"), "file_pos", "left")
     has = F.col("sc").isNotNull() & F.coalesce("has_categories", F.lit(False))
     name = _or_error(F.col("name"), "No category %s under %s.", F.col("cid"), F.col("sc"))
     return box.select(
