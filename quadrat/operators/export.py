@@ -42,7 +42,9 @@ def export_rows(boxes: DataFrame, *more: Column) -> DataFrame:
 def export_table(boxes: DataFrame) -> DataFrame:
     """The exportable table: ``export_rows``, numbered anew from 0 by image and place in it."""
     (order,) = fresh(list(schema.EXPORT_COLUMNS), "order")
-    rows = export_rows(boxes, F.col("id" if "id" in boxes.columns else "annotation_id").alias(order))
+    rows = boxes.withColumn(order, F.col("id" if "id" in boxes.columns else "annotation_id"))
+    rows = written(rows.select(*(c for c in rows.columns if c in (*schema.COLUMNS, order))), "boxes")  # read for groups and for rows
+    rows = export_rows(rows, F.col(order))
     return numbered(rows, "image_id", [order], position="annotation_id").select(*schema.EXPORT_COLUMNS)
 
 
