@@ -27,13 +27,16 @@ from llm.components import connected_components, forest
 SEED = 42
 TAU = 3
 SAMPLE = 4096  # fingerprints from which correlations and candidate counts are estimated
-BLOCK = 2048  # fingerprints of one key that a task compares at once with as many others
+BLOCK = 16384  # fingerprints of one key that a task compares at once with as many others
+TILE = 1 << 18  # pairs of fingerprints that are compared at once
+HELD = 1 << 20  # links that a task holds before it reduces them to a forest
 WIDE = 9  # bits within which texts are candidates for a comparison of their shingles
 NARROW = 2  # words of the shingles that candidates' fingerprints are made of
 SHINGLE = 5  # words of the shingles that are compared
 SIMILAR = 0.8  # Jaccard similarity of shingle sets from which texts link
 TEXTS = 512  # texts of a candidate group that a task compares at once with as many others
 SET_BYTES = 16 << 20  # bytes of shingle sets of a block of texts, on average
+BUCKETS = 64  # counts that a sketch of a shingle set has
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 
 
@@ -147,7 +150,7 @@ def plan_partitions(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[li
         cost = []
         for g in groups:
             at = _near_pairs(_squeeze(sample.astype(np.uint64), g))
-            probes = [sum(comb(len(g), d) for d in range(t + 1)) for t in range(3)]
+            probes = [sum(comb(len(g), d) / (2 if d else 1) for d in range(t + 1)) for t in range(3)]
             # one probe row costs about as much as a thousand comparisons of packed integers
             cost.append([0.0, *(1000.0 * n * p + scale * int(at[: t + 1].sum()) for t, p in enumerate(probes))])
         options.append((*allocate(cost, tau - m + 1), groups))
@@ -163,7 +166,10 @@ def _squeeze(fp: np.ndarray, group: list[int]) -> np.ndarray:
 
 
 def _keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows ``(key, own, fp)``: own marks a fingerprint's own key, the others are probes near it."""
+    """Rows ``(key, own, fp)``: own marks a fingerprint's own key, the others are probes near it.
+
+    Of two fingerprints whose bits of a partition differ, the one of the larger value probes the other's key.
+    """
 
     def run(batches):
         for b in batches:
@@ -173,26 +179,48 @@ def _keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
                 for d in range(t + 1):
                     for flips in combinations(range(len(group)), d):
                         mask = np.uint64(sum(1 << f for f in flips))
-                        key = (value ^ mask) | (np.uint64(part) << np.uint64(60))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key.view(np.int64)), pa.array(np.full(len(fp), d == 0)), b.column("fp")], ["key", "own", "fp"]
-                        )
+                        larger = (value ^ mask < value) if d else np.ones(len(fp), bool)
+                        key = (value[larger] ^ mask) | (np.uint64(part) << np.uint64(60))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), np.full(len(key), d == 0), fp[larger].view(np.int64))], ["key", "own", "fp"])
 
     return fps.mapInArrow(run, "key bigint, own boolean, fp bigint")
 
 
-def _pairs(key: np.ndarray, own: np.ndarray, fp: np.ndarray, tau: int):
-    """Linked pairs of rows with equal keys; keys are sorted."""
-    alive, d, found_a, found_b = np.arange(len(key)), 1, [], []
-    while len(alive := alive[alive + d < len(key)]) and len(alive := alive[(key[alive] == key[alive + d]).all(axis=1)]):
-        other = alive + d
-        hit = (np.bitwise_count((fp[alive] ^ fp[other]).view(np.uint64)) <= tau) & (own[alive] | own[other]) & (fp[alive] != fp[other])
-        found_a.append(fp[alive[hit]])
-        found_b.append(fp[other[hit]])
-        d += 1
-    if not found_a:
-        return fp[:0], fp[:0]
-    return forest(np.concatenate(found_a), np.concatenate(found_b))
+def _near(x: np.ndarray, y: np.ndarray, tau: int, upper: bool = False):
+    """Places in ``x`` and ``y`` of pairs within ``tau`` bits, a tile at a time.
+
+    With ``upper``, ``x`` is the start of ``y``, and each pair comes once or twice.
+    """
+    rows = max(1, TILE // max(1, len(y)))
+    for lo in range(0, len(x), rows):
+        start = lo if upper else 0
+        hits = np.flatnonzero(np.bitwise_count(x[lo : lo + rows, None] ^ y[start:]) <= tau)
+        if len(hits):
+            i, j = np.divmod(hits, len(y) - start)
+            yield i + lo, j + start
+
+
+def _pairs(own: np.ndarray, fp: np.ndarray, first: np.ndarray | None, tau: int):
+    """Edges that connect all rows of one key within ``tau`` bits; two probes needn't be compared.
+
+    ``first`` is a mask of the first of two blocks, which are compared with each other, else None.
+    """
+    bits, found, held = fp.view(np.uint64), [], 0
+    if first is None:
+        rows = np.concatenate([bits[own], bits[~own]])
+        sides = [(rows[: int(own.sum())], rows, True)]
+    else:
+        sides = [(bits[first & own], bits[~first], False), (bits[first & ~own], bits[~first & own], False)]
+    for x, y, upper in sides:
+        for i, j in _near(x, y, tau, upper):
+            far = x[i] != y[j]
+            found.append((x[i[far]], y[j[far]]))
+            held += len(found[-1][0])
+            if held > HELD:
+                found = [forest(*map(np.concatenate, zip(*found)))]
+                held = len(found[0][0])
+    a, b = forest(*map(np.concatenate, zip(*found))) if found else (bits[:0], bits[:0])
+    return a.view(np.int64), b.view(np.int64)
 
 
 def _runs(batches, keys: int, columns: list[str]):
@@ -213,17 +241,23 @@ def _runs(batches, keys: int, columns: list[str]):
         yield rest
 
 
+def _cut(x: list[np.ndarray], keys: int = 3):
+    """Runs of rows of ``x`` that are equal in the first ``keys`` columns."""
+    cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in x[:keys]])) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(x[0])]):
+        yield [c[lo:hi] for c in x]
+
+
 def _verified(keys: DataFrame, tau: int) -> DataFrame:
     """Rows sorted by (key, p, q) within partitions, compared one run of equal keys at a time."""
+    columns = ["key", "p", "q", "mine", "own", "fp"]
 
     def run(batches):
-        for x in _runs(batches, 3, ["key", "p", "q", "own", "fp"]):
-            yield pa.RecordBatch.from_arrays([pa.array(e) for e in _pairs(np.stack(x[:3], 1), x[3].astype(bool), x[4], tau)], ["a", "b"])
+        for x in _runs(batches, 3, columns):
+            edges = [_pairs(own.astype(bool), fp, None if p[0] == q[0] else mine == p[0], tau) for _, p, q, mine, own, fp in _cut(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)) for e in zip(*edges)], ["a", "b"])
 
-    return (
-        keys.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "own", "fp")
-        .mapInArrow(run, "a bigint, b bigint")
-    )
+    return keys.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select(*columns).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_links(fps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
@@ -239,7 +273,7 @@ def near_links(fps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     keys = written(_keys(fps.select("fp"), plan), "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any")
     sizes = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = _in_block_pairs(keys.join(sizes, "key"), F.xxhash64("fp")).select("key", "p", "q", "own", "fp")
+    dealt = _in_block_pairs(keys.join(sizes, "key"), F.xxhash64("fp")).select("key", "p", "q", "mine", "own", "fp")
     return _verified(dealt, tau)
 
 
@@ -283,19 +317,26 @@ def _marked(docs: DataFrame) -> DataFrame:
     return bounded(docs).mapInArrow(run, f"doc_id {ddl(docs, 'doc_id')}, row bigint, row2 bigint, node bigint, fp bigint")
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes lie in each of BUCKETS ranges, 255 at most."""
+    return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """``texts(node, fp, root, text)`` with ``shingles``, the sorted distinct hashes of a text's shingles, as bytes, in place of texts.
+    """``texts(node, fp, root, text)`` with ``least, size, sketch, shingles`` in place of texts: the distinct hashes of a text's shingles, sorted, as bytes.
 
-    Blank texts have none.
+    ``least`` is the first of them; blank texts have none.
     """
     names = ["node", "fp", "root"]
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.array(_hashes(t, SHINGLE), np.uint64)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(sets, pa.binary())], [*names, "shingles"])
+            sets = [np.unique(np.array(_hashes(t, SHINGLE), np.uint64)) for t in b.column("text").to_pylist()]
+            least = pa.array([int(x[:1].view(np.int64)[0]) if len(x) else 0 for x in sets], pa.int64())
+            more = least, pa.array([len(x) for x in sets], pa.int64()), pa.array([_sketch(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), *more], [*names, "least", "size", "sketch", "shingles"])
 
-    return bounded(texts.select(*names, "text")).mapInArrow(run, "node bigint, fp bigint, root bigint, shingles binary")
+    return bounded(texts.select(*names, "text")).mapInArrow(run, "node bigint, fp bigint, root bigint, least bigint, size bigint, sketch binary, shingles binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -308,7 +349,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _alike(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], cross: np.ndarray | None, tau: int, least: float):
+def _counts(sketches: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: float) -> np.ndarray:
+    """Sets that are ``least`` similar differ in so few elements that their counts by bucket can't differ by more."""
+    return np.abs(a - b).sum(axis=1) * (1 + least) <= (size_a + size_b) * (1 - least) + 1e-6
+
+
+def _alike(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, cross: np.ndarray | None, tau: int, least: float):
     """Edges that connect all texts within tau bits whose sets are similar; texts connected already aren't compared.
 
     With ``cross``, a mask of the first of two blocks, only its texts are compared with those of the other.
@@ -319,19 +369,60 @@ def _alike(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], cross: np.n
         near = np.bitwise_count(bits ^ bits[i]) <= tau
         near &= np.minimum(size, size[i]) >= least * np.maximum(size, size[i])
         near &= ~cross if cross is not None else np.arange(len(node)) > i
-        for j in np.flatnonzero(near & (label != label[i])):
+        near = np.flatnonzero(near & (label != label[i]))
+        for j in near[_may_link(sketch[near], sketch[i], size[near], size[i], least)] if len(near) else near:
             if label[i] != label[j] and similarity(sets[i], sets[j]) >= least:
                 label[label == label[j]] = label[i]
                 found.append((node[i], node[j]))
     return forest(*np.array(found, np.int64).reshape(-1, 2).T)
 
 
+def _compared(dealt: DataFrame, tau: int, least: float) -> DataFrame:
+    """Edges between texts of one block, or of the two blocks of a pair: ``dealt(root, p, q, mine, node, fp, sketch, shingles)``."""
+    columns = ["root", "p", "q", "mine", "node", "fp", "sketch", "shingles"]
+
+    def run(batches):
+        for _, p, q, mine, node, fp, sketch, shingles in (r for x in _runs(batches, 3, columns) for r in _cut(x)):
+            a, b = _alike(node, fp, [np.frombuffer(x, np.uint64) for x in shingles], _counts(sketch), None if p[0] == q[0] else mine == p[0], tau, least)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = bounded(dealt).repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").select(*columns)
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _undecided(dealt: DataFrame, tau: int, least: float) -> DataFrame:
+    """``root, p, q, mine, node`` of texts that may link with one of the other block and aren't connected with it yet."""
+    columns = ["root", "p", "q", "mine", "node", "fp", "class", "size", "sketch"]
+
+    def run(batches):
+        for x in (r for x in _runs(batches, 3, columns) for r in _cut(x)):
+            _, p, _, mine, _, fp, of, size, sketch = x
+            sketch = _counts(sketch)
+            first, other = np.flatnonzero(mine == p[0]), np.flatnonzero(mine != p[0])
+            bits, some = fp.view(np.uint64), np.zeros(len(fp), bool)
+            for i, j in _near(bits[first], bits[other], tau):
+                i, j = first[i], other[j]
+                near = (of[i] != of[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]))
+                i, j = i[near], j[near]
+                for lo in range(0, len(i), 1 << 16):
+                    k, m = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                    near = _may_link(sketch[k], sketch[m], size[k], size[m], least)
+                    some[k[near]] = some[m[near]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in x[:5]], columns[:5])
+
+    dealt = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").select(*columns)
+    return dealt.mapInArrow(run, "root bigint, p int, q int, mine int, node bigint")
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, tau: int = WIDE, least: float = SIMILAR, block: int = TEXTS) -> DataFrame:
     """Edges ``(a, b)`` between texts: fingerprints within ``tau`` bits and shingle sets ``least`` similar.
 
     ``docs(node, text)`` are texts by their hash, repeats allowed, ``nodes(node, fp)`` each hash once. Texts
-    are compared inside the groups that near fingerprints connect, as pairs of blocks of about ``block`` texts
-    or SET_BYTES; a block pair gives a spanning forest of its links, so all links connect what they would.
+    are compared inside the groups that near fingerprints connect, in blocks of about ``block`` texts
+    or SET_BYTES; a block gives a spanning forest of its links, so all links connect what they would. Groups of
+    several blocks are dealt a second time, by the least shingle first, which most copies share. Then
+    all pairs of their blocks are compared by fingerprints and sketches, and sets only of texts that these
+    leave in doubt and that aren't connected by then.
     """
     fps = written(nodes.select("fp").distinct(), "fps")
     rooted = written(_roots(fps, "fp", near_links(fps, tau)), "candidates")
@@ -339,25 +430,25 @@ def similar_links(docs: DataFrame, nodes: DataFrame, tau: int = WIDE, least: flo
     members = written(nodes.join(rooted.join(sizes.select("root"), "root"), "fp").select("node", "fp", "root"), "members")
     texts = docs.join(members, "node").dropDuplicates(["node"])  # members are distinct; sets need no join of their own then
     sets = written(_shingle_sets(texts), "shingles")
-    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / SET_BYTES, F.lit(1.0))).cast("int")
-    dealt = _in_block_pairs(sets.join(written(sizes.select("root", blocks.alias("blocks")), "blocks"), "root"), F.xxhash64("node"))
-    columns = ["root", "p", "q", "mine", "node", "fp", "shingles"]
-
-    def solve(x):
-        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in x[:3]])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(x[0])]):
-            _, p, q, mine, node, fp, shingles = (c[lo:hi] for c in x)
-            cross = None if p[0] == q[0] else mine == p[0]
-            yield _alike(node, fp, [np.frombuffer(b, np.uint64) for b in shingles], cross, tau, least)
-
-    def run(batches):
-        for x in _runs(batches, 3, columns):
-            for a, b in solve(x):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = bounded(dealt).repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").select(*columns)
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    def in_blocks(rows: DataFrame, dealt_by: F.Column) -> tuple[DataFrame, DataFrame]:
+        blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / SET_BYTES, F.lit(1.0))).cast("int")
+        blocks = written(rows.groupBy("root").agg(blocks.alias("blocks")), "blocks")
+        mine = F.pmod(dealt_by, F.col("blocks")).cast("int")
+        return blocks, written(_compared(rows.join(blocks, "root").withColumns({"p": mine, "q": mine, "mine": mine}), tau, least), "links")
+
+    blocks, links = in_blocks(sets, F.xxhash64("node"))
+    large = blocks.where("blocks > 1")
+    if not large.head(1):
+        return links
+    rows = sets.join(large, "root")
+    again = in_blocks(rows.drop("blocks").withColumn("root", F.xxhash64("root", "least")), F.xxhash64("node", F.lit(1)))[1]
+    links = links.unionByName(again)
+    classes = connected_components(links).select(F.col("node").alias("__node"), F.col("root").alias("class"))
+    marks = rows.select("root", "blocks", "node", "fp", "size", "sketch").join(classes, F.col("node") == F.col("__node"), "left")
+    marks = written(marks.withColumn("class", F.coalesce("class", "node")).drop("__node"), "classes")
+    doubt = written(_undecided(_in_block_pairs(marks, F.xxhash64("node")).where("p < q"), tau, least), "undecided")
+    return links.unionByName(_compared(doubt.join(sets.select("node", "fp", "sketch", "shingles"), "node"), tau, least))
 
 
 def keep_first(docs: DataFrame, tau: int = WIDE, least: float = SIMILAR) -> DataFrame:

@@ -167,3 +167,39 @@ def test_keep_first_of_rows_that_differ_elsewhere(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, one string, more map<string,string>")
     got = [r.one for r in simhash.keep_first(docs).collect()]
     assert len(got) == 1 and got == [r.one for r in simhash.keep_first(docs.repartition(3)).collect()]
+
+
+def test_a_group_of_many_blocks_ships_only_sets_in_doubt(spark, monkeypatch):
+    """Copies mostly connect in two dealings, so of all pairs of blocks only what is in doubt is compared by sets."""
+    rnd, rows = random.Random(7), []
+    for k in range(3):
+        base = [f"w{k}x{rnd.randrange(500)}" for _ in range(200)]
+        for _ in range(50):
+            at = rnd.randrange(200)
+            rows.append((len(rows), " ".join(base[:at] + [f"x{len(rows)}"] + base[at:])))
+    rows += [(200 + i, " ".join(f"w0x{rnd.randrange(500)}" for _ in range(200))) for i in range(20)]
+    seen, compared = [], simhash._compared
+    monkeypatch.setattr(simhash, "_compared", lambda dealt, *a: seen.append(dealt.count()) or compared(dealt, *a))
+    docs = spark.createDataFrame(rows, "node bigint, text string")
+    nodes = spark.createDataFrame([(i, plain_fingerprint(t, 2) - 2**63) for i, t in rows], "node bigint, fp bigint")
+    got = connected_components(simhash.similar_links(docs, nodes, tau=40, block=8)).collect()
+    assert {r.node: r.root for r in got} == {i: i // 50 * 50 for i in range(150)}
+    assert len(seen) == 3 and sum(seen) < 3 * len(rows)  # all pairs of 22 blocks ship each set 22 times
+
+
+def test_a_key_is_compared_in_tiles():
+    rnd = np.random.default_rng(2)
+    fp = rnd.integers(0, 2**12, 300).astype(np.int64)
+    own = rnd.random(300) < 0.6
+    first = rnd.random(300) < 0.5
+    for mask in (None, first):
+        a, b = simhash._pairs(own, fp, mask, 2)
+        want = [(fp[i], fp[j]) for i in range(300) for j in range(i) if (own[i] or own[j]) and fp[i] != fp[j] and (mask is None or mask[i] != mask[j]) and int(fp[i] ^ fp[j]).bit_count() <= 2]
+        nodes = {x for e in want for x in e}
+        assert roots(nodes, want) == roots(nodes, list(zip(a.tolist(), b.tolist())))
+
+
+def test_only_one_of_two_keys_is_probed(spark):
+    fps = spark.createDataFrame([(0,), (1,), (6,)], "fp bigint")
+    rows = simhash._keys(fps, [([0, 1, 2], 2)]).collect()
+    assert sorted((r.key, r.own, r.fp) for r in rows) == sorted([(f, True, f) for f in (0, 1, 6)] + [(0, False, 1)] + [(k, False, 6) for k in (4, 2, 5, 3, 0)])
