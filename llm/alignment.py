@@ -28,6 +28,7 @@ from tokenizers import Tokenizer
 from llm.common import bounded, ddl, written
 
 MEMO = 2_000_000  # transitions that a worker keeps
+GROUP = 32 << 20  # bytes of a row group of batches, which are written and read a row group at a time
 SLICE = 1 << 20  # bytes of texts whose tokens a worker holds at once
 WIDE = 4096  # links of a group from which equal ids are counted before they are paired
 LONG_RUN = 4096  # characters; pieces that may be longer are left to the tokenizer library
@@ -235,6 +236,10 @@ def slices(texts: pa.Array) -> list[tuple[int, int]]:
     return [(int(lo), int(hi)) for lo, hi in zip([0, *cuts], [*cuts, len(texts)])] if len(texts) else []
 
 
+#: A row is a batch of documents, so a writer that looks at its size after 100 rows only would hold all batches of a task, and a reader as well.
+LARGE_ROWS = {"parquet.block.size": str(GROUP), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
 def _batches(docs: DataFrame, first: str, second: str) -> DataFrame:
     """A row for each batch of documents: what is known of each, its distinct pairs, and in how many documents these are."""
     arrays = "".join(f", {c} array<bigint>" for c in (*_COUNTS, "pairs", "n"))
@@ -259,7 +264,7 @@ def _batches(docs: DataFrame, first: str, second: str) -> DataFrame:
             names = ["batch", "doc_id", *_COUNTS, "pairs", "n", "sha256", "of", "place", "times"]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names)
 
-    return written(bounded(docs.select("doc_id", "text")).mapInArrow(run, kind), "batches")
+    return written(bounded(docs.select("doc_id", "text")).mapInArrow(run, kind), "batches", LARGE_ROWS)
 
 
 def _pair_counts(batches: DataFrame) -> DataFrame:
@@ -276,6 +281,37 @@ def pair_counts(docs: DataFrame, first: str, second: str) -> DataFrame:
     return pairs.select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "count", "best")
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """``rows(batch, i, count, best)`` as one row for each batch: the counts, and which are best, by ``i``, as bytes.
+
+    Spark sorts the rows, so a task holds those of one batch only, not those of all its batches.
+    """
+
+    def run(batches):
+        now, parts = None, []
+
+        def packed():
+            counts, best = (np.concatenate(x) for x in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([best.astype("u1").tobytes()], pa.binary())], ["batch", "counts", "bests"])
+
+        for b in batches:
+            batch, count, best = (b.column(c).to_numpy(zero_copy_only=False) for c in ("batch", "count", "best"))
+            cuts = np.flatnonzero(batch[1:] != batch[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
+                if lo == hi:
+                    continue
+                if parts and batch[lo] != now:
+                    yield packed()
+                    parts = []
+                now = batch[lo]
+                parts.append((count[lo:hi], best[lo:hi]))
+        if parts:
+            yield packed()
+
+    rows = rows.select("batch", "i", "count", "best").repartition("batch").sortWithinPartitions("batch", "i")
+    return rows.mapInArrow(run, "batch bigint, counts binary, bests binary")
+
+
 def report(docs: DataFrame, first: str, second: str) -> DataFrame:
     """One row per document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``.
 
@@ -286,8 +322,7 @@ def report(docs: DataFrame, first: str, second: str) -> DataFrame:
     """
     batches = _batches(docs, first, second)
     asked = batches.select("batch", F.posexplode("pairs").alias("i", "pair"))
-    told = asked.join(_pair_counts(batches), "pair").groupBy("batch").agg(F.collect_list(F.struct("i", "count", "best")).alias("told"))
-    told = told.select("batch", *(F.col(f"told.{c}").alias(f"told_{c}") for c in ("i", "count", "best")))
+    told = _told(asked.join(_pair_counts(batches), "pair"))
     columns = ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"]
     kind = f"doc_id {ddl(docs, 'doc_id')}, {', '.join(f'{c} bigint' for c in columns[1:-1])}, groups_sha256 string"
 
@@ -297,10 +332,9 @@ def report(docs: DataFrame, first: str, second: str) -> DataFrame:
                 r = b.slice(k, 1)
                 values = lambda c: r.column(c).flatten()  # noqa: B023, E731
                 n = len(values("doc_id"))
-                number, best = np.zeros(len(values("pairs")), np.int64), np.zeros(len(values("pairs")), np.int64)
-                if len(number):
-                    i = values("told_i").to_numpy()
-                    number[i], best[i] = values("told_count").to_numpy(), values("told_best").to_numpy(zero_copy_only=False)
+                number, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if len(values("pairs")):
+                    number, best = (np.frombuffer(r.column(c)[0].as_py(), k).astype(np.int64) for c, k in (("counts", "<i8"), ("bests", "u1")))
                 of, place = (np.frombuffer(r.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("of", "place"))
                 times = np.frombuffer(r.column("times")[0].as_py(), "<u8").astype(np.int64)
                 add = lambda x: np.array([int(v) for v in np.bincount(of, x, n)], np.int64) if len(of) else np.zeros(n, np.int64)  # noqa: B023, E731

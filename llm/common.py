@@ -32,14 +32,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder, with the writer's ``options``, and read it back.
 
     Sums per key are written before rows are joined with them, too: between two plain shuffles adaptive
     execution can split a hot key, on top of an aggregate it can't.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -8,6 +9,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from llm import alignment as al
+from llm import common
 
 FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -126,3 +128,23 @@ def test_wide_groups_count_equal_ids_first(monkeypatch):
 
 def test_empty(spark):
     assert al.report(spark.createDataFrame([], "doc_id long, text string"), *FILES).collect() == []
+
+
+def test_batches_are_written_a_few_at_a_time(spark, monkeypatch):
+    """Writers and readers hold a row group, so its rows mustn't be all batches of a task."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 14)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:80]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setitem(al.LARGE_ROWS, "parquet.block.size", str(1 << 16))
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata for f in al._batches(docs, *FILES).inputFiles()]
+    rows = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(rows) >= 8 and max(rows) <= 3
+
+
+def test_told_counts_come_back_in_order(spark):
+    rows = [(b, i, 10 * b + i, i % 3 == 0) for b in range(40) for i in range(b % 7 + 1)]
+    got = al._told(spark.createDataFrame(rows, "batch long, i int, count long, best boolean").repartition(3)).collect()
+    assert len(got) == 40
+    for r in got:
+        want = [x[2:] for x in rows if x[0] == r.batch]
+        assert [*zip(np.frombuffer(r.counts, "<i8").tolist(), np.frombuffer(r.bests, bool).tolist())] == want
