@@ -732,17 +732,24 @@ def _via_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Widths are numbers with a fraction, heights digits in quotes or words; every eighth region has no attribute.
     """
     file = F.floor(F.col("l_orderkey") / ORDERS_A_FILE).cast("int").alias("file_pos")
-    attributes = F.when(F.col("l_partkey") % 8 == 0, F.lit("{}")).otherwise(F.format_string('{"flag": "%s", "state": "x"}', "l_returnflag"))
-    shape = F.to_json(F.struct(
-        F.lit("rect").alias("name"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("width"), F.col("l_tax").alias("height")))
-    region = F.concat(F.lit('{"shape_attributes": '), shape, F.lit(', "region_attributes": '), attributes, F.lit("}"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE, region.alias("region")))).alias("r"))
-    rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def region(line):
+        attributes = F.when(line["l_partkey"] % 8 == 0, F.lit("{}")).otherwise(F.format_string('{"flag": "%s", "state": "x"}', line["l_returnflag"]))
+        shape = F.to_json(F.struct(
+            F.lit("rect").alias("name"), *(line[c].alias(n) for c, n in (("l_quantity", "x"), ("l_extendedprice", "y"), ("l_discount", "width"), ("l_tax", "height")))))
+        return F.concat(F.lit('{"shape_attributes": '), shape, F.lit(', "region_attributes": '), attributes, F.lit("}"))
+
+    # lines and orders go to their file once, in one shuffle, and meet there
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*LINE).alias("line"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.struct("o_custkey").alias("order"))
+    rows = lines.unionByName(orders, allowMissingColumns=True).withColumn("file_pos", file).repartition("file_pos")
+    rows = rows.groupBy("file_pos", "l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("r"), F.collect_list("order").alias("orders"))
+    rows = rows.where(F.size("r") > 0).select("file_pos", "l_orderkey", "r", F.explode("orders.o_custkey").alias("o_custkey"))
     height = F.when(F.col("l_orderkey") % 3 == 0, F.lit('"720"')).when(F.col("l_orderkey") % 3 == 1, F.lit('"tall"')).otherwise(F.lit("null"))
     entry = F.format_string(
         '"%s": {"filename": "%012d.jpg", "size": -1, "file_attributes": {"width": %s.7, "height": %s}, "regions": [%s]}',
-        "l_orderkey", "o_custkey", (F.col("l_orderkey") % 5000).cast("string"), height, F.array_join("r.region", ", "))
-    docs = rows.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", entry.alias("entry")))).alias("e"))
+        "l_orderkey", "o_custkey", (F.col("l_orderkey") % 5000).cast("string"), height, F.array_join(F.transform("r", region), ", "))
+    docs = rows.groupBy("file_pos").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", entry.alias("entry")))).alias("e"))
     head, tail = F.lit('{"_via_img_metadata": {'), F.lit('}, "_via_attributes": {"region": {"flag": {"options": ' + json.dumps(_OPTIONS) + '}}, "file": {}}}')
     return docs.select("file_pos", F.concat(F.lit("file "), F.col("file_pos").cast("string")).alias("file"), F.concat(head, F.array_join("e.entry", ", "), tail).alias("value"))
 

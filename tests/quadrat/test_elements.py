@@ -144,3 +144,12 @@ def test_whole_texts_are_taken_apart_in_one_pass(spark, tmp_path, monkeypatch):
         assert got == want, name
     got, want = ({r.file_pos: r.error for r in document_errors(d, "COCO").collect()} for d in (docs, files))
     assert {k: (e or "").split("file: ")[0] for k, e in got.items()} == {k: (e or "").split("file: ")[0] for k, e in want.items()}
+
+
+def test_via_documents_shuffle_their_lines_once(spark):
+    from quadrat.plans.queries import _via_documents
+
+    docs = _via_documents(spark, "/root/testdata/sf0.001")
+    assert docs.count() and docs._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
